@@ -11,22 +11,23 @@ from stumpline.functions.ordered import HOT_ROWS, RANGES, ranked
 TEST_SHARE = 0.2
 
 
-def temporal_cut(df: DataFrame, id_column: str = "match_id", share: float = TEST_SHARE,
-                 ranges: int = RANGES) -> Column:
+def temporal_cut(df: DataFrame, id_column: str = "match_id", share: float = TEST_SHARE, ranges: int = RANGES):
     """Largest id still in training: the last floor(share * n) distinct ids are the test set.
 
-    With so few ids that the test set is empty, everything is training data.
+    With so few ids that the test set is empty, everything is training data. The result is one
+    plain value, so using it costs no shuffle and the comparison can reach the scan.
     """
     ids = df.select(id_column).where(F.col(id_column).isNotNull()).distinct()
+    n = ids.count()
     placed = ranked(ids, [], [id_column], "_rank", ranges=ranges)
-    n = ids.agg(F.count(F.lit(1))).scalar()
-    return placed.where(F.col("_rank") == n - F.floor(n * F.lit(share))).agg(F.max(id_column)).scalar()
+    at_cut = placed.where(F.col("_rank") == n - int(n * share)).first()
+    return None if at_cut is None else at_cut[id_column]
 
 
 def temporal_split(df: DataFrame, id_column: str = "match_id", share: float = TEST_SHARE,
                    ranges: int = RANGES) -> DataFrame:
-    """Adds ``is_test``. The cut is a single value, so the rows themselves are not shuffled."""
-    return df.withColumn("is_test", F.col(id_column) > temporal_cut(df, id_column, share, ranges))
+    """Adds ``is_test``."""
+    return df.withColumn("is_test", F.col(id_column) > F.lit(temporal_cut(df, id_column, share, ranges)))
 
 
 def _shuffled_key(key: list[str]) -> Column:
@@ -68,34 +69,26 @@ def stratified_folds(
 # ---- normalisation fitted on the training rows ----
 
 
-def fit_normaliser(df: DataFrame, features: list[str]) -> DataFrame:
-    """One row per feature: mean and sample deviation, a near-zero deviation replaced by 1."""
-    aggs = []
-    for f in features:
-        spread = F.stddev_samp(f)
-        aggs.append(
-            F.struct(
-                F.lit(f).alias("feature"),
-                F.avg(f).alias("mean"),
-                F.when(spread < 1e-6, 1.0).otherwise(spread).alias("std"),
-            ).alias(f)
-        )
-    one = df.agg(*aggs)
-    return one.select(F.explode(F.array(*features)).alias("s")).select("s.*")
-
-
-def normalise(df: DataFrame, stats: DataFrame, features: list[str], places: int | None = None) -> DataFrame:
-    """z-scores by the fitted table."""
-    table = stats.agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std"))))  # one entry per feature
-    ).scalar()
+def fit_normaliser(df: DataFrame, features: list[str]) -> dict[str, tuple[float, float]]:
+    """Mean and sample deviation per feature, a near-zero deviation replaced by 1. One pass."""
+    row = df.agg(
+        *[F.avg(f).alias(f"{f}__mean") for f in features], *[F.stddev_samp(f).alias(f"{f}__std") for f in features]
+    ).first()
+    return {
+        f: (row[f"{f}__mean"], 1.0 if row[f"{f}__std"] is not None and row[f"{f}__std"] < 1e-6 else row[f"{f}__std"])
+        for f in features
+    }
+
+
+def normalise(df: DataFrame, stats: dict[str, tuple[float, float]], places: int | None = None) -> DataFrame:
+    """z-scores by the fitted values."""
 
     def z(f: str) -> Column:
-        s = F.try_element_at(table, F.lit(f))
-        out = (F.col(f) - s["mean"]) / s["std"]
+        mean, std = stats[f]
+        out = (F.col(f) - F.lit(mean)) / F.lit(std)
         return out if places is None else rnd(out, places)
 
-    return df.withColumns({f: z(f) for f in features})
+    return df.withColumns({f: z(f) for f in stats})
 
 
 def scale_season(df: DataFrame, fitted_on: DataFrame | None = None, out: str = "season_norm") -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
 # ---- fixed values (must equal the published data conventions) ----
 
 TEAM_CODES = {
@@ -60,17 +58,17 @@ MATCH_TEAM_COLUMNS = ("team1", "team2", "toss_winner", "winner")
 DELIVERY_TEAM_COLUMNS = ("batting_team", "bowling_team")
 
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+def _types(spec: str) -> dict[str, str]:
+    return dict(field.split() for field in spec.split(", "))
 
 
-MATCH_CSV = _struct(
+MATCH_CSV = _types(
     "id BIGINT, season INT, city STRING, date STRING, team1 STRING, team2 STRING, "
     "toss_winner STRING, toss_decision STRING, result STRING, dl_applied INT, winner STRING, "
     "win_by_runs INT, win_by_wickets INT, player_of_match STRING, venue STRING, "
     "umpire1 STRING, umpire2 STRING, umpire3 STRING"
 )
-DELIVERY_CSV = _struct(
+DELIVERY_CSV = _types(
     "match_id BIGINT, inning INT, batting_team STRING, bowling_team STRING, over INT, ball INT, "
     "batsman STRING, non_striker STRING, bowler STRING, is_super_over INT, wide_runs INT, "
     "bye_runs INT, legbye_runs INT, noball_runs INT, penalty_runs INT, batsman_runs INT, "

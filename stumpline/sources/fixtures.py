@@ -41,7 +41,7 @@ def table_dir(spark: SparkSession, sf_dir: str) -> str:
     return f"{work_dir(spark)}/tables-{spark.sparkContext.applicationId}/{scale}"
 
 
-def _materialised(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def materialised(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """Write ``build()`` on first use in this session, then read the written table."""
     known = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), name)
     if known not in _built:
@@ -57,7 +57,7 @@ def _sql(spark: SparkSession, sf_dir: str, text: str, **frames: DataFrame) -> Da
 
 def raw_deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = BALLS_SQL.replace("deliveries_csv AS (", "balls AS (") + " SELECT * FROM balls"
-    return _materialised(spark, sf_dir, "deliveries_raw", lambda: _sql(spark, sf_dir, text))
+    return materialised(spark, sf_dir, "deliveries_raw", lambda: _sql(spark, sf_dir, text))
 
 
 def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,14 +66,14 @@ def raw_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         return _sql(spark, sf_dir, text, deliveries_csv=raw_deliveries(spark, sf_dir))
 
-    return _materialised(spark, sf_dir, "matches_raw", build)
+    return materialised(spark, sf_dir, "matches_raw", build)
 
 
 def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned ball table."""
-    return _materialised(spark, sf_dir, "deliveries", lambda: clean_deliveries(raw_deliveries(spark, sf_dir)))
+    return materialised(spark, sf_dir, "deliveries", lambda: clean_deliveries(raw_deliveries(spark, sf_dir)))
 
 
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cleaned match table."""
-    return _materialised(spark, sf_dir, "matches", lambda: clean_matches(raw_matches(spark, sf_dir)))
+    return materialised(spark, sf_dir, "matches", lambda: clean_matches(raw_matches(spark, sf_dir)))

@@ -9,7 +9,7 @@ from stumpline.schema import DELIVERY_CSV, DELIVERY_REQUIRED, MATCH_CSV, MATCH_R
 from stumpline.sources.clean import clean_deliveries, clean_matches, validate_columns
 
 
-def _read_csv(spark: SparkSession, path: str, known, required, name: str) -> DataFrame:
+def _read_csv(spark: SparkSession, path: str, known: dict[str, str], required, name: str) -> DataFrame:
     """Types come from the declared schema, never from inference over the data.
 
     Only the header line is read up front, so a file may order its columns freely,
@@ -17,8 +17,7 @@ def _read_csv(spark: SparkSession, path: str, known, required, name: str) -> Dat
     """
     header = spark.read.option("header", True).csv(path)
     validate_columns(header, required, name)
-    types = {f.name: f.dataType.simpleString() for f in known.fields}
-    ddl = ", ".join(f"`{c}` {types.get(c, 'string')}" for c in header.columns)
+    ddl = ", ".join(f"`{c}` {known.get(c, 'STRING')}" for c in header.columns)
     return spark.read.schema(ddl).option("header", True).option("enforceSchema", False).csv(path)
 
 
