@@ -60,9 +60,26 @@ def ball_position() -> Column:
     return F.col("inning").cast("bigint") * 10000 + F.col("over") * 100 + F.col("ball")
 
 
-def first_value(value: str) -> Column:
-    """First non-null value in playing order."""
-    return F.min_by(value, F.when(F.col(value).isNotNull(), ball_position()))
+def totals_with_side(
+    df: DataFrame, keys: list, side: str, totals: dict[str, Column], near: str = "match_id"
+) -> DataFrame:
+    """Additive ``totals`` per key, with the first non-null ``side`` (a team) in playing order.
+
+    A text-valued aggregate would make Spark sort the balls, so the side first joins the grouping
+    keys (a hash aggregation, combined map-side) and the earliest side is picked from what is left:
+    one row per key in clean data. That second step runs partitioned by ``near``, where the
+    windows and joins that follow need the rows anyway.
+    """
+    grouped = df.groupBy(*keys, side).agg(
+        *[c.alias(n) for n, c in totals.items()], F.min(ball_position()).alias("_first")
+    )
+    names = [c for c in grouped.columns if c not in (side, "_first", *totals)]
+    earliest = F.min_by(side, F.when(F.col(side).isNotNull(), F.col("_first")))
+    return (
+        grouped.repartition(near)
+        .groupBy(*names)
+        .agg(*[F.sum(n).alias(n) for n in totals], earliest.alias(side))
+    )
 
 
 def credited_wicket(df: DataFrame) -> Column:

@@ -55,12 +55,14 @@ def prior_totals(
     sums: dict[str, Column],
     hot_rows: int = HOT_ROWS,
     ranges: int = RANGES,
+    sizing: DataFrame | None = None,
 ) -> DataFrame:
     """Totals over the rows of the same key that come strictly earlier; 0 for the first row.
 
     ``order`` must be total within a key. An empty ``key`` runs over the whole table.
+    ``sizing``: a cheaper table with at least as many rows per key, to look for large keys in.
     """
-    if key and not has_hot_key(df, key, hot_rows):
+    if key and not has_hot_key(df if sizing is None else sizing, key, hot_rows):
         earlier = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({n: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for n, c in sums.items()})
 
@@ -87,12 +89,13 @@ def trailing_mean(
     n: int,
     hot_rows: int = HOT_ROWS,
     ranges: int = RANGES,
+    sizing: DataFrame | None = None,
 ) -> DataFrame:
     """Mean of each column over the ``n`` rows of the key before this one, null where there are none.
 
-    ``means`` maps output name to input column.
+    ``means`` maps output name to input column; ``sizing`` is as for ``prior_totals``.
     """
-    if not has_hot_key(df, key, hot_rows):
+    if not has_hot_key(df if sizing is None else sizing, key, hot_rows):
         frame = Window.partitionBy(*key).orderBy(*order).rowsBetween(-n, -1)
         return df.withColumns({out: F.avg(c).over(frame) for out, c in means.items()})
 
@@ -137,5 +140,12 @@ def ranked(
 
 
 def date_key(date: str = "date") -> Column:
-    """Sortable text of a timestamp, missing dates last."""
-    return F.coalesce(F.date_format(date, "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("~"))
+    """Microseconds of a wall-clock timestamp as a whole number, missing dates last."""
+    d = F.col(date)
+    micros = (
+        F.unix_date(d.cast("date")).cast("bigint") * 86_400_000_000
+        + F.hour(d) * F.lit(3_600_000_000)
+        + F.minute(d) * F.lit(60_000_000)
+        + (F.date_part(F.lit("SECOND"), d) * 1_000_000).cast("bigint")
+    )
+    return F.coalesce(micros, F.lit(2**63 - 1))

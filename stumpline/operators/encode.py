@@ -63,7 +63,8 @@ def unknown_labels(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:
 def encode(df: DataFrame, columns: dict[str, str], domain: DataFrame | None = None) -> DataFrame:
     """Fit on ``df`` and attach codes; ``columns`` maps label column to output column.
 
-    ``domain`` may name a cheaper table holding every label, used only to check the dictionary size.
+    ``df`` is read once more per column. ``domain``: a cheaper table with every label, used only
+    to check the size of the dictionaries.
     """
     few = labels_are_few(df if domain is None else domain, columns)
     fitted = {c: label_codes(df, c, few) for c in columns}

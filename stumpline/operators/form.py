@@ -5,27 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stumpline.functions.exprs import charged_runs, credited_wicket, first_value, ratio, regulation, rnd, total
+from stumpline.functions.exprs import charged_runs, credited_wicket, ratio, regulation, rnd, total, totals_with_side
 from stumpline.functions.ordered import HOT_ROWS, date_key, trailing_mean
-from stumpline.operators.players import exact_median
 from stumpline.schema import FORM_COLUMNS, FORM_MATCHES
+from stumpline.sources.staging import staged
 
 
 def player_match_batting(deliveries: DataFrame) -> DataFrame:
     """(match_id, player): average and strike rate of that match, with the side played for."""
-    per_match = (
-        regulation(deliveries)
-        .where(F.col("batsman").isNotNull())
-        .groupBy("match_id", F.col("batsman").alias("player"))
-        .agg(
-            F.sum("batsman_runs").alias("runs"),
-            total(F.col("is_legal_delivery")).alias("balls"),
-            total(F.col("is_wicket")).alias("dismissals"),
-            first_value("batting_team").alias("team"),
-        )
+    per_match = totals_with_side(
+        regulation(deliveries).where(F.col("batsman").isNotNull()),
+        ["match_id", F.col("batsman").alias("player")],
+        "batting_team",
+        {
+            "runs": F.sum("batsman_runs"),
+            "balls": total(F.col("is_legal_delivery")),
+            "dismissals": total(F.col("is_wicket")),
+        },
     )
     return per_match.select(
-        "match_id", "player", "team",
+        "match_id", "player", F.col("batting_team").alias("team"),
         F.coalesce(ratio("runs", "dismissals"), F.col("runs").cast("double")).alias("bat_avg"),
         F.coalesce(ratio("runs", "balls", scale=100), F.lit(0.0)).alias("bat_sr"),
     )
@@ -34,20 +33,18 @@ def player_match_batting(deliveries: DataFrame) -> DataFrame:
 def player_match_bowling(deliveries: DataFrame) -> DataFrame:
     """(match_id, player): economy and strike rate over legal balls; the side comes from all balls."""
     legal = F.col("is_legal_delivery")
-    per_match = (
-        regulation(deliveries)
-        .where(F.col("bowler").isNotNull())
-        .groupBy("match_id", F.col("bowler").alias("player"))
-        .agg(
-            total(legal & credited_wicket(deliveries)).alias("wickets"),
-            F.sum(F.when(legal, charged_runs(deliveries))).alias("runs_conceded"),
-            total(legal).alias("balls"),
-            first_value("bowling_team").alias("team"),
-        )
-        .where(F.col("balls") > 0)
-    )
+    per_match = totals_with_side(
+        regulation(deliveries).where(F.col("bowler").isNotNull()),
+        ["match_id", F.col("bowler").alias("player")],
+        "bowling_team",
+        {
+            "wickets": total(legal & credited_wicket(deliveries)),
+            "runs_conceded": F.sum(F.when(legal, charged_runs(deliveries))),
+            "balls": total(legal),
+        },
+    ).where(F.col("balls") > 0)
     return per_match.select(
-        "match_id", "player", "team",
+        "match_id", "player", F.col("bowling_team").alias("team"),
         ratio("runs_conceded", F.col("balls") / 6).alias("bowl_econ"),
         F.coalesce(ratio("balls", "wickets"), F.col("balls").cast("double")).alias("bowl_sr"),
     )
@@ -57,20 +54,21 @@ def _form(per_match: DataFrame, matches: DataFrame, columns: list[str], n: int,
     dates = matches.select(F.col("id").alias("match_id"), "date")
     dated = per_match.join(dates, "match_id", "left").withColumn("_day", date_key())
     means = {f"rolling_{c}": c for c in columns}
-    return trailing_mean(dated, ["player"], ["_day", "match_id"], means, n, hot_rows).drop("_day", "date")
+    rows = trailing_mean(dated, ["player"], ["_day", "match_id"], means, n, hot_rows, sizing=per_match)
+    return rows.drop("_day", "date")
 
 
 def player_batting_form(
     deliveries: DataFrame, matches: DataFrame, n_matches: int = FORM_MATCHES, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Mean of the last n matches before each match; a debutant gets the overall mean."""
-    per_match = player_match_batting(deliveries)
+    per_match = staged(player_match_batting(deliveries))
     form = _form(per_match, matches, ["bat_avg", "bat_sr"], n_matches, hot_rows)
-    overall = per_match.agg(F.struct(F.avg("bat_avg").alias("avg"), F.avg("bat_sr").alias("sr"))).scalar()
+    overall = per_match.agg(F.avg("bat_avg").alias("avg"), F.avg("bat_sr").alias("sr")).first()
     return form.withColumns(
         {
-            "rolling_bat_avg": F.coalesce("rolling_bat_avg", overall["avg"]),
-            "rolling_bat_sr": F.coalesce("rolling_bat_sr", overall["sr"]),
+            "rolling_bat_avg": F.coalesce("rolling_bat_avg", F.lit(overall["avg"])),
+            "rolling_bat_sr": F.coalesce("rolling_bat_sr", F.lit(overall["sr"])),
         }
     )
 
@@ -79,14 +77,17 @@ def player_bowling_form(
     deliveries: DataFrame, matches: DataFrame, n_matches: int = FORM_MATCHES, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """As for batting; a debutant's strike rate is the overall median, not the mean."""
-    per_match = player_match_bowling(deliveries)
+    per_match = staged(player_match_bowling(deliveries))
     form = _form(per_match, matches, ["bowl_econ", "bowl_sr"], n_matches, hot_rows)
-    economy = per_match.agg(F.avg("bowl_econ")).scalar()
-    strike_rate = exact_median(per_match, "bowl_sr").scalar()
+    # one small job over the distinct strike rates gives the median, and the mean from their sums
+    rates = per_match.groupBy("bowl_sr").agg(F.count(F.lit(1)).alias("n"), F.sum("bowl_econ").alias("e"))
+    overall = rates.agg(
+        ratio(F.sum("e"), F.sum("n")).alias("econ"), F.percentile("bowl_sr", F.lit(0.5), F.col("n")).alias("sr")
+    ).first()
     return form.withColumns(
         {
-            "rolling_bowl_econ": F.coalesce("rolling_bowl_econ", economy),
-            "rolling_bowl_sr": F.coalesce("rolling_bowl_sr", strike_rate),
+            "rolling_bowl_econ": F.coalesce("rolling_bowl_econ", F.lit(overall["econ"])),
+            "rolling_bowl_sr": F.coalesce("rolling_bowl_sr", F.lit(overall["sr"])),
         }
     )
 

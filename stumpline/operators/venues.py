@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stumpline.functions.exprs import boundary, first_innings, first_value, ratio, regulation, rnd, total
+from stumpline.functions.exprs import boundary, first_innings, ratio, regulation, rnd, total, totals_with_side
 
 
 def first_innings_scores(deliveries: DataFrame) -> DataFrame:
@@ -37,20 +37,22 @@ def venue_par_scores(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
 
 
 def over_ten_snapshot(deliveries: DataFrame) -> DataFrame:
-    """State of each first innings after ten overs, with its final score, in one aggregation."""
+    """State of each first innings after ten overs, with its final score, from one pass."""
     early = F.col("over") <= 10
-    team = F.when(early, F.col("batting_team"))
+    # the side is the one that bats in these ten overs
+    balls = first_innings(deliveries).withColumn("batting_team", F.when(early, F.col("batting_team")))
     return (
-        first_innings(deliveries)
-        .withColumn("batting_team", team)
-        .groupBy("match_id")
-        .agg(
-            total(early).alias("_balls_10"),
-            F.sum(F.when(early, F.col("total_runs"))).alias("runs_10"),
-            total(early & F.col("is_wicket")).alias("wickets_10"),
-            total(early & boundary()).alias("boundaries_10"),
-            first_value("batting_team").alias("batting_team"),
-            F.sum("total_runs").alias("final_score"),
+        totals_with_side(
+            balls,
+            ["match_id"],
+            "batting_team",
+            {
+                "_balls_10": total(early),
+                "runs_10": F.sum(F.when(early, F.col("total_runs"))),
+                "wickets_10": total(early & F.col("is_wicket")),
+                "boundaries_10": total(early & boundary()),
+                "final_score": F.sum("total_runs"),
+            },
         )
         .where(F.col("_balls_10") > 0)
         .drop("_balls_10")

@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stumpline.functions.exprs import boundary, first_innings, first_value, flag, ratio, regulation, rnd, total
+from stumpline.functions.exprs import (
+    ball_position,
+    boundary,
+    first_innings,
+    flag,
+    ratio,
+    regulation,
+    rnd,
+    total,
+    totals_with_side,
+)
 from stumpline.functions.ordered import HOT_ROWS, date_key, prior_totals
 from stumpline.operators.encode import encode
 from stumpline.operators.form import compute_team_rolling_form
@@ -24,6 +34,7 @@ from stumpline.schema import (
     STEP_FEATURES,
     WIN_PROB_FEATURES,
 )
+from stumpline.sources.staging import staged
 
 MATCH_CODES = {"venue": "venue_enc", "team1": "team1_enc", "team2": "team2_enc"}
 
@@ -88,6 +99,10 @@ def build_match_features_v3(
     return _pick(df, MATCH_FEATURES_V3 + ["team1_won"], ["match_id"] if keep_id else None)
 
 
+def _label_domain(matches: DataFrame) -> DataFrame:
+    return matches.select("venue", F.explode(F.array("team1", "team2")).alias("batting_team"))
+
+
 # ---- chase state ----
 
 
@@ -97,14 +112,11 @@ def chase_states(deliveries: DataFrame) -> DataFrame:
     The target counts all balls flagged as innings 1, super overs included.
     """
     chasing = (F.col("inning") == 2) & ~F.col("is_super_over")
-    overs = (
-        deliveries.where((F.col("inning") == 1) | chasing)
-        .groupBy("match_id", "inning", "over")
-        .agg(
-            F.sum("total_runs").alias("runs_in_over"),
-            total(F.col("is_wicket")).alias("wickets_in_over"),
-            first_value("batting_team").alias("batting_team"),
-        )
+    overs = totals_with_side(
+        deliveries.where((F.col("inning") == 1) | chasing),
+        ["match_id", "inning", "over"],
+        "batting_team",
+        {"runs_in_over": F.sum("total_runs"), "wickets_in_over": total(F.col("is_wicket"))},
     )
     match = Window.partitionBy("match_id")
     upto = Window.partitionBy("match_id").orderBy("inning", "over")
@@ -137,10 +149,10 @@ def chase_states(deliveries: DataFrame) -> DataFrame:
 
 def build_win_probability_features(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
     outcome = matches.select(F.col("id").alias("match_id"), "winner", "venue")
-    df = chase_states(deliveries).join(outcome, "match_id", "left")
+    # read three times: for the rows and for the labels of each code
+    df = staged(chase_states(deliveries)).join(outcome, "match_id", "left")
     df = df.withColumn("batting_team_won", flag(F.col("batting_team") == F.col("winner")))
-    domain = matches.select("venue", F.explode(F.array("team1", "team2")).alias("batting_team"))
-    df = encode(df, {"venue": "venue_enc", "batting_team": "batting_team_enc"}, domain)
+    df = encode(df, {"venue": "venue_enc", "batting_team": "batting_team_enc"}, _label_domain(matches))
     return _pick(df, WIN_PROB_FEATURES + ["batting_team_won", "match_id"], None)
 
 
@@ -151,18 +163,19 @@ def build_score_features(
     deliveries: DataFrame, matches: DataFrame, keep_id: bool = False, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     meta = matches.select(F.col("id").alias("match_id"), "venue", "season", "date")
-    df = over_ten_snapshot(deliveries).join(meta, "match_id", "left")
+    snapshot = staged(over_ten_snapshot(deliveries))
+    df = snapshot.join(meta, "match_id", "left")
     df = df.withColumns(
         {"current_rr": rnd(F.col("runs_10") / 10, 3), "_day": date_key()}
     ).withColumn("projected_score", rnd(F.col("current_rr") * 20, 1))
     df = prior_totals(
-        df, ["venue"], ["_day", "match_id"], {"_runs": F.col("runs_10"), "_n": F.lit(1)}, hot_rows
+        df, ["venue"], ["_day", "match_id"], {"_runs": F.col("runs_10"), "_n": F.lit(1)}, hot_rows,
+        sizing=matches,
     )
-    overall = over_ten_snapshot(deliveries).agg(F.avg("runs_10") / 10).scalar()
-    df = df.withColumn("venue_avg_rr", F.coalesce(ratio("_runs", F.col("_n") * 10, 3), overall))
+    overall = snapshot.agg(F.avg("runs_10") / 10).first()[0]
+    df = df.withColumn("venue_avg_rr", F.coalesce(ratio("_runs", F.col("_n") * 10, 3), F.lit(overall)))
     df = df.withColumn("scoring_pressure", rnd(F.col("current_rr") - F.col("venue_avg_rr"), 3))
-    domain = matches.select("venue", F.explode(F.array("team1", "team2")).alias("batting_team"))
-    df = encode(df, {"venue": "venue_enc", "batting_team": "batting_team_enc"}, domain)
+    df = encode(df, {"venue": "venue_enc", "batting_team": "batting_team_enc"}, _label_domain(matches))
     return _pick(df, SCORE_FEATURES + ["final_score"], ["match_id"] if keep_id else None)
 
 
@@ -186,25 +199,32 @@ def player_match_totals(deliveries: DataFrame) -> DataFrame:
     )
     balls = balls.select("*", "role.*").where(F.col("player").isNotNull())
     bats = F.col("bats")
-
-    def side_team(condition):
-        position = F.col("inning").cast("bigint") * 10000 + F.col("over") * 100 + F.col("ball")
-        return F.min_by("team", F.when(condition & F.col("team").isNotNull(), position))
+    bowls = ~bats & legal
 
     def added(condition, c):
-        return F.coalesce(F.sum(F.when(condition, c)), F.lit(0))
+        return F.sum(F.when(condition, c).otherwise(0))
+
+    # the side joins the keys first: see totals_with_side
+    sides = balls.groupBy("match_id", "player", "bats", "team").agg(
+        added(bats, F.col("batsman_runs")).alias("runs_scored"),
+        total(bats & legal).alias("balls_faced"),
+        total(bowls & F.col("is_wicket")).alias("wickets_taken"),
+        added(bowls, F.col("total_runs")).alias("runs_given"),
+        total(bowls).alias("balls_bowled"),
+        F.min(ball_position()).alias("_first"),
+    )
 
-    bowls = ~bats & legal
+    def earliest(condition):
+        return F.min_by("team", F.when(condition & F.col("team").isNotNull(), F.col("_first")))
+
+    lines = ("runs_scored", "balls_faced", "wickets_taken", "runs_given", "balls_bowled")
     return (
-        balls.groupBy("match_id", "player")
+        sides.repartition("match_id")
+        .groupBy("match_id", "player")
         .agg(
             total(bats).alias("_batted"),
-            added(bats, F.col("batsman_runs")).alias("runs_scored"),
-            total(bats & legal).alias("balls_faced"),
-            total(bowls & F.col("is_wicket")).alias("wickets_taken"),
-            added(bowls, F.col("total_runs")).alias("runs_given"),
-            total(bowls).alias("balls_bowled"),
-            F.coalesce(side_team(bats), side_team(~bats)).alias("team"),
+            *[F.sum(c).alias(c) for c in lines],
+            F.coalesce(earliest(bats), earliest(~bats)).alias("team"),
         )
     )
 
@@ -234,16 +254,16 @@ def build_potm_features(deliveries: DataFrame, matches: DataFrame, keep_id: bool
 
 def build_over_sequences(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
     """First innings over by over with running totals and the final score."""
-    overs = (
-        first_innings(deliveries)
-        .groupBy("match_id", "over")
-        .agg(
-            F.sum("total_runs").alias("runs_in_over"),
-            total(F.col("is_wicket")).alias("wickets_in_over"),
-            total(boundary()).alias("boundaries_in_over"),
-            total(F.col("is_legal_delivery")).alias("balls_in_over"),
-            first_value("batting_team").alias("batting_team"),
-        )
+    overs = totals_with_side(
+        first_innings(deliveries),
+        ["match_id", "over"],
+        "batting_team",
+        {
+            "runs_in_over": F.sum("total_runs"),
+            "wickets_in_over": total(F.col("is_wicket")),
+            "boundaries_in_over": total(boundary()),
+            "balls_in_over": total(F.col("is_legal_delivery")),
+        },
     )
     match = Window.partitionBy("match_id")
     upto = match.orderBy("over").rowsBetween(Window.unboundedPreceding, 0)

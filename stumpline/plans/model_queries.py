@@ -142,7 +142,7 @@ def _streamed_states(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{fixtures.table_dir(spark, sf)}/deliveries.parquet"
     run = tempfile.mkdtemp(prefix="stream-").rsplit("/", 1)[-1]
     out = f"{fixtures.table_dir(spark, sf)}/{run}"
-    states = live.live_innings_state(live.read_ball_stream(spark, path))
+    states = live.live_innings_state(live.read_ball_stream(spark, path, files_per_batch=4))
     live.write_states(states, f"{out}/states", f"{out}/checkpoint", available_now=True).awaitTermination()
     return live.latest_states(spark, f"{out}/states")
 

@@ -14,7 +14,7 @@ from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stumpline.functions.exprs import flag, first_value, phase_of, rnd
+from stumpline.functions.exprs import ball_position, flag, phase_of, rnd
 from stumpline.operators import metrics
 from stumpline.operators.encode import encode
 from stumpline.operators.splits import scale_season, stratified_folds, stratified_split, temporal_split
@@ -253,10 +253,10 @@ def described_win_curves(
     model: PipelineModel, win_features: DataFrame, deliveries: DataFrame, matches: DataFrame
 ) -> DataFrame:
     """Curves with both sides, the actual winner and the phase of each over."""
-    sides = (
-        deliveries.where(F.col("inning") == 2)
-        .groupBy("match_id")
-        .agg(first_value("batting_team").alias("batting_team"), first_value("bowling_team").alias("bowling_team"))
+    pairs = deliveries.where(F.col("inning") == 2).groupBy("match_id", "batting_team", "bowling_team")
+    first = pairs.agg(F.min(ball_position()).alias("_first"))
+    sides = first.groupBy("match_id").agg(
+        *[F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_first"))).alias(c) for c in ("batting_team", "bowling_team")]
     )
     outcome = matches.select(F.col("id").alias("match_id"), F.col("winner").alias("actual_winner"))
     out = win_curves(model, win_features).join(sides, "match_id", "left").join(outcome, "match_id", "left")

@@ -7,14 +7,13 @@ checkpoint folder, so that later queries are ordinary pruned Parquet scans.
 from __future__ import annotations
 
 import re
-import tempfile
-from functools import cache
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from stumpline.sources.clean import clean_deliveries, clean_matches
 from stumpline.sources.io import load_parquet, save_processed
+from stumpline.sources.staging import work_dir
 
 BALLS_SQL = Path(__file__).with_name("fixture_balls.sql").read_text().rstrip()
 MATCHES_SQL = Path(__file__).with_name("fixture_matches.sql").read_text().rstrip()
@@ -25,17 +24,6 @@ _TABLE = re.compile(r"\b(FROM|JOIN) (lineitem|orders|customer|nation|region|deli
 _built: dict[tuple[str, str, str], str] = {}
 
 
-@cache
-def _local_folder(app: str) -> str:
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
-
-
-def work_dir(spark: SparkSession) -> str:
-    """Shared folder of this session; a fresh local one only where the cluster names none."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return shared.rstrip("/") if shared else _local_folder(spark.sparkContext.applicationId)
-
-
 def table_dir(spark: SparkSession, sf_dir: str) -> str:
     scale = sf_dir.rstrip("/").rsplit("/", 1)[-1]
     return f"{work_dir(spark)}/tables-{spark.sparkContext.applicationId}/{scale}"

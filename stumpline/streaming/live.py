@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from stumpline.functions.exprs import boundary, first_value, ratio, total
+from stumpline.functions.exprs import boundary, ratio, total
 from stumpline.schema import INNINGS_BALLS, INNINGS_OVERS
 
 OVER_FIELDS = ("runs_in_over", "wickets_in_over", "boundaries_in_over", "balls_in_over")
@@ -20,13 +20,13 @@ OVER_FIELDS = ("runs_in_over", "wickets_in_over", "boundaries_in_over", "balls_i
 def live_innings_state(
     balls: DataFrame, overs: int = INNINGS_OVERS, match_start: str | None = None, keep_for: str = "2 days"
 ) -> DataFrame:
-    """(match_id, inning) with the totals of every over seen so far, as an array ordered by over.
+    """(match_id, inning, batting_team) with the totals of every over seen so far, as an array ordered by over.
 
     Works on a stream (output mode "update") and on a table. Super overs are left out; balls with
     an over outside 1..``overs`` are counted in ``balls_out_of_range``. With ``match_start``, a
     timestamp that is the same for all balls of a match, the state of old matches is dropped.
     """
-    keys = ["match_id", "inning"]
+    keys = ["match_id", "inning", "batting_team"]
     if match_start:
         balls = balls.withWatermark(match_start, keep_for)
         keys.append(match_start)
@@ -43,7 +43,6 @@ def live_innings_state(
         balls.where(~F.col("is_super_over"))
         .groupBy(*keys)
         .agg(
-            first_value("batting_team").alias("batting_team"),
             total(~F.col("over").between(1, overs)).alias("balls_out_of_range"),
             *sums,
         )
@@ -56,7 +55,7 @@ def live_innings_state(
         for k in range(1, overs + 1)
     ]
     return totals.select(
-        *keys, "batting_team", "balls_out_of_range", F.array_compact(F.array(*cells)).alias("overs")
+        *keys, "balls_out_of_range", F.array_compact(F.array(*cells)).alias("overs")
     )
 
 
@@ -112,9 +111,10 @@ def write_states(states: DataFrame, out_dir: str, checkpoint_dir: str, available
 def latest_states(spark: SparkSession, out_dir: str) -> DataFrame:
     """Newest published state of every innings."""
     states = spark.read.parquet(out_dir)
-    fields = [c for c in states.columns if c not in ("match_id", "inning", "batch_id")]
+    keys = ["match_id", "inning", "batting_team"]
+    fields = [c for c in states.columns if c not in (*keys, "batch_id")]
     newest = F.max_by(F.struct(*fields), "batch_id").alias("s")
-    return states.groupBy("match_id", "inning").agg(newest).select("match_id", "inning", "s.*")
+    return states.groupBy(*keys).agg(newest).select(*keys, "s.*")
 
 
 def live_score(over_rows: DataFrame, model: PipelineModel) -> DataFrame:
