@@ -33,12 +33,15 @@ def union_label_codes(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def with_codes(df: DataFrame, codes: DataFrame, column: str, out: str, unknown: str = "minus_one",
-               few: bool = True) -> DataFrame:
+               few: bool | None = None) -> DataFrame:
     """Look labels up in a fitted dictionary.
 
     unknown: "minus_one", "zero", "null", or "error" (the job fails naming the label).
-    ``few=False`` leaves the join strategy to the optimizer instead of broadcasting.
+    A small dictionary is broadcast; beyond that the join strategy is left to the optimizer.
+    ``few`` says which it is where the caller has checked already.
     """
+    if few is None:
+        few = codes.limit(SMALL_LABELS + 1).count() <= SMALL_LABELS
     fitted = codes.select(F.col("label").alias("_label"), F.col("code").alias("_code"))
     joined = df.join(F.broadcast(fitted) if few else fitted, F.col(column) == F.col("_label"), "left")
     code = F.col("_code")

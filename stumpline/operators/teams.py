@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stumpline.functions.exprs import flag, ratio, rnd, same, total
+from stumpline.functions.exprs import flag, ratio, same, total
 from stumpline.functions.ordered import HOT_ROWS, date_key, prior_totals
 from stumpline.operators.encode import labels_are_few
 from stumpline.schema import UNSEEN_TEAM_WIN_RATE
@@ -40,20 +40,20 @@ def head_to_head_matrix(matches: DataFrame, opponents: Sequence[str] | None = No
 def team_appearances(matches: DataFrame) -> DataFrame:
     """(match_id, date, team, played, won, side) for every team of every decided match.
 
-    A winner outside the two named teams still gets the win on its record (side 0).
+    A winner outside the two named teams still gets the win on its record (side 0); a team named
+    twice gets one entry with two matches played.
     """
     won_by: Column = F.col("winner")
 
     def entry(team: Column, played: Column, won: Column, side: int) -> Column:
         return F.struct(team.alias("team"), played.alias("played"), won.alias("won"), F.lit(side).alias("side"))
 
-    t1, t2, twice = F.col("team1"), F.col("team2"), same("team1", "team2")
-    first = entry(t1, F.when(twice, 2).otherwise(1), flag(won_by == t1), 1)
-    second = entry(t2, F.when(twice, 0).otherwise(1), F.when(twice, 0).otherwise(flag(won_by == t2)), 2)
-    outside = entry(won_by, F.lit(0), F.lit(1), 0)
-    entries = F.when(same(won_by, t1) | same(won_by, t2), F.array(first, second)).otherwise(
-        F.array(first, second, outside)
+    t1, t2 = F.col("team1"), F.col("team2")
+    both_sides = F.when(same(t1, t2), F.array(entry(t1, F.lit(2), flag(won_by == t1), 1))).otherwise(
+        F.array(entry(t1, F.lit(1), flag(won_by == t1), 1), entry(t2, F.lit(1), flag(won_by == t2), 2))
     )
+    outside = entry(won_by, F.lit(0), F.lit(1), 0)
+    entries = F.when(same(won_by, t1) | same(won_by, t2), both_sides).otherwise(F.array_append(both_sides, outside))
     rows = decided(matches).select(F.col("id").alias("match_id"), "date", F.explode(entries).alias("e"))
     return rows.select("match_id", "date", "e.*")
 
@@ -68,12 +68,14 @@ def prior_win_rates(matches: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         rows, ["team"], ["_day", "match_id", "side"],
         {"wins_before": F.col("won"), "played_before": F.col("played")}, hot_rows,
     )
-    # a team named on both sides of a match has no history from that same match
-    rate = rnd(F.coalesce(ratio("wins_before", "played_before"), F.lit(0.0)), 4)
+    rate = ratio("wins_before", F.greatest("played_before", F.lit(1)), 4)
     sides = record.where(F.col("side") > 0).select("match_id", "side", rate.alias("rate"))
     pair = sides.groupBy("match_id").agg(
         F.max(F.when(F.col("side") == 1, F.col("rate"))).alias("win_rate_team1"),
-        F.max(F.when(F.col("side") == 2, F.col("rate"))).alias("win_rate_team2"),
+        F.max(F.when(F.col("side") == 2, F.col("rate"))).alias("_second"),
+    )
+    pair = pair.select(
+        "match_id", "win_rate_team1", F.coalesce("_second", "win_rate_team1").alias("win_rate_team2")
     )
     return pair.withColumn("win_rate_diff", F.col("win_rate_team1") - F.col("win_rate_team2"))
 

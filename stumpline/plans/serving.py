@@ -145,7 +145,7 @@ def score_request_features(
         }
     )
     df = with_codes(df, label_codes(matches, "venue", few), "venue", "venue_enc", unknown, few)
-    df = with_codes(df, label_codes(deliveries, "batting_team"), "batting_team", "batting_team_enc", unknown, few)
+    df = with_codes(df, label_codes(deliveries, "batting_team"), "batting_team", "batting_team_enc", unknown)
     return df.select("request_id", *SCORE_FEATURES)
 
 
