@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000  # rows of one key that a single window task may hold
 RANGES = 256  # ranges an ordering is cut into
+NO_DATE = 2**63 - 1  # sorts after every date
 
 
 def has_hot_key(df: DataFrame, key: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
@@ -36,16 +37,24 @@ def range_of(df: DataFrame, order: Sequence[str], ranges: int = RANGES) -> Colum
     return F.size(F.filter(F.from_json(F.lit(cuts), kind), lambda cut: cut <= key))
 
 
-def _join_ranges(rows: DataFrame, carried: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Attach the per-(key, range) table; a null key matches itself."""
-    on = [*key, "_range"]
-    carried = carried.withColumnsRenamed({c: f"{c}__r" for c in on})
-    cond = F.lit(True)
-    for c in on:
-        cond = cond & F.col(c).eqNullSafe(F.col(f"{c}__r"))
-    if not key:  # at most RANGES rows
-        carried = F.broadcast(carried)
-    return rows.join(carried, cond, "left").drop(*[f"{c}__r" for c in on])
+def _key_text(key: Sequence[str]) -> Column:
+    """The key as one text, different for different keys, never null: null keys form a group too."""
+    parts = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k in key]
+    return F.to_json(F.array(*parts)) if len(parts) > 1 else parts[0]
+
+
+def _in_ranges(df: DataFrame, key: Sequence[str], order: Sequence[str], ranges: int) -> tuple[DataFrame, list[str]]:
+    """Rows with their range, and the columns to group by. Windows, totals and the join that brings
+    the totals back all use exactly these columns, so the rows are shuffled once."""
+    rows = df.withColumn("_range", range_of(df, order, ranges))
+    if not key:
+        return rows, []
+    return rows.withColumn("_key", _key_text(key)), ["_key"]
+
+
+def _join_ranges(rows: DataFrame, carried: DataFrame, group: list[str]) -> DataFrame:
+    """Attach the table with one row per (key, range); without a key it has at most RANGES rows."""
+    return rows.join(carried if group else F.broadcast(carried), [*group, "_range"])
 
 
 def prior_totals(
@@ -66,19 +75,17 @@ def prior_totals(
         earlier = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({n: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for n, c in sums.items()})
 
-    rows = df.withColumn("_range", range_of(df, order, ranges))
-    inside = Window.partitionBy(*key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows, group = _in_ranges(df, key, order, ranges)
+    inside = Window.partitionBy(*group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     local = rows.withColumns({n: F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in sums.items()})
-    across = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        rows.groupBy(*key, "_range")
+        rows.groupBy(*group, "_range")
         .agg(*[F.sum(c).alias(f"_c_{n}") for n, c in sums.items()])
         .withColumns({f"_c_{n}": F.coalesce(F.sum(f"_c_{n}").over(across), F.lit(0)) for n in sums})
     )
-    joined = _join_ranges(local, carried, key)
-    return joined.withColumns({n: F.col(n) + F.col(f"_c_{n}") for n in sums}).drop(
-        "_range", *[f"_c_{n}" for n in sums]
-    )
+    joined = _join_ranges(local, carried, group)
+    return joined.withColumns({n: F.col(n) + F.col(f"_c_{n}") for n in sums}).select(*df.columns, *sums)
 
 
 def trailing_mean(
@@ -100,8 +107,8 @@ def trailing_mean(
         return df.withColumns({out: F.avg(c).over(frame) for out, c in means.items()})
 
     values = F.struct(*[F.col(c).cast("double").alias(out) for out, c in means.items()])
-    rows = df.withColumn("_range", range_of(df, order, ranges))
-    inside = Window.partitionBy(*key, "_range").orderBy(*order)
+    rows, group = _in_ranges(df, key, order, ranges)
+    inside = Window.partitionBy(*group, "_range").orderBy(*order)
     local = rows.withColumns(
         {
             "_near": F.collect_list(values).over(inside.rowsBetween(-n, -1)),
@@ -109,13 +116,13 @@ def trailing_mean(
         }
     )
     # every range present holds at least one row, so n earlier ranges hold the n rows needed
-    across = Window.partitionBy(*key).orderBy("_range").rowsBetween(-n, -1)
+    across = Window.partitionBy(*group).orderBy("_range").rowsBetween(-n, -1)
     carried = (
-        local.groupBy(*key, "_range")
+        local.groupBy(*group, "_range")
         .agg(F.max_by("_tail", F.struct(*order)).alias("_tail"))
-        .select(*key, "_range", F.flatten(F.collect_list("_tail").over(across)).alias("_carry"))
+        .select(*group, "_range", F.flatten(F.collect_list("_tail").over(across)).alias("_carry"))
     )
-    joined = _join_ranges(local.drop("_tail"), carried, key)
+    joined = _join_ranges(local.drop("_tail"), carried, group)
     joined = joined.withColumn("_seen", F.concat("_carry", "_near"))
     joined = joined.withColumn("_seen", F.slice("_seen", F.greatest(F.size("_seen") - (n - 1), F.lit(1)), n))
 
@@ -123,7 +130,7 @@ def trailing_mean(
         added = F.aggregate("_seen", F.lit(0.0), lambda acc, row: acc + row[out])
         return F.when(F.size("_seen") > 0, F.try_divide(added, F.size("_seen")))
 
-    return joined.withColumns({out: mean(out) for out in means}).drop("_range", "_near", "_carry", "_seen")
+    return joined.withColumns({out: mean(out) for out in means}).select(*df.columns, *means)
 
 
 def ranked(
@@ -148,4 +155,4 @@ def date_key(date: str = "date") -> Column:
         + F.minute(d) * F.lit(60_000_000)
         + (F.date_part(F.lit("SECOND"), d) * 1_000_000).cast("bigint")
     )
-    return F.coalesce(micros, F.lit(2**63 - 1))
+    return F.coalesce(micros, F.lit(NO_DATE))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stumpline.functions.exprs import charged_runs, credited_wicket, ratio, regulation, rnd, total, totals_with_side
-from stumpline.functions.ordered import HOT_ROWS, date_key, trailing_mean
+from stumpline.functions.ordered import HOT_ROWS, NO_DATE, date_key, trailing_mean
 from stumpline.schema import FORM_COLUMNS, FORM_MATCHES
 from stumpline.sources.staging import staged
 
@@ -50,20 +50,26 @@ def player_match_bowling(deliveries: DataFrame) -> DataFrame:
     )
 
 
-def _form(per_match: DataFrame, matches: DataFrame, columns: list[str], n: int, hot_rows: int) -> DataFrame:
-    dates = matches.select(F.col("id").alias("match_id"), "date")
-    dated = per_match.join(dates, "match_id", "left").withColumn("_day", date_key())
+def _dated(per_match: DataFrame, matches: DataFrame) -> DataFrame:
+    """The reduced table with its place in time, staged: the rows are partitioned by match already,
+    so the date joins without moving them, and the form below moves them once, to their player."""
+    days = matches.select(F.col("id").alias("match_id"), date_key().alias("_day"))
+    return staged(per_match.join(days, "match_id", "left"))
+
+
+def _form(dated: DataFrame, columns: list[str], n: int, hot_rows: int) -> DataFrame:
+    # a match that is not in the match table has no date and comes last
+    rows = dated.withColumn("_day", F.coalesce("_day", F.lit(NO_DATE)))
     means = {f"rolling_{c}": c for c in columns}
-    rows = trailing_mean(dated, ["player"], ["_day", "match_id"], means, n, hot_rows, sizing=per_match)
-    return rows.drop("_day", "date")
+    return trailing_mean(rows, ["player"], ["_day", "match_id"], means, n, hot_rows, sizing=dated).drop("_day")
 
 
 def player_batting_form(
     deliveries: DataFrame, matches: DataFrame, n_matches: int = FORM_MATCHES, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Mean of the last n matches before each match; a debutant gets the overall mean."""
-    per_match = staged(player_match_batting(deliveries))
-    form = _form(per_match, matches, ["bat_avg", "bat_sr"], n_matches, hot_rows)
+    per_match = _dated(player_match_batting(deliveries), matches)
+    form = _form(per_match, ["bat_avg", "bat_sr"], n_matches, hot_rows)
     overall = per_match.agg(F.avg("bat_avg").alias("avg"), F.avg("bat_sr").alias("sr")).first()
     return form.withColumns(
         {
@@ -77,8 +83,8 @@ def player_bowling_form(
     deliveries: DataFrame, matches: DataFrame, n_matches: int = FORM_MATCHES, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """As for batting; a debutant's strike rate is the overall median, not the mean."""
-    per_match = staged(player_match_bowling(deliveries))
-    form = _form(per_match, matches, ["bowl_econ", "bowl_sr"], n_matches, hot_rows)
+    per_match = _dated(player_match_bowling(deliveries), matches)
+    form = _form(per_match, ["bowl_econ", "bowl_sr"], n_matches, hot_rows)
     # one small job over the distinct strike rates gives the median, and the mean from their sums
     rates = per_match.groupBy("bowl_sr").agg(F.count(F.lit(1)).alias("n"), F.sum("bowl_econ").alias("e"))
     overall = rates.agg(

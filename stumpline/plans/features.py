@@ -149,8 +149,8 @@ def chase_states(deliveries: DataFrame) -> DataFrame:
 
 def build_win_probability_features(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
     outcome = matches.select(F.col("id").alias("match_id"), "winner", "venue")
-    # read three times: for the rows and for the labels of each code
-    df = staged(chase_states(deliveries)).join(outcome, "match_id", "left")
+    # staged, as it is read three times: for the rows and for the labels of each code
+    df = staged(chase_states(deliveries).join(outcome, "match_id", "left"))
     df = df.withColumn("batting_team_won", flag(F.col("batting_team") == F.col("winner")))
     df = encode(df, {"venue": "venue_enc", "batting_team": "batting_team_enc"}, _label_domain(matches))
     return _pick(df, WIN_PROB_FEATURES + ["batting_team_won", "match_id"], None)
@@ -163,9 +163,8 @@ def build_score_features(
     deliveries: DataFrame, matches: DataFrame, keep_id: bool = False, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     meta = matches.select(F.col("id").alias("match_id"), "venue", "season", "date")
-    snapshot = staged(over_ten_snapshot(deliveries))
-    df = snapshot.join(meta, "match_id", "left")
-    df = df.withColumns(
+    snapshot = staged(over_ten_snapshot(deliveries).join(meta, "match_id", "left"))
+    df = snapshot.withColumns(
         {"current_rr": rnd(F.col("runs_10") / 10, 3), "_day": date_key()}
     ).withColumn("projected_score", rnd(F.col("current_rr") * 20, 1))
     df = prior_totals(
