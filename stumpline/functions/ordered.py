@@ -147,12 +147,14 @@ def ranked(
 
 
 def date_key(date: str = "date") -> Column:
-    """Microseconds of a wall-clock timestamp as a whole number, missing dates last."""
-    d = F.col(date)
-    micros = (
-        F.unix_date(d.cast("date")).cast("bigint") * 86_400_000_000
-        + F.hour(d) * F.lit(3_600_000_000)
-        + F.minute(d) * F.lit(60_000_000)
-        + (F.date_part(F.lit("SECOND"), d) * 1_000_000).cast("bigint")
-    )
+    """Microseconds of a wall-clock timestamp as a whole number, missing dates last.
+
+    Taken from the interval since 1970, so the session time zone plays no part.
+    """
+    since = F.col(date) - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+
+    def part(field: str, micros: int) -> Column:
+        return (F.date_part(F.lit(field), since) * F.lit(micros)).cast("bigint")
+
+    micros = part("DAY", 86_400_000_000) + part("HOUR", 3_600_000_000) + part("MINUTE", 60_000_000) + part("SECOND", 1_000_000)
     return F.coalesce(micros, F.lit(NO_DATE))

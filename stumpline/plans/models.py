@@ -27,6 +27,7 @@ from stumpline.schema import (
     STEP_FEATURES,
     WIN_PROB_FEATURES,
 )
+from stumpline.sources.staging import staged
 
 Metrics = dict[str, float]
 
@@ -112,6 +113,8 @@ def evaluate(spec: Predictor, scored: DataFrame, score: str = "prediction") -> M
 
 def train(spec: Predictor, split: DataFrame) -> tuple[PipelineModel, Metrics]:
     """Fit, then measure on the held-out rows (on all rows if none are held out)."""
+    # tree boosting passes over its input several times: the split is computed once
+    split = staged(split.select(*spec.features, spec.target, "is_test"))
     model = fit(spec, split)
     held_out = split.where("is_test")
     if held_out.isEmpty():
@@ -121,7 +124,7 @@ def train(spec: Predictor, split: DataFrame) -> tuple[PipelineModel, Metrics]:
 
 def cross_validated_auc(spec: Predictor, df: DataFrame, key: list[str], folds: int = 5) -> Metrics:
     """Mean and deviation of the ROC-AUC over stratified folds."""
-    folded = stratified_folds(df, key, spec.target, folds).select(*spec.features, spec.target, "fold")
+    folded = staged(stratified_folds(df, key, spec.target, folds).select(*spec.features, spec.target, "fold"))
     evaluator = BinaryClassificationEvaluator(labelCol=spec.target, rawPredictionCol="rawPrediction")
     runs = CrossValidator(
         estimator=_pipeline(spec), estimatorParamMaps=[{}], evaluator=evaluator, numFolds=folds, foldCol="fold",

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from stumpline.functions.ordered import prior_totals, ranked, trailing_mean
+from stumpline.functions.ordered import date_key, prior_totals, ranked, trailing_mean
 from stumpline.operators.encode import encode, label_codes, union_label_codes, unknown_labels, with_codes
 
 
@@ -86,3 +86,18 @@ def test_encode_null_and_unknown(spark):
 def test_union_codes(spark):
     df = spark.createDataFrame([("b", "c"), ("a", None)], "x string, y string")
     assert rows(union_label_codes(df, "x", "y")) == [("a", 0), ("b", 1), ("c", 2)]
+
+
+def test_date_key_orders_like_the_date(spark):
+    texts = ["1969-12-31 23:59:59.5", "1970-01-01 00:00:00", "2010-04-01 00:00:00", "2010-04-01 02:30:00.25",
+             "2010-04-01 02:30:00.3", "2400-02-29 12:00:00"]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "t string").selectExpr("t", "cast(t AS timestamp_ntz) AS date")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for tz in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", tz)
+            keys = [r.k for r in df.select("t", date_key().alias("k")).orderBy("k").collect()]
+            assert [r.t for r in df.orderBy(date_key()).collect()] == [*texts, None]
+            assert keys[1] == 0 and keys[0] == -500000 and len(set(keys)) == 7
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
