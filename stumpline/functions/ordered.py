@@ -2,10 +2,12 @@
 
 A plain ``Window.partitionBy(key)`` puts a whole key into one task. That is the cheapest
 plan while every key is small, so each helper first asks the data (one pass over the key
-columns, combined map-side). Where some key is larger than ``hot_rows`` the ordering is cut
-into ranges: each (key, range) is handled on its own, and what a range needs from the
-earlier ones (running totals, or the last n rows) is carried over from a table with one row
-per (key, range). Both ways give the same rows.
+columns, combined map-side). Where some key is larger than ``hot_rows``, Spark's range
+partitioning by (key, order) cuts the rows into parts of equal weight and the cut table is
+staged, which fixes the parts. Each (key, part) is then handled on its own, and what a part
+needs from the earlier ones (running totals, or the last n rows) is carried over from a table
+with one row per (key, part): as many as there are keys, plus the parts. Both ways give the
+same rows.
 """
 
 from __future__ import annotations
@@ -15,45 +17,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stumpline.sources.staging import staged
+
 HOT_ROWS = 1_000_000  # rows of one key that a single window task may hold
-RANGES = 256  # ranges an ordering is cut into
+RANGES = 256  # parts a table is cut into, or the shuffle partitions where those are more
 NO_DATE = 2**63 - 1  # sorts after every date
 
 
 def has_hot_key(df: DataFrame, key: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
+    """Whether some key has more than ``hot_rows`` rows; with no key the table is one group."""
+    if not key:
+        return df.count() > hot_rows
     return not df.groupBy(*key).count().where(F.col("count") > hot_rows).isEmpty()
 
 
-def range_of(df: DataFrame, order: Sequence[str], ranges: int = RANGES) -> Column:
-    """Number of the range a row falls into; grows with ``order`` (non-null columns).
-
-    The cuts are the ``ranges - 1`` rows with the smallest hash of the ordering key: a
-    uniform sample, the same on every run. Only those few values reach the driver.
-    """
-    key = F.struct(*order)
-    sample = df.select(key.alias("k")).orderBy(F.xxhash64("k"), "k").limit(ranges - 1)
-    kind = sample.select(F.sort_array(F.collect_list("k"))).schema[0].dataType
-    cuts = sample.agg(F.to_json(F.sort_array(F.collect_list("k")))).first()[0]
-    return F.size(F.filter(F.from_json(F.lit(cuts), kind), lambda cut: cut <= key))
-
-
 def _key_text(key: Sequence[str]) -> Column:
     """The key as one text, different for different keys, never null: null keys form a group too."""
     parts = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("")) for k in key]
     return F.to_json(F.array(*parts)) if len(parts) > 1 else parts[0]
 
 
-def _in_ranges(df: DataFrame, key: Sequence[str], order: Sequence[str], ranges: int) -> tuple[DataFrame, list[str]]:
-    """Rows with their range, and the columns to group by. Windows, totals and the join that brings
-    the totals back all use exactly these columns, so the rows are shuffled once."""
-    rows = df.withColumn("_range", range_of(df, order, ranges))
-    if not key:
-        return rows, []
-    return rows.withColumn("_key", _key_text(key)), ["_key"]
+def _in_ranges(
+    df: DataFrame, key: Sequence[str], order: Sequence[str], ranges: int | None
+) -> tuple[DataFrame, list[str]]:
+    """Staged rows with the number of their part, and the columns to group by. Windows, totals and
+    the join that brings the totals back all use exactly these columns: one shuffle of the rows."""
+    group = ["_key"] if key else []
+    rows = df.withColumn("_key", _key_text(key)) if key else df
+    if ranges is None:
+        ranges = max(RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cut = rows.repartitionByRange(ranges, *group, *order).withColumn("_range", F.spark_partition_id())
+    return staged(cut), group
 
 
 def _join_ranges(rows: DataFrame, carried: DataFrame, group: list[str]) -> DataFrame:
-    """Attach the table with one row per (key, range); without a key it has at most RANGES rows."""
+    """Attach the table with one row per (key, part); without a key it has one row per part."""
     return rows.join(carried if group else F.broadcast(carried), [*group, "_range"])
 
 
@@ -63,15 +61,16 @@ def prior_totals(
     order: Sequence[str],
     sums: dict[str, Column],
     hot_rows: int = HOT_ROWS,
-    ranges: int = RANGES,
+    ranges: int | None = None,
     sizing: DataFrame | None = None,
 ) -> DataFrame:
     """Totals over the rows of the same key that come strictly earlier; 0 for the first row.
 
     ``order`` must be total within a key. An empty ``key`` runs over the whole table.
+    ``ranges`` sets the number of parts by hand.
     ``sizing``: a cheaper table with at least as many rows per key, to look for large keys in.
     """
-    if key and not has_hot_key(df if sizing is None else sizing, key, hot_rows):
+    if not has_hot_key(df if sizing is None else sizing, key, hot_rows):
         earlier = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({n: F.coalesce(F.sum(c).over(earlier), F.lit(0)) for n, c in sums.items()})
 
@@ -95,7 +94,7 @@ def trailing_mean(
     means: dict[str, str],
     n: int,
     hot_rows: int = HOT_ROWS,
-    ranges: int = RANGES,
+    ranges: int | None = None,
     sizing: DataFrame | None = None,
 ) -> DataFrame:
     """Mean of each column over the ``n`` rows of the key before this one, null where there are none.
@@ -115,7 +114,7 @@ def trailing_mean(
             "_tail": F.collect_list(values).over(inside.rowsBetween(-(n - 1), 0)),
         }
     )
-    # every range present holds at least one row, so n earlier ranges hold the n rows needed
+    # every part present holds at least one row, so n earlier parts hold the n rows needed
     across = Window.partitionBy(*group).orderBy("_range").rowsBetween(-n, -1)
     carried = (
         local.groupBy(*group, "_range")
@@ -139,7 +138,7 @@ def ranked(
     order: Sequence[str],
     out: str = "rank",
     hot_rows: int = HOT_ROWS,
-    ranges: int = RANGES,
+    ranges: int | None = None,
 ) -> DataFrame:
     """1-based position within the key, or within the whole table for an empty key."""
     placed = prior_totals(df, key, order, {out: F.lit(1)}, hot_rows, ranges)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stumpline.functions.ordered import ranked
+from stumpline.functions.ordered import HOT_ROWS, ranked
 
 SMALL_LABELS = 100_000  # a dictionary up to this size is ranked in one task and broadcast
 
@@ -16,14 +16,14 @@ def labels_are_few(df: DataFrame, columns, limit: int = SMALL_LABELS) -> bool:
     return all(n <= limit for n in seen)
 
 
-def label_codes(df: DataFrame, column: str, few: bool | None = None) -> DataFrame:
+def label_codes(df: DataFrame, column: str, few: bool | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Dictionary (label, code) of the labels in ``column``."""
     labels = df.select(F.col(column).alias("label")).where(F.col("label").isNotNull()).distinct()
     if few is None:
         few = labels_are_few(df, [column])
     if few:
         return labels.select("label", (F.row_number().over(Window.orderBy("label")) - 1).alias("code"))
-    return ranked(labels, [], ["label"], "code").withColumn("code", (F.col("code") - 1).cast("int"))
+    return ranked(labels, [], ["label"], "code", hot_rows).withColumn("code", (F.col("code") - 1).cast("int"))
 
 
 def union_label_codes(df: DataFrame, *columns: str) -> DataFrame:

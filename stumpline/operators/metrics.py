@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stumpline.functions.exprs import ratio, rnd, total
-from stumpline.functions.ordered import RANGES, prior_totals
+from stumpline.functions.ordered import HOT_ROWS, prior_totals
 
 PROBABILITY_FLOOR = 2.220446049250313e-16  # double precision epsilon
 
@@ -39,7 +39,7 @@ def binary_metrics(scored: DataFrame, score: str, label: str, threshold: float =
     )
 
 
-def score_table(scored: DataFrame, score: str, label: str, ranges: int = RANGES) -> DataFrame:
+def score_table(scored: DataFrame, score: str, label: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per distinct score: positives and negatives there, and at all higher scores."""
     real = F.col(label) == 1
     levels = (
@@ -48,13 +48,13 @@ def score_table(scored: DataFrame, score: str, label: str, ranges: int = RANGES)
         .agg(total(real).alias("pos"), total(~real).alias("neg"))
     )
     return prior_totals(
-        levels, [], ["_down"], {"pos_above": F.col("pos"), "neg_above": F.col("neg")}, ranges=ranges
+        levels, [], ["_down"], {"pos_above": F.col("pos"), "neg_above": F.col("neg")}, hot_rows
     )
 
 
-def roc_auc(scored: DataFrame, score: str, label: str, ranges: int = RANGES) -> DataFrame:
+def roc_auc(scored: DataFrame, score: str, label: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Area under the ROC curve, ties counted half."""
-    t = score_table(scored, score, label, ranges)
+    t = score_table(scored, score, label, hot_rows)
     area = F.sum((F.col("pos_above") * 2 + F.col("pos")) * F.col("neg"))
     counts = t.agg(area.alias("twice"), F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return counts.select(
@@ -64,9 +64,9 @@ def roc_auc(scored: DataFrame, score: str, label: str, ranges: int = RANGES) ->
     )
 
 
-def average_precision(scored: DataFrame, score: str, label: str, ranges: int = RANGES) -> DataFrame:
+def average_precision(scored: DataFrame, score: str, label: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Step-wise area under the precision-recall curve."""
-    t = score_table(scored, score, label, ranges)
+    t = score_table(scored, score, label, hot_rows)
     hits = F.col("pos_above") + F.col("pos")
     seen = hits + F.col("neg_above") + F.col("neg")
     step = F.col("pos") * hits.cast("double") / seen

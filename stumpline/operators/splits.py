@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stumpline.functions.exprs import rnd
-from stumpline.functions.ordered import HOT_ROWS, RANGES, ranked
+from stumpline.functions.ordered import HOT_ROWS, ranked
 
 TEST_SHARE = 0.2
 
 
-def temporal_cut(df: DataFrame, id_column: str = "match_id", share: float = TEST_SHARE, ranges: int = RANGES):
+def temporal_cut(df: DataFrame, id_column: str = "match_id", share: float = TEST_SHARE,
+                 hot_rows: int = HOT_ROWS):
     """Largest id still in training: the last floor(share * n) distinct ids are the test set.
 
     With so few ids that the test set is empty, everything is training data. The result is one
@@ -19,15 +20,15 @@ def temporal_cut(df: DataFrame, id_column: str = "match_id", share: float = TEST
     """
     ids = df.select(id_column).where(F.col(id_column).isNotNull()).distinct()
     n = ids.count()
-    placed = ranked(ids, [], [id_column], "_rank", ranges=ranges)
+    placed = ranked(ids, [], [id_column], "_rank", hot_rows)
     at_cut = placed.where(F.col("_rank") == n - int(n * share)).first()
     return None if at_cut is None else at_cut[id_column]
 
 
 def temporal_split(df: DataFrame, id_column: str = "match_id", share: float = TEST_SHARE,
-                   ranges: int = RANGES) -> DataFrame:
+                   hot_rows: int = HOT_ROWS) -> DataFrame:
     """Adds ``is_test``."""
-    return df.withColumn("is_test", F.col(id_column) > F.lit(temporal_cut(df, id_column, share, ranges)))
+    return df.withColumn("is_test", F.col(id_column) > F.lit(temporal_cut(df, id_column, share, hot_rows)))
 
 
 def _shuffled_key(key: list[str]) -> Column:

@@ -50,9 +50,9 @@ def test_trailing_mean_matches_a_loop(skewed, n, hot_rows):
     assert rows(got, "k", "id", "m") == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("ranges", [2, 7, 1000])
-def test_rank_over_the_whole_table(skewed, ranges):
-    got = ranked(skewed, [], ["id"], ranges=ranges)
+@pytest.mark.parametrize("hot_rows, ranges", [(5, 2), (5, 7), (5, 50), (1000, None)])
+def test_rank_over_the_whole_table(skewed, hot_rows, ranges):
+    got = ranked(skewed, [], ["id"], hot_rows=hot_rows, ranges=ranges)
     assert rows(got, "id", "rank") == sorted([(i, i + 1) for i in range(400)], key=repr)
 
 
@@ -66,7 +66,7 @@ def test_partitioning_does_not_matter(spark, skewed, partitions):
 def test_label_codes_both_ways(spark):
     names = [f"player {i:03d}" for i in range(150)] + ["Ångström", "zz", "a"]
     df = spark.createDataFrame([(n,) for n in names * 2] + [(None,)], "name string")
-    few, many = label_codes(df, "name", True), label_codes(df, "name", False)
+    few, many = label_codes(df, "name", True), label_codes(df, "name", False, hot_rows=20)
     want = sorted([(n, i) for i, n in enumerate(sorted(names))], key=repr)
     assert rows(few) == rows(many) == want
 
