@@ -111,3 +111,12 @@ def test_filters_and_columns_reach_the_scan(tables, capsys):
     assert "EqualTo(batsman,Mumbai Indians P1)" in plan
     assert "GreaterThanOrEqual(season,1993)" in plan
     assert "bowling_team" not in plan
+
+
+def test_drop_staged_removes_only_this_sessions_tables(spark, tables):
+    _, m = tables
+    copy = staging.staged(m)
+    staging.drop_staged(spark)
+    with pytest.raises(Exception, match="not exist|NOT_EXIST|NOT_FOUND"):
+        copy.collect()
+    assert m.count() > 0
