@@ -7,22 +7,19 @@ a re-read and not a recomputation of everything before.
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-@cache
-def _local_folder(app: str) -> str:
-    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+_used: dict[str, SparkSession] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
-    """Shared folder of this session; a fresh local one only where the cluster names none."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return shared.rstrip("/") if shared else _local_folder(spark.sparkContext.applicationId)
+    """Shared folder of this session: ``spark.checkpoint.dir``, else the session's warehouse, which is shared too."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (shared or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work").rstrip("/")
 
 
 def _stage_root(spark: SparkSession) -> str:
@@ -32,12 +29,33 @@ def _stage_root(spark: SparkSession) -> str:
 def staged(df: DataFrame) -> DataFrame:
     """Write ``df`` now and return the written table."""
     spark = df.sparkSession
-    path = f"{_stage_root(spark)}/{uuid.uuid4().hex}"
+    root = _stage_root(spark)
+    path = f"{root}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if root not in _used:
+        _used[root] = spark
+        atexit.register(_drop_at_exit, root)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _drop_at_exit(root: str) -> None:
+    """Staged tables end with the session that made them; a session that is gone already can't drop them."""
+    with contextlib.suppress(Exception):
+        _drop(_used.pop(root), root)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def drop_table(df: DataFrame) -> None:
+    """Remove one staged table that nothing reads any more."""
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if "/staged-" in folder:
+            _drop(df.sparkSession, folder)
+
+
 def drop_staged(spark: SparkSession) -> None:
     """Remove this session's staged tables once their results are stored elsewhere."""
-    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_stage_root(spark))
-    root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(root, True)
+    _drop(spark, _stage_root(spark))
