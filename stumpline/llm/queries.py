@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stumpline.llm.cluster import staged
 from stumpline.llm.exact_dedup import exact_duplicates
+from stumpline.llm.huffman import new_path, summarised_ids, write_ids
+from stumpline.llm.tokens import id_type, tokenised
+from stumpline.sources.staging import drop_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +21,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "token-files")
+    tokens = staged(tokenised(table(spark, sf_dir, "documents")), "zstd")
+    write_ids(tokens, path, id_type())
+    drop_table(tokens)
+    return summarised_ids(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_token_files": op8_token_files,
 }
