@@ -26,12 +26,12 @@ def _stage_root(spark: SparkSession) -> str:
     return f"{work_dir(spark)}/staged-{spark.sparkContext.applicationId}"
 
 
-def staged(df: DataFrame) -> DataFrame:
+def staged(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """Write ``df`` now and return the written table."""
     spark = df.sparkSession
     root = _stage_root(spark)
     path = f"{root}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     if root not in _used:
         _used[root] = spark
         atexit.register(_drop_at_exit, root)
