@@ -25,6 +25,7 @@ from stumpline.llm.arrays import mixed
 from stumpline.llm.cluster import ship, staged
 
 BUCKET = 1 << 16
+SENT = 200_000
 WHITE_SPACE = r"[\x20\x09-\x0D]"
 
 
@@ -33,7 +34,7 @@ WHITE_SPACE = r"[\x20\x09-\x0D]"
 
 
 def _slots(keys: np.ndarray, seed: int, segment: int, segments: int) -> np.ndarray:
-    h = mixed(keys + np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15))
+    h = mixed(keys + np.uint64(seed * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
     first = ((h >> np.uint64(32)) * np.uint64(segments)) >> np.uint64(32)
     mask = np.uint64(segment - 1)
     base = first * np.uint64(segment)
@@ -91,12 +92,13 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), WHITE_SPACE, "")
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n_chars, digest), written once: the texts are read, their digests kept."""
+def digests(docs: DataFrame, arrived: Column) -> DataFrame:
+    """(row, doc_id, arrived, n_chars, digest), written once: the texts are read, their digests kept."""
     return staged(
         docs.select(
             F.monotonically_increasing_id().alias("row"),
             F.col("doc_id").cast("long").alias("doc_id"),
+            arrived.alias("arrived"),
             F.length(F.coalesce(F.col("text"), F.lit(""))).alias("n_chars"),
             F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"),
         )
@@ -104,14 +106,16 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def groups(rows: DataFrame) -> DataFrame:
-    """One row for each digest: its rows' number and the row that stays."""
-    return rows.groupBy("digest").agg(
+    """One row for each digest and side: its rows' number and the row that stays."""
+    return rows.groupBy("digest", "arrived").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.struct("n_chars", (-F.col("doc_id")).alias("neg_id"), (-F.col("row")).alias("neg_row"))).alias("best")
     )
 
 
 def _addressed(groups_of: DataFrame, buckets: int) -> DataFrame:
-    return groups_of.select("digest", F.xxhash64("digest").alias("key"), F.pmod(F.hash("digest"), F.lit(buckets)).alias("bucket"))
+    return groups_of.select(
+        "digest", F.col("best.neg_id").alias("neg_id"), F.xxhash64("digest").alias("key"), F.pmod(F.hash("digest"), F.lit(buckets)).alias("bucket")
+    )
 
 
 def snapshot_filters(snapshot: DataFrame, buckets: int) -> DataFrame:
@@ -129,26 +133,25 @@ def screened(batch: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
 
     def screen(rows: pd.DataFrame, filter_of: pd.DataFrame) -> pd.DataFrame:
         if rows.empty or filter_of.empty:
-            return pd.DataFrame({"digest": []}, dtype=object)
+            return pd.DataFrame({"digest": [], "new": []})
         f = filter_of.iloc[0]
         through = may_contain(rows["key"].to_numpy(np.int64).view(np.uint64), int(f["seed"]), int(f["segment"]), int(f["segments"]), f["slots"])
-        return rows.loc[through, ["digest"]]
+        return rows.loc[through, ["digest", "neg_id"]].rename(columns={"neg_id": "new"})
 
-    return _addressed(batch, buckets).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(screen, "digest binary")
+    return _addressed(batch, buckets).groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(screen, "digest binary, new long")
 
 
-def confirmed(positives: DataFrame, snapshot: DataFrame, batch: DataFrame, docs: DataFrame) -> DataFrame:
-    """Positives in the snapshot's exact table whose texts are the same bytes: (digest, same).
+def unequal_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Digests of (digest, old, new) whose two texts aren't the same bytes.
 
-    Only the row that stays of either side is compared, as rows of one digest and side are one group already.
+    Only the row that stays of either side is compared, as rows of one digest and side are one group already. Up to
+    ``SENT`` wanted rows are sent to the scan, so that only their texts are shuffled; beyond it, all texts are.
     """
-    matched = positives.join(snapshot, "digest").select("digest", F.col("best.neg_id").alias("old")).join(batch, "digest")
-    pairs = staged(matched.select("digest", "old", F.col("best.neg_id").alias("new")))
-    wanted = pairs.select("digest", F.explode(F.array("old", "new")).alias("neg_id"))
+    wanted = pairs.select(F.explode(F.array("old", "new")).alias("neg_id"))
+    wanted = F.broadcast(wanted) if pairs.count() <= SENT // 2 else wanted
     texts = docs.select((-F.col("doc_id").cast("long")).alias("neg_id"), normalised(F.col("text")).alias("norm"))
-    texts = texts.withColumn("digest", F.unhex(F.sha2("norm", 256))).join(wanted, ["digest", "neg_id"], "left_semi")
-    unequal = texts.groupBy("digest").agg((F.min("norm") != F.max("norm")).alias("unequal")).where("unequal")
-    return pairs.select("digest").join(unequal, "digest", "left").select("digest", F.col("unequal").isNull().alias("same"))
+    texts = texts.join(wanted, "neg_id", "left_semi").select(F.unhex(F.sha2("norm", 256)).alias("digest"), "norm")
+    return texts.groupBy("digest").agg((F.min("norm") != F.max("norm")).alias("unequal")).where("unequal").select("digest")
 
 
 def exact_duplicates(docs: DataFrame, incoming: Column | None = None) -> DataFrame:
@@ -159,30 +162,35 @@ def exact_duplicates(docs: DataFrame, incoming: Column | None = None) -> DataFra
     """
     ship(docs.sparkSession)
     incoming = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 1 if incoming is None else incoming
-    rows = digests(docs)
-    snapshot = staged(groups(rows.where(~incoming)))
-    batch = staged(groups(rows.where(incoming)))
+    rows = digests(docs, F.coalesce(incoming, F.lit(False)))
+    grouped = staged(groups(rows))
+    snapshot, batch = grouped.where("not arrived"), grouped.where("arrived")
     buckets = max(1, math.ceil(snapshot.count() / BUCKET))
-    filters = staged(snapshot_filters(snapshot, buckets))
-    positives = screened(batch, filters, buckets)
-    same = staged(confirmed(positives, snapshot, batch, docs))
+    positives = screened(batch, snapshot_filters(snapshot, buckets), buckets)
+    pairs = staged(positives.join(snapshot, "digest").select("digest", F.col("best.neg_id").alias("old"), "new"))
 
-    marked = batch.join(same, "digest", "left").withColumn("twin", (~F.coalesce("same", F.lit(True))).cast("int"))
-    either = snapshot.select("digest", F.lit(0).alias("twin"), "n", "best", F.lit(False).alias("met")).unionByName(
-        marked.select("digest", "twin", "n", "best", F.col("same").isNotNull().alias("met"))
+    facts = (
+        grouped.unionByName(pairs.select("digest", F.lit(True).alias("met")), allowMissingColumns=True)
+        .unionByName(unequal_texts(pairs, docs).withColumn("unequal", F.lit(True)), allowMissingColumns=True)
+        .groupBy("digest")
+    )
+    old, new = ~F.col("arrived"), F.col("arrived")
+    sides = facts.agg(
+        F.sum(F.when(old, F.col("n")).otherwise(0)).alias("n_old"),
+        F.sum(F.when(new, F.col("n")).otherwise(0)).alias("n_new"),
+        F.max(F.when(old, F.col("best"))).alias("old"),
+        F.max(F.when(new, F.col("best"))).alias("new"),
+        F.max("met").alias("met"),
+        F.max("unequal").alias("unequal"),
     )
-    whole = either.groupBy("digest", "twin").agg(F.sum("n").alias("group_size"), F.max("best").alias("best"), F.max("met").alias("met"))
-    sided = rows.withColumn("arrived", F.coalesce(incoming, F.lit(False)))
-    if not same.where("not same").isEmpty():  # unequal texts of one digest: the batch's group is its own
-        twins = same.where("not same").select("digest", F.lit(True).alias("arrived"), F.lit(1).alias("twin"))
-        sided = sided.join(twins, ["digest", "arrived"], "left").withColumn("twin", F.coalesce("twin", F.lit(0)))
-    else:
-        sided = sided.withColumn("twin", F.lit(0))
-    return sided.join(whole, ["digest", "twin"]).select(
+    own = F.col("unequal").isNotNull()
+    best = F.when(own, F.when(new, F.col("new")).otherwise(F.col("old"))).otherwise(F.greatest("old", "new"))
+    size = F.when(own, F.when(new, F.col("n_new")).otherwise(F.col("n_old"))).otherwise(F.col("n_old") + F.col("n_new"))
+    return rows.join(sides, "digest").select(
         "doc_id",
-        (-F.col("best.neg_id")).alias("keep_id"),
-        "group_size",
-        (F.col("row") == -F.col("best.neg_row")).alias("kept"),
+        (-best["neg_id"]).alias("keep_id"),
+        size.alias("group_size"),
+        (F.col("row") == -best["neg_row"]).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
-        F.when(~F.col("arrived"), "snapshot").when(F.col("met"), "copy").otherwise("new").alias("origin"),
+        F.when(old, "snapshot").when(F.col("met") & ~own, "copy").otherwise("new").alias("origin"),
     )
