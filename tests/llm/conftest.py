@@ -1,0 +1,6 @@
+import pytest
+
+
+@pytest.fixture(scope="session")
+def docs(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
