@@ -108,5 +108,16 @@ def window_hashes(hashes: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     return mixed((sums[size:] - sums[:-size]) * powers(_WORD_INVERSE, len(hashes))[:n] + keyed(seed))
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, the place of one of each, and for every entry the index of its value."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.ones(len(x), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    inverse = np.empty(len(x), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ordered[new], order[new], inverse
+
+
 def binary(rows: list[bytes]) -> pa.Array:
     return pa.array(rows, pa.binary())

@@ -20,7 +20,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +30,7 @@ from stumpline.sources.staging import work_dir
 
 LIMIT = 20
 STRIDE = 256
-BLOCK_BYTES = 1 << 18
+BLOCK_BYTES = 1 << 20
 _PAD = 4
 
 
@@ -105,16 +104,20 @@ def encode_rows(ids: np.ndarray, begins: np.ndarray, codes: np.ndarray, lengths:
     counts = np.diff(begins)
     within = bits[:-1] - np.repeat(row_bits[:-1], counts)
     at = within + np.repeat(row_bytes[:-1] * 8, counts)
-    window = codes[ids].astype(np.int64) << (32 - (at & 7) - size)
-    byte = at >> 3
-    out = np.zeros(row_bytes[-1] + _PAD, np.int64)
-    for k in range(4):
-        out += np.bincount(byte + k, weights=(window >> (24 - 8 * k)) & 255, minlength=len(out)).astype(np.int64)
+    window = codes[ids].astype(np.uint64) << (64 - (at & 31) - size).astype(np.uint64)
+    word = at >> 5
+    words = np.zeros(row_bytes[-1] // 4 + 2, np.uint64)
+    if len(word):  # neighbours share a word; only the last code of a word can reach into the next
+        begin = np.flatnonzero(np.diff(word, prepend=-1))
+        last = np.append(begin[1:], len(word)) - 1
+        words[word[begin]] += np.add.reduceat(window >> np.uint64(32), begin)
+        words[word[last] + 1] += window[last] & np.uint64(0xFFFFFFFF)
+    out = words.astype(">u4").view(np.uint8)
     marks = (counts + STRIDE - 1) // STRIDE
     first_mark = np.concatenate([[0], np.cumsum(marks)])
     nth = np.arange(first_mark[-1]) - np.repeat(first_mark[:-1], marks)
     checkpoints = within[np.repeat(begins[:-1], marks) + nth * STRIDE].astype("<u4")
-    return out[: row_bytes[-1]].astype(np.uint8), row_bytes, checkpoints, first_mark
+    return out[: row_bytes[-1]], row_bytes, checkpoints, first_mark
 
 
 def decode_rows(data: np.ndarray, first_byte: np.ndarray, counts: np.ndarray, checkpoints: np.ndarray, table: tuple) -> np.ndarray:
@@ -161,29 +164,42 @@ def id_counts(tokens: DataFrame, dtype: np.dtype) -> DataFrame:
     return tokens.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def _coded(lengths: np.ndarray, dtype: np.dtype) -> Callable:
+def _coded(lengths: np.ndarray, dtype: np.dtype, bounds: np.ndarray) -> Callable:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = canonical(lengths)
         for rows, data, offsets in pieces(batches, "ids"):
             out, first_byte, checkpoints, first_mark = encode_rows(np.frombuffer(data.tobytes(), dtype), offsets // dtype.itemsize, codes, lengths)
             raw, marks = out.tobytes(), checkpoints.tobytes()
+            ids = rows.column("doc_id")
+            part = np.where(ids.is_valid(), np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False), "left"), 0)
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array(part, pa.int32()),
                     *(rows.column(c) for c in ("doc_id", "row", "n_tokens")),
                     binary([raw[a:b] for a, b in zip(first_byte[:-1], first_byte[1:], strict=True)]),
                     binary([marks[4 * a : 4 * b] for a, b in zip(first_mark[:-1], first_mark[1:], strict=True)]),
                 ],
-                ["doc_id", "row", "n_tokens", "bits", "marks"],
+                ["part", "doc_id", "row", "n_tokens", "bits", "marks"],
             )
 
     return encode
 
 
+def _by_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        part = batch.column("part").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if high > low:
+                yield batch.slice(low, high - low)
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs of sorted documents as blocks; each knows how many ids of its part come before it."""
-    part = TaskContext.get().partitionId()
-    before = block = 0
-    for rows, data, offsets in pieces(batches, "bits", BLOCK_BYTES):
+    part, before, block = -1, 0, 0
+    for rows, data, offsets in pieces(_by_part(batches), "bits", BLOCK_BYTES):
+        if rows.column("part")[0].as_py() != part:
+            part, before, block = rows.column("part")[0].as_py(), 0, 0
         counts = rows.column("n_tokens").to_numpy(zero_copy_only=False).astype("<i8")
         ids = rows.column("doc_id")
         marks, _ = flat(rows.column("marks"))
@@ -213,8 +229,8 @@ BLOCKS = "part int, block long, before long, n_ids long, doc_ids binary, has_id
 def write_ids(tokens: DataFrame, path: str, dtype: np.dtype) -> None:
     """Write (doc_id, n_tokens, ids) as a file set in ascending doc_id order.
 
-    ``tokens`` is read three times, so it should be a written table: for the counts, for Spark's sample of the
-    documents' order, and for the codes. What is shuffled is the codes.
+    ``tokens`` is read three times, so it should be a written table: for the counts, for the ids at which the files'
+    parts meet (its doc_id column alone), and for the codes. What is shuffled is the codes.
     """
     spark = tokens.sparkSession
     ship(spark)
@@ -224,9 +240,11 @@ def write_ids(tokens: DataFrame, path: str, dtype: np.dtype) -> None:
         total[i] = n
     lengths = code_lengths(total)
     spark.createDataFrame([(bytearray(lengths.tobytes()),)], "lengths binary").coalesce(1).write.parquet(f"{path}/codes")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = np.array(tokens.approxQuantile("doc_id", [i / parts for i in range(1, parts)], max(0.1 / parts, 1e-4)) if parts > 1 else [], float)
     rows = tokens.withColumn("row", F.monotonically_increasing_id())
-    coded = rows.mapInArrow(_coded(lengths, dtype), "doc_id long, row long, n_tokens long, bits binary, marks binary")
-    ordered = coded.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
+    coded = rows.mapInArrow(_coded(lengths, dtype, bounds), "part int, doc_id long, row long, n_tokens long, bits binary, marks binary")
+    ordered = coded.repartition(parts, "part").sortWithinPartitions("part", "doc_id", "row")
     ordered.mapInArrow(_blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 

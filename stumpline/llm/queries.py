@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stumpline.llm.cluster import staged
 from stumpline.llm.exact_dedup import exact_duplicates
 from stumpline.llm.huffman import new_path, summarised_ids, write_ids
+from stumpline.llm.packing import packed_documents
 from stumpline.llm.secrets import digest, scanned
 from stumpline.llm.tokens import id_type, tokenised
 from stumpline.sources.staging import drop_table
@@ -30,6 +31,10 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarised_ids(spark, path)
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scanned(table(spark, sf_dir, "documents")))
 
@@ -37,5 +42,6 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op8_token_files": op8_token_files,
+    "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
 }

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stumpline.llm.arrays import IS_SPACE, binary, pieces, span_hashes
+from stumpline.llm.arrays import IS_SPACE, binary, distinct, pieces, span_hashes
 from stumpline.llm.cluster import bounded_text, ship
 
 WORD_BPE = "word_bpe_49k.json"
@@ -70,31 +70,37 @@ class Vocabulary:
     def _one_by_one(self, units: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
 
-    def _together(self, units: list[str]) -> list:
-        """Ids of units that are one word each to the vocabulary: joined by spaces, parted where a word ends."""
-        found: list = []
+    def _together(self, units: list[str]) -> tuple[list, list]:
+        """Ids of units that are one word each to the vocabulary, and how many: joined, and parted where a word ends."""
+        ids: list = []
+        lengths: list = []
         groups = [units[i : i + JOINED] for i in range(0, len(units), JOINED)]
         for group, x in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(x.ids, np.int64)
-            cuts = np.flatnonzero(self.ends_word[ids]) + 1
-            found += np.split(ids, cuts[:-1]) if len(cuts) == len(group) and cuts[-1] == len(ids) else self._one_by_one(group)
-        return found
+            got = np.array(x.ids, self.dtype)
+            cuts = np.flatnonzero(self.ends_word[got]) + 1
+            if len(cuts) == len(group) and cuts[-1] == len(got):
+                ids.append(got)
+                lengths.append(np.diff(cuts, prepend=0))
+            else:
+                each = self._one_by_one(group)
+                ids += each
+                lengths.append([len(e) for e in each])
+        return ids, lengths
 
     def learn(self, keys: np.ndarray, units: list[str]) -> None:
-        """Encode new units; keys are sorted and not known yet."""
-        plain = [i for i, u in enumerate(units) if u.isalpha() or (u.isascii() and "'" not in u and u.isprintable())]
-        mixed = sorted(set(range(len(units))) - set(plain))
-        runs: list = [None] * len(units)
-        for at, got in ((plain, self._together([units[i] for i in plain])), (mixed, self._one_by_one([units[i] for i in mixed]))):
-            for i, ids in zip(at, got, strict=True):
-                runs[i] = ids
-        lengths = np.array([len(r) for r in runs], np.int64)
-        new = np.concatenate([np.asarray(r, self.dtype) for r in runs]) if runs else np.zeros(0, self.dtype)
-        all_keys = np.concatenate([self.keys, keys])
+        """Encode new units whose keys aren't known yet."""
+        plain, mixed = [], []
+        for i, u in enumerate(units):
+            (plain if u.isalpha() or (u.isascii() and "'" not in u and u.isprintable()) else mixed).append(i)
+        ids, lengths = self._together([units[i] for i in plain])
+        each = self._one_by_one([units[i] for i in mixed])
+        kinds = [np.asarray(x, self.dtype) for x in (*ids, *each)]
+        lengths = np.concatenate([*lengths, [len(e) for e in each]]).astype(np.int64)
+        all_keys = np.concatenate([self.keys, keys[plain + mixed]])
         offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
-        order = np.argsort(all_keys, kind="stable")
+        order = np.argsort(all_keys)
         self.keys = all_keys[order]
-        self.ids, lengths = expanded(np.concatenate([self.ids, new]), offsets, order)
+        self.ids, lengths = expanded(np.concatenate([self.ids, *kinds]), offsets, order)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +117,7 @@ class Vocabulary:
         if not len(starts):
             return np.zeros(0, self.dtype), np.zeros(rows, np.int64)
         data = _folded(data, starts, ends)
-        unique, at, inverse = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        unique, at, inverse = distinct(span_hashes(data, starts, ends))
         if not (((ends - starts) == (ends - starts)[at][inverse]).all()):
             raise ValueError("two units share a hash")
         if len(self.keys) > KEPT:
@@ -145,14 +151,12 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _folded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Lower case for units that are ASCII alone; in others, composition may come before lower case."""
-    wide = np.concatenate([[0], np.cumsum(data >= 128)])
-    mixed = wide[ends] > wide[starts]
     lower = _LOWER[data]
-    if mixed.any():
-        within = np.zeros(len(data) + 1, np.int8)
-        np.add.at(within, starts[mixed], 1)
-        np.add.at(within, ends[mixed], -1)
-        lower = np.where(np.cumsum(within[:-1]) > 0, data, lower)
+    capital = np.flatnonzero(lower != data)
+    mixed = np.zeros(len(starts), bool)
+    mixed[np.searchsorted(starts, np.flatnonzero(data >= 128), "right") - 1] = True
+    keep = capital[mixed[np.searchsorted(starts, capital, "right") - 1]]
+    lower[keep] = data[keep]
     return lower
 
 
