@@ -11,6 +11,7 @@ from stumpline.llm.exact_dedup import exact_duplicates
 from stumpline.llm.huffman import new_path, summarised_ids, write_ids
 from stumpline.llm.packing import packed_documents
 from stumpline.llm.secrets import digest, scanned
+from stumpline.llm.substring_dedup import repeats_removed
 from stumpline.llm.tokens import id_type, tokenised
 from stumpline.sources.staging import drop_table
 
@@ -19,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_removed(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -40,6 +45,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_substring_dedup": op2_substring_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_token_files": op8_token_files,
     "op9_packing": op9_packing,

@@ -35,7 +35,7 @@ LEAST_ASSIGNED = 12
 
 LENGTH = 16
 DISTINCT = 8
-RATIO = 0.7
+RATIO = 0.3
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LENGTH)
 SEEDED = 500
 
