@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stumpline.llm.cluster import staged
 from stumpline.llm.exact_dedup import exact_duplicates
 from stumpline.llm.huffman import new_path, summarised_ids, write_ids
+from stumpline.llm.jaccard_join import similar_documents
 from stumpline.llm.packing import packed_documents
 from stumpline.llm.secrets import digest, scanned
 from stumpline.llm.substring_dedup import repeats_removed
@@ -24,6 +25,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(table(spark, sf_dir, "documents"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -46,6 +51,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_exact_dedup": op6_exact_dedup,
     "op8_token_files": op8_token_files,
     "op9_packing": op9_packing,
