@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stumpline.llm.cluster import staged
+from stumpline.llm.embedding_dedup import similar_vectors
 from stumpline.llm.exact_dedup import exact_duplicates
 from stumpline.llm.huffman import new_path, summarised_ids, write_ids
 from stumpline.llm.jaccard_join import similar_documents
@@ -33,6 +34,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "token-files")
     tokens = staged(tokenised(table(spark, sf_dir, "documents")), "zstd")
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_token_files": op8_token_files,
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
