@@ -15,6 +15,7 @@ from stumpline.llm.packing import packed_documents
 from stumpline.llm.secrets import digest, scanned
 from stumpline.llm.substring_dedup import repeats_removed
 from stumpline.llm.tokens import id_type, tokenised
+from stumpline.llm.toxicity import scored, trained
 from stumpline.sources.staging import drop_table
 
 
@@ -26,6 +27,11 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return scored(docs, trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
 
@@ -56,6 +62,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
