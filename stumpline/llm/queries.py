@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from stumpline.llm.cluster import staged
 from stumpline.llm.embedding_dedup import similar_vectors
 from stumpline.llm.exact_dedup import exact_duplicates
+from stumpline.llm.html_extract import extracted
 from stumpline.llm.huffman import new_path, summarised_ids, write_ids
 from stumpline.llm.jaccard_join import similar_documents
 from stumpline.llm.packing import packed_documents
@@ -27,6 +28,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(table(spark, sf_dir, "pages"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return scored(docs, trained(docs, table(spark, sf_dir, "labels")))
@@ -62,6 +67,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
+    "op3_html_extraction": op3_html_extraction,
     "op4_toxicity": op4_toxicity,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_exact_dedup": op6_exact_dedup,
