@@ -14,6 +14,7 @@ from stumpline.llm.huffman import new_path, summarised_ids, write_ids
 from stumpline.llm.jaccard_join import similar_documents
 from stumpline.llm.packing import packed_documents
 from stumpline.llm.secrets import digest, scanned
+from stumpline.llm.sentencepiece_bpe import summarised
 from stumpline.llm.substring_dedup import repeats_removed
 from stumpline.llm.tokens import id_type, tokenised
 from stumpline.llm.toxicity import scored, trained
@@ -24,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summarised(table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_removed(table(spark, sf_dir, "documents"))
 
@@ -38,7 +43,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_documents(table(spark, sf_dir, "documents"))
+    return similar_documents(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "kept")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +71,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
     "op2_substring_dedup": op2_substring_dedup,
     "op3_html_extraction": op3_html_extraction,
     "op4_toxicity": op4_toxicity,
