@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from stumpline.sources.staging import staged
 
-__all__ = ["bounded_text", "ship", "staged"]
+__all__ = ["bounded_text", "ship", "staged", "without_rows"]
+
+SENT = 200_000
 
 
 @cache
@@ -36,3 +38,25 @@ def ship(spark: SparkSession) -> None:
 def bounded_text(df: DataFrame, column: str) -> Column:
     """The text column, null as empty."""
     return F.coalesce(df[column].cast("string"), F.lit(""))
+
+
+def without_rows(docs: DataFrame, keys: dict[str, Column], gone: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The documents without those whose keys are in ``gone``; of equal rows with keys in ``repeated``, one.
+
+    Up to ``SENT`` keys are sent to the scan, so that no text is shuffled; beyond it, texts and keys are joined by hash.
+    """
+    columns = docs.columns
+    named = {f"__{name}": column for name, column in keys.items()}
+    rows = docs.withColumns(named)
+
+    def sided(keyed: DataFrame) -> DataFrame:
+        keyed = staged(keyed.select(*(F.col(name).alias(f"__{name}") for name in keys)).distinct())
+        return F.broadcast(keyed) if keyed.count() <= SENT else keyed
+
+    left = rows.join(sided(gone), list(named), "left_anti")
+    again = staged(repeated.select(*keys).distinct())
+    if not again.isEmpty():
+        again = sided(again)
+        once = left.join(again, list(named), "left_semi").dropDuplicates(list(named))
+        left = left.join(again, list(named), "left_anti").unionByName(once)
+    return left.select(*columns)

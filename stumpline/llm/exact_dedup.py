@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stumpline.llm.arrays import mixed
-from stumpline.llm.cluster import ship, staged
+from stumpline.llm.cluster import ship, staged, without_rows
 
 BUCKET = 1 << 16
 SENT = 200_000
@@ -194,3 +194,11 @@ def exact_duplicates(docs: DataFrame, incoming: Column | None = None) -> DataFra
         F.lower(F.hex("digest")).alias("text_sha256"),
         F.when(old, "snapshot").when(F.col("met") & ~own, "copy").otherwise("new").alias("origin"),
     )
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The documents that stay, with all their columns."""
+    found = staged(exact_duplicates(docs).select(F.xxhash64("doc_id").alias("id"), F.unhex("text_sha256").alias("digest"), "kept"))
+    dropped, kept = found.where("not kept").select("id", "digest"), found.where("kept").select("id", "digest")
+    keys = {"id": F.xxhash64(F.col("doc_id").cast("long")), "digest": F.unhex(F.sha2(normalised(F.col("text")), 256))}
+    return without_rows(docs, keys, dropped.join(kept, ["id", "digest"], "left_anti"), dropped.join(kept, ["id", "digest"], "left_semi"))

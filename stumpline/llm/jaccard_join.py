@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stumpline.llm.arrays import binary, distinct, flat, keyed, mixed, pieces, span_hashes, window_hashes, words
-from stumpline.llm.cluster import bounded_text, ship, staged
+from stumpline.llm.cluster import bounded_text, ship, staged, without_rows
 from stumpline.llm.components import components, local_roots, streamed_groups, tiled
 
 SHINGLE = 5
@@ -292,7 +292,7 @@ def leaves(classes: DataFrame, docs: DataFrame, threshold: float, depth: int) ->
 
 
 def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, depth: int = DEPTH) -> DataFrame:
-    """doc_id, class_id (least id that links reach), n_links (other documents linked), kept (the id is the class's)."""
+    """doc_id, class_id (least id that links reach), n_links (other documents linked), kept (the id is the class's), key."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bounded_text(docs, "text").alias("text"))
     rows = rows.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
@@ -320,6 +320,15 @@ def similar_documents(docs: DataFrame, threshold: float = THRESHOLD, recall: flo
     reached = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     facts = classes.select("cls", "rep", "copies").join(counts, "rep", "left").join(reached, F.col("rep") == F.col("node"), "left")
     facts = facts.select("cls", F.coalesce("component", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    joined = scanned.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls")).join(facts, "cls", "left")
+    joined = scanned.select("doc_id", "key", F.when(F.col("doc_id").isNotNull(), F.col("cls")).alias("cls")).join(facts, "cls", "left")
     class_id = F.coalesce("class_id", "doc_id")
-    return joined.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return joined.select("doc_id", class_id.alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), class_id.eqNullSafe(F.col("doc_id")).alias("kept"), "key")
+
+
+def one_of_each_class(docs: DataFrame) -> DataFrame:
+    """The documents without those that are linked to one that stays: of each class the least (doc_id, key)."""
+    linked = staged(similar_documents(docs).where("n_links > 0").select("class_id", F.struct("doc_id", "key").alias("row")))
+    best = linked.groupBy("class_id").agg(F.min("row").alias("row"))
+    gone = linked.join(best.select("class_id", F.col("row").alias("best")), "class_id").where("row <> best").select("row.key")
+    again = linked.groupBy("row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("row.key")
+    return without_rows(docs, {"key": F.xxhash64(F.col("doc_id").cast("long"), bounded_text(docs, "text"))}, gone, again)
