@@ -1 +1 @@
-"""Ball-by-ball cricket analytics as Spark DataFrame plans."""
+"""Ball-by-ball match analytics as Spark DataFrame plans."""

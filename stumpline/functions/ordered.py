@@ -126,8 +126,9 @@ def trailing_mean(
     joined = joined.withColumn("_seen", F.slice("_seen", F.greatest(F.size("_seen") - (n - 1), F.lit(1)), n))
 
     def mean(out: str) -> Column:
-        added = F.aggregate("_seen", F.lit(0.0), lambda acc, row: acc + row[out])
-        return F.when(F.size("_seen") > 0, F.try_divide(added, F.size("_seen")))
+        """Null values count neither in the sum nor in the number, as in ``avg``."""
+        known = F.filter(F.transform("_seen", lambda row: row[out]), lambda v: v.isNotNull())
+        return F.try_divide(F.aggregate(known, F.lit(0.0), lambda acc, v: acc + v), F.size(known))
 
     return joined.withColumns({out: mean(out) for out in means}).select(*df.columns, *means)
 

@@ -63,13 +63,12 @@ def unknown_labels(df: DataFrame, codes: DataFrame, column: str) -> DataFrame:
     )
 
 
-def encode(df: DataFrame, columns: dict[str, str], domain: DataFrame | None = None) -> DataFrame:
+def encode(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Fit on ``df`` and attach codes; ``columns`` maps label column to output column.
 
-    ``df`` is read once more per column. ``domain``: a cheaper table with every label, used only
-    to check the size of the dictionaries.
+    ``df`` is read once more per column, and once for the size of the dictionaries.
     """
-    few = labels_are_few(df if domain is None else domain, columns)
+    few = labels_are_few(df, columns)
     fitted = {c: label_codes(df, c, few) for c in columns}
     for column, out in columns.items():
         df = with_codes(df, fitted[column], column, out, few=few)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stumpline.functions.exprs import rnd
 from stumpline.functions.ordered import HOT_ROWS, ranked
+from stumpline.sources.staging import staged
 
 TEST_SHARE = 0.2
 
@@ -18,7 +19,7 @@ def temporal_cut(df: DataFrame, id_column: str = "match_id", share: float = TEST
     With so few ids that the test set is empty, everything is training data. The result is one
     plain value, so using it costs no shuffle and the comparison can reach the scan.
     """
-    ids = df.select(id_column).where(F.col(id_column).isNotNull()).distinct()
+    ids = staged(df.select(id_column).where(F.col(id_column).isNotNull()).distinct())
     n = ids.count()
     placed = ranked(ids, [], [id_column], "_rank", hot_rows)
     at_cut = placed.where(F.col("_rank") == n - int(n * share)).first()
@@ -27,8 +28,9 @@ def temporal_cut(df: DataFrame, id_column: str = "match_id", share: float = TEST
 
 def temporal_split(df: DataFrame, id_column: str = "match_id", share: float = TEST_SHARE,
                    hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Adds ``is_test``."""
-    return df.withColumn("is_test", F.col(id_column) > F.lit(temporal_cut(df, id_column, share, hot_rows)))
+    """Adds ``is_test``; a row without an id trains."""
+    later = F.col(id_column) > F.lit(temporal_cut(df, id_column, share, hot_rows))
+    return df.withColumn("is_test", F.coalesce(later, F.lit(False)))
 
 
 def _shuffled_key(key: list[str]) -> Column:

@@ -23,9 +23,6 @@ from stumpline.sources.io import load_parquet, save_processed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-# the eight sides that appear in the projected tables
-FIXTURE_TEAMS = ["CSK", "DD", "KKR", "MI", "RCB", "RPS", "RR", "SRH"]
-
 
 def _balls(op, *args, **kwargs) -> Query:
     return lambda spark, sf: op(fixtures.deliveries(spark, sf), *args, **kwargs)
@@ -104,9 +101,7 @@ def encode_unknown(spark: SparkSession, sf: str) -> DataFrame:
 def sequence_norm(spark: SparkSession, sf: str) -> DataFrame:
     """Encoded and normalised over rows; statistics come from the training matches only."""
     df = splits.temporal_split(sequences(spark, sf), "match_id")
-    matches = fixtures.matches(spark, sf)
-    domain = matches.select("venue", F.explode(F.array("team1", "team2")).alias("batting_team"))
-    df = encode.encode(df, {"batting_team": "batting_team_enc", "venue": "venue_enc"}, domain)
+    df = encode.encode(df, {"batting_team": "batting_team_enc", "venue": "venue_enc"})
     stats = splits.fit_normaliser(df.where(~F.col("is_test")), STEP_FEATURES)
     out = splits.normalise(splits.scale_season(df), stats, 6)
     return out.select(
@@ -141,7 +136,7 @@ def player_form(spark: SparkSession, sf: str) -> DataFrame:
 
 def prefix_lengths(spark: SparkSession, sf: str) -> DataFrame:
     """Prefix expansion reduced to what an array-free engine can check."""
-    df = features.prefix_sequences(sequences(spark, sf), max_prefix=12)
+    df = features.prefix_sequences(sequences(spark, sf))
     added = F.aggregate("steps", F.lit(0).cast("bigint"), lambda acc, s: acc + s["runs_in_over"])
     return df.select(
         "match_id", "prefix", F.size("steps").alias("steps"), added.alias("runs"),
@@ -186,10 +181,9 @@ def prematch_features(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def over_requests_table(spark: SparkSession, sf: str) -> DataFrame:
-    """One request per first innings: its first overs as an array (at most twenty)."""
+    """One request per first innings: its overs as an array."""
     step = F.struct("over", "runs_in_over", "wickets_in_over", "boundaries_in_over")
-    rows = sequences(spark, sf).where(F.col("over") <= 20)
-    return rows.groupBy(F.col("match_id").alias("request_id"), "batting_team", "venue", "season").agg(
+    return sequences(spark, sf).groupBy(F.col("match_id").alias("request_id"), "batting_team", "venue", "season").agg(
         F.sort_array(F.collect_list(step)).alias("overs")
     )
 
@@ -342,9 +336,9 @@ CHECKED: dict[str, Query] = {
     "partnerships": _balls(players.partnership_stats),
     "player_batting": _both(players.player_batting),
     "player_batting_named": player_batting_named,
-    "player_batting_season": _both(players.player_batting_by_season, seasons=(1993, 1997)),
+    "player_batting_season": _both(players.player_batting_by_season),
     "player_bowling": _both(players.player_bowling),
-    "player_bowling_season": _both(players.player_bowling_by_season, seasons=(1993, 1997)),
+    "player_bowling_season": _both(players.player_bowling_by_season),
     "leaderboard_bat": _balls(players.batting_leaderboard),
     "leaderboard_bowl": _balls(players.bowling_leaderboard),
     "all_players": _balls(players.all_players),
@@ -368,7 +362,7 @@ CHECKED: dict[str, Query] = {
     "top_margins": top_margins,
     "super_over": _both(teams.super_over_scores),
     "super_over_matches": _balls(teams.super_over_matches),
-    "head_to_head": _matches(teams.head_to_head_matrix, FIXTURE_TEAMS),
+    "head_to_head": _matches(teams.head_to_head_matrix),
     "head_to_head_long": _matches(teams.head_to_head),
     # form and history
     "batting_form": batting_form,

@@ -56,7 +56,7 @@ def _match_base(matches: DataFrame) -> DataFrame:
             "team1_won": flag(F.col("winner") == F.col("team1")),
         }
     )
-    return encode(df, MATCH_CODES, domain=matches).withColumnRenamed("id", "match_id")
+    return encode(df, MATCH_CODES).withColumnRenamed("id", "match_id")
 
 
 def build_match_features(matches: DataFrame, keep_id: bool = False) -> DataFrame:
@@ -99,10 +99,6 @@ def build_match_features_v3(
     return _pick(df, MATCH_FEATURES_V3 + ["team1_won"], ["match_id"] if keep_id else None)
 
 
-def _label_domain(matches: DataFrame) -> DataFrame:
-    return matches.select("venue", F.explode(F.array("team1", "team2")).alias("batting_team"))
-
-
 # ---- chase state ----
 
 
@@ -152,7 +148,7 @@ def build_win_probability_features(deliveries: DataFrame, matches: DataFrame) ->
     # staged, as it is read three times: for the rows and for the labels of each code
     df = staged(chase_states(deliveries).join(outcome, "match_id", "left"))
     df = df.withColumn("batting_team_won", flag(F.col("batting_team") == F.col("winner")))
-    df = encode(df, {"venue": "venue_enc", "batting_team": "batting_team_enc"}, _label_domain(matches))
+    df = encode(df, {"venue": "venue_enc", "batting_team": "batting_team_enc"})
     return _pick(df, WIN_PROB_FEATURES + ["batting_team_won", "match_id"], None)
 
 
@@ -174,7 +170,7 @@ def build_score_features(
     overall = snapshot.agg(F.avg("runs_10") / 10).first()[0]
     df = df.withColumn("venue_avg_rr", F.coalesce(ratio("_runs", F.col("_n") * 10, 3), F.lit(overall)))
     df = df.withColumn("scoring_pressure", rnd(F.col("current_rr") - F.col("venue_avg_rr"), 3))
-    df = encode(df, {"venue": "venue_enc", "batting_team": "batting_team_enc"}, _label_domain(matches))
+    df = encode(df, {"venue": "venue_enc", "batting_team": "batting_team_enc"})
     return _pick(df, SCORE_FEATURES + ["final_score"], ["match_id"] if keep_id else None)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -140,8 +140,7 @@ def _streamed_states(spark: SparkSession, sf: str) -> DataFrame:
     """Play the ball table as a stream until it is used up, then read the newest states."""
     fixtures.deliveries(spark, sf)  # make sure the table is there
     path = f"{fixtures.table_dir(spark, sf)}/deliveries.parquet"
-    run = tempfile.mkdtemp(prefix="stream-").rsplit("/", 1)[-1]
-    out = f"{fixtures.table_dir(spark, sf)}/{run}"
+    out = f"{fixtures.table_dir(spark, sf)}/stream-{uuid.uuid4().hex}"
     states = live.live_innings_state(live.read_ball_stream(spark, path, files_per_batch=4))
     live.write_states(states, f"{out}/states", f"{out}/checkpoint", available_now=True).awaitTermination()
     return live.latest_states(spark, f"{out}/states")

@@ -162,8 +162,7 @@ def train_potm_classifier(features: DataFrame, trees: int | None = None) -> tupl
 
 def prefix_rows(sequences: DataFrame, matches: DataFrame) -> DataFrame:
     """One training row per completed over: its state stands for the innings up to there."""
-    domain = matches.select("venue", F.explode(F.array("team1", "team2")).alias("batting_team"))
-    df = encode(sequences, {"batting_team": "batting_team_enc", "venue": "venue_enc"}, domain)
+    df = encode(sequences, {"batting_team": "batting_team_enc", "venue": "venue_enc"})
     return scale_season(df, sequences)
 
 

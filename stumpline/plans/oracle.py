@@ -300,14 +300,14 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
     "player_batting_named": ([], "WITH " + _player_batting(BETWEEN, NAMED)),
     "player_batting_season": ([], f"""SELECT *, {_r('runs::DOUBLE / greatest(balls, 1) * 100', 1)} AS strike_rate FROM (
         SELECT batsman AS player, season, sum(batsman_runs)::BIGINT AS runs, {_n(LEGAL)} AS balls, count(DISTINCT match_id) AS matches
-        {_by_match_batting(BETWEEN)} GROUP BY 1, 2)"""),
+        {_by_match_batting('')} GROUP BY 1, 2)"""),
     "player_bowling": ([], f"""SELECT player, matches, wickets, runs_conceded, {OVERS_1},
         CASE WHEN legal >= 6 THEN {_r('runs_conceded / (legal / 6.0::DOUBLE)', 2)} ELSE 0 END AS economy,
         CASE WHEN wickets > 0 THEN {_r(_div('runs_conceded', 'wickets'), 2)} ELSE 'inf'::DOUBLE END AS average,
         CASE WHEN wickets > 0 THEN {_r(_div('legal', 'wickets'), 2)} ELSE 'inf'::DOUBLE END AS strike_rate,
         coalesce({_pct('dots', 'legal', 1)}, 0) AS dot_pct
         FROM (SELECT bowler AS player, {BOWL_TOTALS}, {_n(LEGAL + ' AND total_runs = 0')} AS dots {_by_match_batting()} GROUP BY 1)"""),
-    "player_bowling_season": ([], f"""SELECT *, {OVERS_1}, {OVER_ECON} FROM (SELECT bowler AS player, season, {BOWL_TOTALS} {_by_match_batting(BETWEEN)} GROUP BY 1, 2)"""),
+    "player_bowling_season": ([], f"""SELECT *, {OVERS_1}, {OVER_ECON} FROM (SELECT bowler AS player, season, {BOWL_TOTALS} {_by_match_batting('')} GROUP BY 1, 2)"""),
     "leaderboard_bat": ([], f"""SELECT *, {_r('runs::DOUBLE / greatest(balls, 1) * 100', 1)} AS strike_rate FROM (
         SELECT batsman AS player, sum(batsman_runs)::BIGINT AS runs, {_n(LEGAL)} AS balls, {_n('batsman_runs = 4')} AS fours,
         {_n('batsman_runs = 6')} AS sixes, count(DISTINCT match_id) AS matches FROM reg GROUP BY 1) WHERE balls >= 50 ORDER BY runs DESC, player LIMIT 15"""),
@@ -372,7 +372,7 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
     "potm_features": ([AWARD], f"SELECT * REPLACE ({_r('strike_rate', 6)} AS strike_rate, {_r('economy', 6)} AS economy) FROM award"),
     "over_sequences": ([SEQ], "SELECT * FROM seq"),
     "prefix_sequences": ([SEQ], """SELECT match_id, prefix, prefix AS steps, runs, cum_runs AS last_cum_runs, final_score FROM (
-        SELECT *, (row_number() OVER w)::INT AS prefix, (sum(runs_in_over) OVER w)::BIGINT AS runs FROM seq WINDOW w AS (PARTITION BY match_id ORDER BY over)) WHERE prefix <= 12"""),
+        SELECT *, (row_number() OVER w)::INT AS prefix, (sum(runs_in_over) OVER w)::BIGINT AS runs FROM seq WINDOW w AS (PARTITION BY match_id ORDER BY over)) WHERE prefix <= 20"""),
     "naive_curve": ([SEQ], f"""SELECT match_id, over, {_r('(sum(runs_in_over) OVER w)::DOUBLE / row_number() OVER w * 20', 0)} AS naive_projection, final_score
         FROM seq WINDOW w AS (PARTITION BY match_id ORDER BY over)"""),
     "win_rate_by_over": ([WIN], f"SELECT over, {_r('avg(batting_team_won)', 6)} AS raw_win_rate FROM win GROUP BY over"),
@@ -432,7 +432,7 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
         coalesce({_r(_div('runs_given', 'balls_bowled / 6.0::DOUBLE'), 2)}, 0) AS economy FROM lines l JOIN matches m ON m.id = l.match_id"""),
     "over_requests": ([SEQ], f"""SELECT match_id AS request_id, batting_team, venue, season, (count(*) OVER (PARTITION BY match_id))::INT AS overs_seen, runs_in_over, wickets_in_over,
         boundaries_in_over, (row_number() OVER w)::INT AS over, (sum(runs_in_over) OVER w)::BIGINT AS cum_runs, (sum(wickets_in_over) OVER w)::BIGINT AS cum_wickets,
-        6 AS balls_in_over, {_r('(sum(runs_in_over) OVER w)::DOUBLE / row_number() OVER w', 3)} AS current_rr FROM seq WHERE over <= 20 WINDOW w AS (PARTITION BY match_id ORDER BY over)"""),
+        6 AS balls_in_over, {_r('(sum(runs_in_over) OVER w)::DOUBLE / row_number() OVER w', 3)} AS current_rr FROM seq WINDOW w AS (PARTITION BY match_id ORDER BY over)"""),
     "request_violations": ([HALF, SEQ, AWARD], """SELECT 'match' AS kind, id AS request_id, 'season' AS rule FROM matches WHERE season + 14 NOT BETWEEN 2008 AND 2030
         UNION ALL SELECT 'score', match_id, 'season' FROM half JOIN matches m ON m.id = match_id WHERE season + 14 NOT BETWEEN 2008 AND 2030
         UNION ALL SELECT 'score', match_id, 'runs_10' FROM half WHERE runs_10 * 2 NOT BETWEEN 0 AND 150

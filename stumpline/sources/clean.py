@@ -22,7 +22,7 @@ def validate_columns(df: DataFrame, required: Iterable[str], name: str) -> None:
     """Raise ValueError naming the missing columns. Looks at the schema only; no job runs."""
     missing = sorted(set(required) - set(df.columns))
     if missing:
-        raise ValueError(f"[{name}] Missing expected columns: {missing}; actual columns: {sorted(df.columns)}")
+        raise ValueError(f"table {name} lacks {', '.join(missing)}; it has {', '.join(sorted(df.columns))}")
 
 
 def abbreviate_teams(df: DataFrame, columns: Iterable[str]) -> DataFrame:

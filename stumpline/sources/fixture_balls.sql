@@ -13,11 +13,11 @@ fx_team AS (SELECT * FROM (VALUES (0,'Mumbai Indians'),(1,'Chennai Super Kings')
   (7,'Rising Pune Supergiants')) AS t(ti, tname)),
 fx_ball AS (
   SELECT m, half, rn, q, tx, dc, pk, sk, ln, rf, CAST(m % 8 AS INT) AS t1,
-         CAST((m % 8 + 1 + floor(m / 8) % 7) % 8 AS INT) AS t2 FROM fx_seq WHERE rn <= 126),
+         CAST((m % 8 + 1 + floor(m / 8) % 7) % 8 AS INT) AS t2 FROM fx_seq),
 fx_deliveries AS (
   SELECT m AS match_id, CASE WHEN rn > 120 THEN half + 2 ELSE half END AS inning,
          tb.tname AS batting_team, tw.tname AS bowling_team,
-         CASE WHEN rn > 120 THEN 1 ELSE CAST(floor((rn - 1) / 6) AS INT) + 1 END AS over,
+         CASE WHEN rn > 120 THEN CAST(floor((rn - 121) / 6) AS INT) + 1 ELSE CAST(floor((rn - 1) / 6) AS INT) + 1 END AS over,
          CAST((rn - 1) % 6 AS INT) + 1 AS ball,
          tb.tname || ' P' || CAST(pk % 11 + 1 AS STRING) AS batsman,
          tb.tname || ' P' || CAST((pk + 1 + sk % 10) % 11 + 1 AS STRING) AS non_striker,

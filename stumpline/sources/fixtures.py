@@ -1,4 +1,4 @@
-"""The two raw cricket tables projected from the order tables of a scale directory.
+"""The two raw tables projected from the order tables of a scale directory.
 
 Each table is derived once per session and directory and written as Parquet under the shared
 checkpoint folder, so that later queries are ordinary pruned Parquet scans.
@@ -6,6 +6,7 @@ checkpoint folder, so that later queries are ordinary pruned Parquet scans.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from pathlib import Path
 
@@ -25,8 +26,10 @@ _built: dict[tuple[str, str, str], str] = {}
 
 
 def table_dir(spark: SparkSession, sf_dir: str) -> str:
-    scale = sf_dir.rstrip("/").rsplit("/", 1)[-1]
-    return f"{work_dir(spark)}/tables-{spark.sparkContext.applicationId}/{scale}"
+    """A folder for each directory: its last name, and a hash of the whole path for those of the same name."""
+    path = sf_dir.rstrip("/")
+    name = f"{path.rsplit('/', 1)[-1]}-{hashlib.sha256(path.encode()).hexdigest()[:16]}"
+    return f"{work_dir(spark)}/tables-{spark.sparkContext.applicationId}/{name}"
 
 
 def materialised(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:

@@ -1,80 +1,56 @@
 """Live innings state from a stream of balls.
 
-The stream keeps one row of state per innings: totals of each over. Running totals and rates
-are derived from that row, so a ball that arrives late corrects every over after it.
+The stream keeps one row of state per over. Running totals and rates are derived from the published
+overs of an innings, so a ball that arrives late corrects every over after it.
 """
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stumpline.functions.exprs import boundary, ratio, total
-from stumpline.schema import INNINGS_BALLS, INNINGS_OVERS
+from stumpline.schema import INNINGS_BALLS
+from stumpline.sources.staging import drop_table, staged
 
-OVER_FIELDS = ("runs_in_over", "wickets_in_over", "boundaries_in_over", "balls_in_over")
+INNINGS = ("match_id", "inning", "batting_team")
 
 
-def live_innings_state(
-    balls: DataFrame, overs: int = INNINGS_OVERS, match_start: str | None = None, keep_for: str = "2 days"
-) -> DataFrame:
-    """(match_id, inning, batting_team) with the totals of every over seen so far, as an array ordered by over.
+def live_innings_state(balls: DataFrame, match_start: str | None = None, keep_for: str = "2 days") -> DataFrame:
+    """Totals of every over seen so far: match_id, inning, batting_team, over and what happened in it.
 
-    Works on a stream (output mode "update") and on a table. Super overs are left out; balls with
-    an over outside 1..``overs`` are counted in ``balls_out_of_range``. With ``match_start``, a
-    timestamp that is the same for all balls of a match, the state of old matches is dropped.
+    Works on a stream (output mode "update") and on a table. Super overs are left out, no other over is.
+    With ``match_start``, a timestamp that is the same for all balls of a match, the state of old
+    matches is dropped.
     """
-    keys = ["match_id", "inning", "batting_team"]
+    keys = [*INNINGS, "over"]
     if match_start:
         balls = balls.withWatermark(match_start, keep_for)
         keys.append(match_start)
-    sums = []
-    for k in range(1, overs + 1):
-        here = F.col("over") == k
-        sums += [
-            F.sum(F.when(here, F.col("total_runs"))).alias(f"_runs_in_over{k}"),
-            total(here & F.col("is_wicket")).alias(f"_wickets_in_over{k}"),
-            total(here & boundary()).alias(f"_boundaries_in_over{k}"),
-            total(here & F.col("is_legal_delivery")).alias(f"_balls_in_over{k}"),
-        ]
-    totals = (
+    return (
         balls.where(~F.col("is_super_over"))
         .groupBy(*keys)
         .agg(
-            total(~F.col("over").between(1, overs)).alias("balls_out_of_range"),
-            *sums,
+            F.sum("total_runs").alias("runs_in_over"),
+            total(F.col("is_wicket")).alias("wickets_in_over"),
+            total(boundary()).alias("boundaries_in_over"),
+            total(F.col("is_legal_delivery")).alias("balls_in_over"),
         )
     )
-    cells = [
-        F.when(  # an over without a ball has no runs total
-            F.col(f"_runs_in_over{k}").isNotNull(),
-            F.struct(F.lit(k).alias("over"), *[F.col(f"_{f}{k}").alias(f) for f in OVER_FIELDS]),
-        )
-        for k in range(1, overs + 1)
-    ]
-    return totals.select(
-        *keys, "balls_out_of_range", F.array_compact(F.array(*cells)).alias("overs")
-    )
-
-
-def _so_far(field: str) -> Column:
-    return F.aggregate(
-        F.slice("overs", 1, F.col("_at") + 1), F.lit(0).cast("bigint"), lambda acc, o: acc + o[field]
-    )
 
 
 def over_by_over(states: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """One row per completed over with running totals and rates.
+    """One row per over with running totals and rates. A window is one innings.
 
     ``targets`` (match_id, target) adds the chase columns for second innings.
     """
-    rows = states.select("*", F.posexplode("overs").alias("_at", "o"))
-    out = rows.select(
-        "match_id", "inning", "batting_team", "o.*",
-        _so_far("runs_in_over").alias("cum_runs"),
-        _so_far("wickets_in_over").alias("cum_wickets"),
+    so_far = Window.partitionBy(*INNINGS).orderBy("over").rowsBetween(Window.unboundedPreceding, 0)
+    out = states.select(
+        *INNINGS, "over", "runs_in_over", "wickets_in_over", "boundaries_in_over", "balls_in_over",
+        F.sum("runs_in_over").over(so_far).alias("cum_runs"),
+        F.sum("wickets_in_over").over(so_far).alias("cum_wickets"),
     ).withColumn("current_rr", ratio("cum_runs", "over", 3))
     if targets is None:
         return out
@@ -109,14 +85,28 @@ def write_states(states: DataFrame, out_dir: str, checkpoint_dir: str, available
 
 
 def latest_states(spark: SparkSession, out_dir: str) -> DataFrame:
-    """Newest published state of every innings."""
+    """Newest published state of every over."""
     states = spark.read.parquet(out_dir)
-    keys = ["match_id", "inning", "batting_team"]
+    keys = [*INNINGS, "over"]
     fields = [c for c in states.columns if c not in (*keys, "batch_id")]
     newest = F.max_by(F.struct(*fields), "batch_id").alias("s")
     return states.groupBy(*keys).agg(newest).select(*keys, "s.*")
 
 
+def compact_states(spark: SparkSession, out_dir: str) -> None:
+    """Replace the folders of all batches by one with the newest states; for between two runs of the stream."""
+    newest = staged(latest_states(spark, out_dir))
+    last = spark.read.parquet(out_dir).agg(F.max("batch_id")).first()[0]
+    newest.write.mode("overwrite").parquet(f"{out_dir}/batch_id={last}")
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out_dir)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("batch_id=") and name != f"batch_id={last}":
+            files.delete(status.getPath(), True)
+    drop_table(newest)
+
+
 def live_score(over_rows: DataFrame, model: PipelineModel) -> DataFrame:
     """Predicted final total after every completed over; a stateless step after the state."""
     scored = model.transform(over_rows)

@@ -26,12 +26,16 @@ def test_restart_picks_up_where_it_stopped(spark, make_balls, tmp_path):
 
     make_balls({"batsman_runs": 1}, {"over": 2, "batsman_runs": 2}).write.parquet(balls)
     run()
-    # a late ball of over 1 corrects over 2 as well; the over-30 ball is counted apart
-    make_balls({"ball": 6, "batsman_runs": 4}, {"over": 30}).write.mode("append").parquet(balls)
+    # a late ball of over 1 corrects the overs after it; overs past the twentieth count like others
+    make_balls({"ball": 6, "batsman_runs": 4}, {"over": 21, "batsman_runs": 1}, {"over": 30}).write.mode("append").parquet(balls)
     run()
-    latest = live.latest_states(spark, out)
-    assert latest.first().balls_out_of_range == 1
-    assert rows(live.over_by_over(latest), "over", "cum_runs") == [(1, 5), (2, 7)]
+    want = [(1, 5), (2, 7), (21, 8), (30, 8)]
+    assert rows(live.over_by_over(live.latest_states(spark, out)), "over", "cum_runs") == want
+    live.compact_states(spark, out)
+    assert len(list((tmp_path / "out").glob("batch_id=*"))) == 1
+    make_balls({"over": 2, "ball": 5, "batsman_runs": 1}).write.mode("append").parquet(balls)
+    run()
+    assert rows(live.over_by_over(live.latest_states(spark, out)), "over", "cum_runs") == [(1, 5), (2, 8), (21, 9), (30, 9)]
 
 
 def test_chase_columns(spark, make_balls):
