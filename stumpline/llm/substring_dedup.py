@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stumpline.llm.arrays import PIECE, binary, flat, pieces, span_hashes, window_hashes, words
+from stumpline.llm.arrays import PIECE, binary, distinct, flat, pieces, span_hashes, window_hashes, words
 from stumpline.llm.cluster import bounded_text, ship, staged
 
 WINDOW = 35
@@ -206,11 +206,11 @@ def _windows(window: int, block: int, buckets: int):
 def _repeated(bucket: pa.Table) -> pa.Table:
     """For each chunk's hashes in a bucket, a bit: does it occur twice?"""
     each = [np.frombuffer(x, np.uint64) for x in bucket["hashes"].to_pylist()]
-    seen, times = runs_of(np.concatenate(each))
-    hit = seen[times > 1]
+    _, _, which = distinct(np.concatenate(each))
+    shared = np.split((np.bincount(which) > 1)[which], np.cumsum([len(x) for x in each])[:-1])
     bits = [
-        np.packbits(np.isin(x, hit) | (np.unpackbits(np.frombuffer(twice, np.uint8), count=len(x)) > 0)).tobytes()
-        for x, twice in zip(each, bucket["twice"].to_pylist(), strict=True)
+        np.packbits(x | (np.unpackbits(np.frombuffer(twice, np.uint8), count=len(x)) > 0)).tobytes()
+        for x, twice in zip(shared, bucket["twice"].to_pylist(), strict=True)
     ]
     return bucket.select(["part", "chunk", "bucket"]).append_column("repeated", binary(bits))
 
