@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stumpline.llm.arrays import binary, distinct, keyed, mixed, pieces
+from stumpline.llm.arrays import binary, keyed, mixed, pieces
 from stumpline.llm.cluster import ship, staged
 from stumpline.llm.tokens import WIDE_ID, expanded, id_type, tokenised
 
@@ -47,14 +47,15 @@ class Index:
         flat = np.concatenate(ids).astype(np.int64)
         owner = np.repeat(np.arange(len(ids)), lengths)
         telling = weight[flat] > 0
-        pairs, _, inverse = distinct(owner[telling] * len(weight) + flat[telling])
-        tf = np.bincount(inverse, minlength=len(pairs)).astype(np.float32)
+        every = np.sort(owner[telling] * len(weight) + flat[telling])
+        begin = np.flatnonzero(np.diff(every, prepend=-1))
+        pairs, tf = every[begin], np.diff(np.append(begin, len(every))).astype(np.float32)
         owner, term = np.divmod(pairs, len(weight))
         self.terms, self.of_doc = term, np.searchsorted(owner, np.arange(len(ids) + 1))
         scores = weight[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[owner] / mean_length))
-        order = np.argsort(term, kind="stable")
-        self.known, first = np.unique(term[order], return_index=True)
-        self.offsets = np.append(first, len(term))
+        order = np.argsort(term)
+        first = np.flatnonzero(np.diff(term[order], prepend=-1))
+        self.known, self.offsets = term[order][first], np.append(first, len(term))
         self.docs, self.scores = owner[order], scores[order]
         self.size = len(ids)
 

@@ -65,7 +65,9 @@ class Vocabulary:
         self.forget()
 
     def forget(self) -> None:
-        self.keys, self.ids, self.offsets = np.zeros(0, np.uint64), np.zeros(0, self.dtype), np.zeros(1, np.int64)
+        """Start anew: sorted keys, each one's slot, and the slots' ids one after the other."""
+        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.offsets = np.zeros(0, self.dtype), np.zeros(1, np.int64)
 
     def _one_by_one(self, units: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
@@ -88,7 +90,7 @@ class Vocabulary:
         return ids, lengths
 
     def learn(self, keys: np.ndarray, units: list[str]) -> None:
-        """Encode new units whose keys aren't known yet."""
+        """Encode new units; their keys are sorted and not known yet."""
         plain, mixed = [], []
         for i, u in enumerate(units):
             (plain if u.isalpha() or (u.isascii() and "'" not in u and u.isprintable()) else mixed).append(i)
@@ -96,12 +98,12 @@ class Vocabulary:
         each = self._one_by_one([units[i] for i in mixed])
         kinds = [np.asarray(x, self.dtype) for x in (*ids, *each)]
         lengths = np.concatenate([*lengths, [len(e) for e in each]]).astype(np.int64)
-        all_keys = np.concatenate([self.keys, keys[plain + mixed]])
-        offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
-        order = np.argsort(all_keys)
-        self.keys = all_keys[order]
-        self.ids, lengths = expanded(np.concatenate([self.ids, *kinds]), offsets, order)
-        self.offsets = np.concatenate([[0], np.cumsum(lengths)])
+        slots = np.empty(len(units), np.int64)
+        slots[plain + mixed] = len(self.keys) + np.arange(len(units))
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.slots = np.insert(self.keys, at, keys), np.insert(self.slots, at, slots)
+        self.ids = np.concatenate([self.ids, *kinds])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a piece and the number of ids of each row, without an end id."""
@@ -128,7 +130,7 @@ class Vocabulary:
             raw = data.tobytes()
             self.learn(unique[~known], [raw[starts[i] : ends[i]].decode() for i in at[~known]])
             place = np.searchsorted(self.keys, unique)
-        ids, lengths = expanded(self.ids, self.offsets, place[inverse])
+        ids, lengths = expanded(self.ids, self.offsets, self.slots[place][inverse])
         total = np.concatenate([[0], np.cumsum(lengths)])
         return ids, np.diff(total[first])
 
