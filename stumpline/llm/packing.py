@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from stumpline.llm.arrays import binary, keyed, mixed, pieces
 from stumpline.llm.cluster import ship, staged
-from stumpline.llm.tokens import WIDE_ID, expanded, id_type, tokenised
+from stumpline.llm.tokens import WIDE_ID, id_type, places, tokenised
 
 WINDOW = 4096
 SHARD = 1 << 20
@@ -62,9 +62,8 @@ class Index:
     def neighbours(self, doc: int) -> np.ndarray:
         """Score of every document of the shard for this one's ids."""
         which = np.searchsorted(self.known, self.terms[self.of_doc[doc] : self.of_doc[doc + 1]])
-        found, _ = expanded(self.docs, self.offsets, which)
-        weights, _ = expanded(self.scores, self.offsets, which)
-        return np.bincount(found, weights=weights, minlength=self.size)
+        at, _ = places(self.offsets, which)
+        return np.bincount(self.docs[at], weights=self.scores[at], minlength=self.size)
 
 
 class Packer:
@@ -151,9 +150,13 @@ def document_frequencies(tokens: DataFrame, dtype: np.dtype) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, np.int64)
         for _, data, offsets in pieces(batches, "ids"):
-            ids = np.frombuffer(data.tobytes(), dtype).astype(np.int64)
-            pairs = np.sort((np.repeat(np.arange(len(offsets) - 1), np.diff(offsets) // dtype.itemsize) << 32) | ids)
-            found = np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] & 0xFFFFFFFF)
+            bits = 8 * dtype.itemsize
+            wide = np.uint32 if bits == 16 and len(offsets) <= 1 << 16 else np.uint64
+            row = np.repeat(np.arange(len(offsets) - 1, dtype=wide), np.diff(offsets) // dtype.itemsize)
+            pairs = np.sort((row << wide(bits)) | np.frombuffer(data.tobytes(), dtype))
+            new = np.ones(len(pairs), bool)
+            new[1:] = pairs[1:] != pairs[:-1]
+            found = np.bincount((pairs[new] & wide((1 << bits) - 1)).astype(np.int64))
             total = np.pad(total, (0, max(0, len(found) - len(total))))
             total[: len(found)] += found
         at = np.flatnonzero(total)

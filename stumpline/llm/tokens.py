@@ -38,12 +38,17 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def expanded(values: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The runs ``values[offsets[i]:offsets[i + 1]]`` for each i of ``which``, one after the other, and their lengths."""
+def places(offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the entries of the runs ``offsets[i]:offsets[i + 1]`` are, for each i of ``which``; the runs' lengths."""
     begins = offsets[which]
     lengths = offsets[which + 1] - begins
     ends = np.cumsum(lengths)
-    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - lengths), lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - lengths), lengths), lengths
+
+
+def expanded(values: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``values[offsets[i]:offsets[i + 1]]`` for each i of ``which``, one after the other, and their lengths."""
+    at, lengths = places(offsets, which)
     return values[at], lengths
 
 
