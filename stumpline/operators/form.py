@@ -11,6 +11,48 @@ from stumpline.schema import FORM_COLUMNS, FORM_MATCHES
 from stumpline.sources.staging import staged
 
 
+def player_match_lines(deliveries: DataFrame) -> DataFrame:
+    """(match_id, player, bats): batting and bowling totals of a match with the side, from one pass over the balls."""
+    legal = F.col("is_legal_delivery")
+    roles = F.array(
+        F.struct(F.col("batsman").alias("player"), F.col("batting_team").alias("side"), F.lit(True).alias("bats")),
+        F.struct(F.col("bowler").alias("player"), F.col("bowling_team").alias("side"), F.lit(False).alias("bats")),
+    )
+    balls = regulation(deliveries).select(
+        "match_id", "inning", "over", "ball", "batsman_runs", "is_legal_delivery", "is_wicket",
+        (legal & credited_wicket(deliveries)).alias("credited"),
+        F.when(legal, charged_runs(deliveries)).alias("charged"), F.explode(roles).alias("role"),
+    )
+    return totals_with_side(
+        balls.select("*", "role.*").drop("role").where(F.col("player").isNotNull()),
+        ["match_id", "player", "bats"],
+        "side",
+        {
+            "runs": F.sum("batsman_runs"),
+            "balls": total(legal),
+            "dismissals": total(F.col("is_wicket")),
+            "wickets": total(F.col("credited")),
+            "runs_conceded": F.sum("charged"),
+        },
+    ).withColumnRenamed("side", "team")
+
+
+def _batting(lines: DataFrame, *more: str) -> DataFrame:
+    return lines.select(
+        "match_id", "player", "team", *more,
+        F.coalesce(ratio("runs", "dismissals"), F.col("runs").cast("double")).alias("bat_avg"),
+        F.coalesce(ratio("runs", "balls", scale=100), F.lit(0.0)).alias("bat_sr"),
+    )
+
+
+def _bowling(lines: DataFrame, *more: str) -> DataFrame:
+    return lines.where(F.col("balls") > 0).select(
+        "match_id", "player", "team", *more,
+        ratio("runs_conceded", F.col("balls") / 6).alias("bowl_econ"),
+        F.coalesce(ratio("balls", "wickets"), F.col("balls").cast("double")).alias("bowl_sr"),
+    )
+
+
 def player_match_batting(deliveries: DataFrame) -> DataFrame:
     """(match_id, player): average and strike rate of that match, with the side played for."""
     per_match = totals_with_side(
@@ -23,11 +65,7 @@ def player_match_batting(deliveries: DataFrame) -> DataFrame:
             "dismissals": total(F.col("is_wicket")),
         },
     )
-    return per_match.select(
-        "match_id", "player", F.col("batting_team").alias("team"),
-        F.coalesce(ratio("runs", "dismissals"), F.col("runs").cast("double")).alias("bat_avg"),
-        F.coalesce(ratio("runs", "balls", scale=100), F.lit(0.0)).alias("bat_sr"),
-    )
+    return _batting(per_match.withColumnRenamed("batting_team", "team"))
 
 
 def player_match_bowling(deliveries: DataFrame) -> DataFrame:
@@ -42,12 +80,8 @@ def player_match_bowling(deliveries: DataFrame) -> DataFrame:
             "runs_conceded": F.sum(F.when(legal, charged_runs(deliveries))),
             "balls": total(legal),
         },
-    ).where(F.col("balls") > 0)
-    return per_match.select(
-        "match_id", "player", F.col("bowling_team").alias("team"),
-        ratio("runs_conceded", F.col("balls") / 6).alias("bowl_econ"),
-        F.coalesce(ratio("balls", "wickets"), F.col("balls").cast("double")).alias("bowl_sr"),
     )
+    return _bowling(per_match.withColumnRenamed("bowling_team", "team"))
 
 
 def _dated(per_match: DataFrame, matches: DataFrame) -> DataFrame:
@@ -68,7 +102,10 @@ def player_batting_form(
     deliveries: DataFrame, matches: DataFrame, n_matches: int = FORM_MATCHES, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Mean of the last n matches before each match; a debutant gets the overall mean."""
-    per_match = _dated(player_match_batting(deliveries), matches)
+    return _batting_form(_dated(player_match_batting(deliveries), matches), n_matches, hot_rows)
+
+
+def _batting_form(per_match: DataFrame, n_matches: int, hot_rows: int) -> DataFrame:
     form = _form(per_match, ["bat_avg", "bat_sr"], n_matches, hot_rows)
     overall = per_match.agg(F.avg("bat_avg").alias("avg"), F.avg("bat_sr").alias("sr")).first()
     return form.withColumns(
@@ -83,7 +120,10 @@ def player_bowling_form(
     deliveries: DataFrame, matches: DataFrame, n_matches: int = FORM_MATCHES, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """As for batting; a debutant's strike rate is the overall median, not the mean."""
-    per_match = _dated(player_match_bowling(deliveries), matches)
+    return _bowling_form(_dated(player_match_bowling(deliveries), matches), n_matches, hot_rows)
+
+
+def _bowling_form(per_match: DataFrame, n_matches: int, hot_rows: int) -> DataFrame:
     form = _form(per_match, ["bowl_econ", "bowl_sr"], n_matches, hot_rows)
     # one small job over the distinct strike rates gives the median, and the mean from their sums
     rates = per_match.groupBy("bowl_sr").agg(F.count(F.lit(1)).alias("n"), F.sum("bowl_econ").alias("e"))
@@ -98,6 +138,15 @@ def player_bowling_form(
     )
 
 
+def player_forms(
+    deliveries: DataFrame, matches: DataFrame, n_matches: int = FORM_MATCHES, hot_rows: int = HOT_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Batting and bowling form, the balls read once for both."""
+    lines = _dated(player_match_lines(deliveries), matches)
+    batting, bowling = _batting(lines.where("bats"), "_day"), _bowling(lines.where("NOT bats"), "_day")
+    return _batting_form(batting, n_matches, hot_rows), _bowling_form(bowling, n_matches, hot_rows)
+
+
 def compute_team_rolling_form(
     deliveries: DataFrame,
     matches: DataFrame,
@@ -114,8 +163,8 @@ def compute_team_rolling_form(
         named = form.where(F.col("team").isNotNull())
         return named.groupBy("match_id", "team").agg(*[rnd(F.avg(c), 3).alias(c) for c in columns])
 
-    bat = side_mean(player_batting_form(deliveries, matches, n_matches, hot_rows), FORM_COLUMNS[:2])
-    bowl = side_mean(player_bowling_form(deliveries, matches, n_matches, hot_rows), FORM_COLUMNS[2:])
+    batting, bowling = player_forms(deliveries, matches, n_matches, hot_rows)
+    bat, bowl = side_mean(batting, FORM_COLUMNS[:2]), side_mean(bowling, FORM_COLUMNS[2:])
     both = bat.join(bowl, ["match_id", "team"], "outer")
     return both if keep_partial else both.dropna()
 

@@ -47,6 +47,13 @@ def _counts(df: DataFrame, checks: dict[str, Column], name: str, out: str) -> Da
     return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
+def listing(matches: DataFrame) -> DataFrame:
+    """The sides and grounds by name: (kind, name), for health pages."""
+    named = [("team", "team1"), ("team", "team2"), ("venue", "venue")]
+    names = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("name")) for kind, c in named])
+    return matches.select(F.explode(names).alias("n")).select("n.*").where(F.col("name").isNotNull()).distinct().orderBy("kind", "name")
+
+
 def dataset_profile(deliveries: DataFrame, matches: DataFrame) -> DataFrame:
     """Table sizes and distinct counts, one row.
 

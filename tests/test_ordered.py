@@ -101,3 +101,15 @@ def test_date_key_orders_like_the_date(spark):
             assert keys[1] == 0 and keys[0] == -500000 and len(set(keys)) == 7
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 3])
+def test_trailing_mean_skips_nulls_on_both_paths(spark, hot_rows):
+    values = [None, 1.0, 2.0, None, 4.0, 5.0, None, 7.0, None, None, None, 1.0]
+    df = spark.createDataFrame([("a", i, v) for i, v in enumerate(values)], "k string, day int, v double")
+    got = trailing_mean(df, ["k"], ["day"], {"m": "v"}, 2, hot_rows, ranges=4)
+    want = []
+    for i in range(len(values)):
+        known = [v for v in values[max(0, i - 2) : i] if v is not None]
+        want.append((i, sum(known) / len(known) if known else None))
+    assert sorted((r.day, r.m) for r in got.collect()) == want

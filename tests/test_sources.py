@@ -120,3 +120,20 @@ def test_drop_staged_removes_only_this_sessions_tables(spark, tables):
     with pytest.raises(Exception, match="not exist|NOT_EXIST|NOT_FOUND"):
         copy.collect()
     assert m.count() > 0
+
+
+def test_directories_of_the_same_name_have_their_own_tables(spark, tmp_path):
+    from pathlib import Path
+
+    from stumpline.sources import fixtures
+
+    for parent, scale in (("a", "sf0.001"), ("b", "sf0.01")):
+        (tmp_path / parent).mkdir()
+        (tmp_path / parent / "sf").symlink_to(Path("/root/testdata") / scale)
+    first, second = str(tmp_path / "a" / "sf"), str(tmp_path / "b" / "sf")
+    counts = [fixtures.matches(spark, d).count() for d in (first, second, first)]
+    assert counts[0] == counts[2] != counts[1]
+
+
+def test_intermediate_tables_go_to_a_shared_folder(spark):
+    assert staging.work_dir(spark) == (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()).rstrip("/")

@@ -90,3 +90,9 @@ def test_class_weight_and_balance(scored):
     w = metrics.class_weight(scored, "y").first()
     assert w.positive_weight == w.negative / w.positive
     assert sum(r.share for r in metrics.class_balance(scored, "y").collect()) == pytest.approx(1, abs=1e-3)
+
+
+def test_rows_without_an_id_train(spark):
+    df = spark.createDataFrame([(i,) for i in range(10)] + [(None,)], "match_id bigint")
+    got = splits.temporal_split(df, "match_id")
+    assert got.where("is_test").count() == 2 and got.where("NOT is_test").count() == 9
