@@ -27,8 +27,15 @@ def _shipped(app: str) -> str:
 _sent: set[str] = set()
 
 
+BATCH_BYTES = "4m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package, wherever the driver took it from."""
+    """Let executors import this package, wherever the driver took it from; bound what goes to Python at once.
+
+    Texts differ much in length, so Arrow batches are bounded by bytes, in this session, and not by rows alone.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app not in _sent:
         spark.sparkContext.addPyFile(_shipped(app))
