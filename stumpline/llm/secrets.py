@@ -2,7 +2,7 @@
 
 Both models are order-1 transition tables over the characters of keys. They are trained on labelled samples: the random
 side on the values that the fixed patterns find in the corpus and on ``SEEDED`` seeded strings of each of the usual
-alphabets, the ordinary side on all other words of the corpus. A run of key characters is a secret if the log-likelihood
+alphabets, the ordinary side on all other words of the corpus, but for the runs that are to be judged. A run of key characters is a secret if the log-likelihood
 ratio of the two models, for each transition, reaches ``RATIO``.
 
 One pass over whole texts finds the patterns' spans, the few runs long enough to be scored, and the transition counts
@@ -122,8 +122,11 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base, runs = [], []
             for text in rows.column("text").to_pylist():
                 spans = pattern_spans(text)
+                found = candidates(text, spans)
                 base.append(written(spans))
-                runs.append([{"start": at, "run": run} for at, run in candidates(text, spans)])
+                runs.append([{"start": at, "run": run} for at, run in found])
+                for _, run in found:  # what is to be judged isn't a sample of either side
+                    ordinary -= transitions(_bytes(run))
                 for start, end, kind in spans:
                     counts = transitions(_bytes(text[start:end]))
                     ordinary -= counts
