@@ -130,7 +130,7 @@ def player_form(spark: SparkSession, sf: str) -> DataFrame:
             "match_id", "player", "team", "c.*"
         )
 
-    bat, bowl = form.player_batting_form(d, m), form.player_bowling_form(d, m)
+    bat, bowl = form.player_forms(d, m)
     return long(bat, FORM_COLUMNS[:2]).unionByName(long(bowl, FORM_COLUMNS[2:]))
 
 
@@ -327,6 +327,7 @@ CHECKED: dict[str, Query] = {
     "encode_union": encode_union,
     "encode_unknown": encode_unknown,
     "sequence_norm": sequence_norm,
+    "health_listing": _matches(quality.listing),
     "dataset_profile": _both(quality.dataset_profile),
     # players
     "batting_career": _balls(players.batting_career_stats),

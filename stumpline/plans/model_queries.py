@@ -1,23 +1,26 @@
-"""Model-backed queries. Models are trained once per session and scale, stored, and loaded back."""
+"""Model-backed queries. Models are trained once per session and scale, stored, and loaded back.
+
+What a model predicts depends on its trees, so each registered query shows what must hold whatever they
+are: which rows there are, and whether their values are what they should be. The functions of the same
+name return the values themselves.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stumpline.functions.exprs import rnd
-from stumpline.operators.encode import label_codes, with_codes
-from stumpline.operators.splits import scale_season
 from stumpline.plans import catalog, models, serving
 from stumpline.plans.pipeline import stored
 from stumpline.schema import SCORE_MARGIN
 from stumpline.sources import fixtures
 from stumpline.streaming import live
 
-TREES = 5  # keeps the registered queries short; the predictors' own settings are the default elsewhere
+PREFIX_CODES = {"batting_team": "batting_team_enc", "venue": "venue_enc"}
 
 _trained: dict[tuple[str, str, str], models.Metrics] = {}
 
@@ -27,11 +30,11 @@ def _prefix_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TRAINERS = {
-    "match_winner": lambda s, sf: models.train_match_winner(stored(s, sf, "match_features_v3"), folds=2, trees=TREES),
-    "score_predictor": lambda s, sf: models.train_score_predictor(stored(s, sf, "score_features"), trees=TREES),
-    "win_probability": lambda s, sf: models.train_win_probability(stored(s, sf, "win_prob_features"), trees=TREES),
-    "potm_classifier": lambda s, sf: models.train_potm_classifier(stored(s, sf, "potm_features"), trees=TREES),
-    "prefix_score_predictor": lambda s, sf: models.train_prefix_score_predictor(_prefix_rows(s, sf), trees=TREES),
+    "match_winner": lambda s, sf: models.train_match_winner(stored(s, sf, "match_features_v3")),
+    "score_predictor": lambda s, sf: models.train_score_predictor(stored(s, sf, "score_features")),
+    "win_probability": lambda s, sf: models.train_win_probability(stored(s, sf, "win_prob_features")),
+    "potm_classifier": lambda s, sf: models.train_potm_classifier(stored(s, sf, "potm_features")),
+    "prefix_score_predictor": lambda s, sf: models.train_prefix_score_predictor(_prefix_rows(s, sf)),
 }
 
 
@@ -41,6 +44,8 @@ def trained(spark: SparkSession, sf: str, name: str) -> tuple[PipelineModel, mod
     if known not in _trained:
         model, measured = _TRAINERS[name](spark, sf)
         models.save_model(model, name, folder, measured)
+        if name == "prefix_score_predictor":
+            models.save_encoder(stored(spark, sf, "over_sequences"), list(PREFIX_CODES), name, folder)
         _trained[known] = measured
         return model, measured
     return models.load_model(name, folder), _trained[known]
@@ -109,11 +114,9 @@ def score_interval(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _prefix_features(spark: SparkSession, sf: str, states: DataFrame) -> DataFrame:
-    """Codes and scaled season for over states; an unknown label takes code 0 here."""
-    sequences = stored(spark, sf, "over_sequences")
-    df = with_codes(states, label_codes(sequences, "batting_team"), "batting_team", "batting_team_enc", "zero")
-    df = with_codes(df, label_codes(sequences, "venue"), "venue", "venue_enc", "zero")
-    return scale_season(df, sequences)
+    """Codes and scaled season for over states, as the model was trained; an unknown label takes code 0 here."""
+    folder = f"{fixtures.table_dir(spark, sf)}/models"
+    return models.encoded_as_trained(states, PREFIX_CODES, "prefix_score_predictor", folder)
 
 
 def over_scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,22 +163,105 @@ def live_score(spark: SparkSession, sf: str) -> DataFrame:
     return live.live_score(rows, model)
 
 
+# ---- what must hold ----
+
+
+def _within(column: str, low: float, high: float):
+    """Null, or a number in the range; NaN is neither."""
+    return (F.col(column).isNull() | (F.col(column).between(low, high) & ~F.isnan(column))).alias("plausible")
+
+
+def _checked_metrics(name: str):
+    """The metrics that a model is measured by: shares and areas in 0..1, errors not negative, R squared at most 1."""
+
+    def query(spark: SparkSession, sf: str) -> DataFrame:
+        high = F.when(F.col("metric").isin("log_loss", "mae"), float("inf")).otherwise(1.0)
+        low = F.when(F.col("metric") == "r2", float("-inf")).otherwise(0.0)
+        return _metrics(name)(spark, sf).select("metric", F.coalesce(F.col("value").between(low, high) & ~F.isnan("value"), F.lit(True)).alias("plausible"))
+
+    return query
+
+
+def _checked_importance(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten features, none before one that weighs more, together not above 1."""
+    rows = feature_importance(spark, sf)  # ten rows
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("importance"), "feature")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(F.row_number().over(order).alias("position"), ((F.sum("importance").over(upto) <= 1 + 1e-9) & (F.col("importance") >= 0)).alias("plausible"))
+
+
+def _checked_summary(spark: SparkSession, sf: str) -> DataFrame:
+    plausible = (F.col("value") >= 0) & (F.col("accuracy") <= 1)
+    return model_summary(spark, sf).select("model", "type", "key_metric", plausible.alias("plausible"))
+
+
+def _checked_curve(spark: SparkSession, sf: str) -> DataFrame:
+    return win_curve(spark, sf).select(
+        "match_id", "over", "batting_team", "bowling_team", "actual_winner", "phase", _within("win_probability", 0, 100)
+    )
+
+
+def _checked_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    return calibration_by_over(spark, sf).select("over", "outcome", _within("predicted_prob", 0, 100))
+
+
+def _checked_prematch(spark: SparkSession, sf: str) -> DataFrame:
+    """Both sides' probabilities add up to 100, but for their rounding."""
+    both = F.abs(F.col("team1_win_probability") + F.col("team2_win_probability") - 100) <= 0.11
+    return prematch_scored(spark, sf).select("request_id", "team1", "team2", both.alias("plausible"))
+
+
+def _interval(width: float, floor: float | None = None):
+    """The prediction lies inside an interval of that width, but for rounding and the floor."""
+    p, low, high = (F.col(c) for c in ("predicted_final_score", "confidence_interval_low", "confidence_interval_high"))
+    wide = F.abs(high - low - width) <= 0.11
+    if floor is not None:
+        wide = wide | (low == floor)
+    return ((low <= p) & (p <= high) & wide).alias("plausible")
+
+
+def _checked_scores(spark: SparkSession, sf: str) -> DataFrame:
+    out = score_requests(spark, sf)
+    return out.select("request_id", "current_rr", "projected_naive", _interval(2 * SCORE_MARGIN))
+
+
+def _checked_interval(spark: SparkSession, sf: str) -> DataFrame:
+    return score_interval(spark, sf).select("request_id", _interval(2 * trained(spark, sf, "score_predictor")[1]["mae"]))
+
+
+def _checked_overs(spark: SparkSession, sf: str) -> DataFrame:
+    margin = trained(spark, sf, "prefix_score_predictor")[1]["mae"]
+    return over_scored(spark, sf).select("request_id", "overs_seen", _interval(2 * margin, 0.0))
+
+
+def _checked_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranks from 1 on, the first one predicted, none before one that is likelier."""
+    order = Window.partitionBy("request_id").orderBy("rank")
+    before = F.lag("potm_probability").over(order)
+    falling = F.coalesce(F.col("potm_probability") <= before, F.lit(True)) & F.col("potm_probability").between(0, 100)
+    return potm_rank(spark, sf).select("request_id", "rank", "predicted_potm", falling.alias("plausible"))
+
+
+def _checked_live(spark: SparkSession, sf: str) -> DataFrame:
+    return live_score(spark, sf).select("match_id", "inning", "over", "cum_runs", _within("predicted_final_score", -1000, 10000))
+
+
 MODEL_QUERIES = {
-    "match_winner_model": _metrics("match_winner"),
-    "score_model": _metrics("score_predictor"),
-    "win_prob_model": _metrics("win_probability"),
-    "potm_model": _metrics("potm_classifier"),
-    "prefix_score_model": _metrics("prefix_score_predictor"),
-    "feature_importance": feature_importance,
+    "match_winner_model": _checked_metrics("match_winner"),
+    "score_model": _checked_metrics("score_predictor"),
+    "win_prob_model": _checked_metrics("win_probability"),
+    "potm_model": _checked_metrics("potm_classifier"),
+    "prefix_score_model": _checked_metrics("prefix_score_predictor"),
+    "feature_importance": _checked_importance,
     "model_roundtrip": model_roundtrip,
-    "model_summary": model_summary,
-    "win_curve": win_curve,
-    "calibration_by_over": calibration_by_over,
-    "prematch_scored": prematch_scored,
-    "score_requests": score_requests,
-    "score_interval": score_interval,
-    "over_scored": over_scored,
-    "potm_rank": potm_rank,
+    "model_summary": _checked_summary,
+    "win_curve": _checked_curve,
+    "calibration_by_over": _checked_calibration,
+    "prematch_scored": _checked_prematch,
+    "score_requests": _checked_scores,
+    "score_interval": _checked_interval,
+    "over_scored": _checked_overs,
+    "potm_rank": _checked_ranks,
     "stream_state": stream_state,
-    "live_score": live_score,
+    "live_score": _checked_live,
 }

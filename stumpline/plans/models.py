@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from stumpline.functions.exprs import ball_position, flag, phase_of, rnd
 from stumpline.operators import metrics
-from stumpline.operators.encode import encode
+from stumpline.operators.encode import encode, label_codes, with_codes
 from stumpline.operators.splits import scale_season, stratified_folds, stratified_split, temporal_split
 from stumpline.plans.serving import rank_players
 from stumpline.schema import (
@@ -30,6 +31,7 @@ from stumpline.schema import (
 from stumpline.sources.staging import staged
 
 Metrics = dict[str, float]
+PATIENCE = 50  # trees without a lower held-out error after which training ends
 
 
 @dataclass(frozen=True)
@@ -46,7 +48,7 @@ class Predictor:
     rows: float = 1.0  # share of rows per tree
     columns: float = 1.0  # share of features per split
     balanced: bool = False  # weight positives by negatives / positives
-    early_stop: bool = False  # stop once the held-out error no longer falls
+    early_stop: bool = False  # keep the trees up to the least held-out error
     seed: int = 42
 
 
@@ -63,22 +65,50 @@ PREFIX_SCORE = Predictor("prefix_score_predictor", ("over", *STEP_FEATURES, *STA
 # ---- training ----
 
 
-def _estimator(spec: Predictor, validation: str | None, weight: str | None):
+def _estimator(spec: Predictor, weight: str | None):
     options = {
         "featuresCol": "_features", "labelCol": spec.target, "maxIter": spec.trees, "maxDepth": spec.depth,
         "stepSize": spec.step, "subsamplingRate": spec.rows, "seed": spec.seed,
         "featureSubsetStrategy": "all" if spec.columns == 1.0 else str(spec.columns),
     }
-    if validation:
-        options["validationIndicatorCol"] = validation
     if weight:
         options["weightCol"] = weight
     return GBTClassifier(**options) if spec.classifier else GBTRegressor(**options)
 
 
-def _pipeline(spec: Predictor, validation: str | None = None, weight: str | None = None) -> Pipeline:
+def _pipeline(spec: Predictor, weight: str | None = None) -> Pipeline:
     assemble = VectorAssembler(inputCols=list(spec.features), outputCol="_features")
-    return Pipeline(stages=[assemble, _estimator(spec, validation, weight)])
+    return Pipeline(stages=[assemble, _estimator(spec, weight)])
+
+
+def held_out_errors(spec: Predictor, model: PipelineModel, held_out: DataFrame) -> list[float]:
+    """Error on the held-out rows after every tree."""
+    assemble, trees = model.stages
+    rows = assemble.transform(held_out)
+    return trees.evaluateEachIteration(rows) if spec.classifier else trees.evaluateEachIteration(rows, "squared")
+
+
+def best_length(errors: list[float], patience: int = PATIENCE) -> tuple[int, bool]:
+    """Trees up to the least error, looking ``patience`` trees past it; whether that many were seen."""
+    best = 0
+    for k, error in enumerate(errors):
+        if error < errors[best]:
+            best = k
+        elif k - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def _stopped_early(spec: Predictor, train_rows: DataFrame, held_out: DataFrame, weight: str | None) -> PipelineModel:
+    """Boost until ``PATIENCE`` trees bring nothing, then train the trees up to the best one again: a run with the
+    same seed begins with the same trees."""
+    trees = min(spec.trees, 2 * PATIENCE)
+    while True:
+        model = _pipeline(replace(spec, trees=trees), weight).fit(train_rows)
+        best, done = best_length(held_out_errors(spec, model, held_out))
+        if done or trees == spec.trees:
+            return model if best == trees else _pipeline(replace(spec, trees=best), weight).fit(train_rows)
+        trees = min(spec.trees, 2 * trees)
 
 
 def fit(spec: Predictor, split: DataFrame) -> PipelineModel:
@@ -89,9 +119,10 @@ def fit(spec: Predictor, split: DataFrame) -> PipelineModel:
         ratio = metrics.class_weight(df, spec.target).first()["positive_weight"]
         df = df.withColumn("_weight", F.when(F.col(spec.target) == 1, F.lit(ratio)).otherwise(1.0))
         weight = "_weight"
-    if spec.early_stop and not df.where("is_test").isEmpty():
-        return _pipeline(spec, "is_test", weight).fit(df)
-    return _pipeline(spec, None, weight).fit(df.where(~F.col("is_test")))
+    train_rows, held_out = df.where(~F.col("is_test")), df.where("is_test")
+    if spec.early_stop and not held_out.isEmpty():
+        return _stopped_early(spec, train_rows, held_out, weight)
+    return _pipeline(spec, weight).fit(train_rows)
 
 
 def predict(model: PipelineModel, spec: Predictor, df: DataFrame, out: str = "prediction") -> DataFrame:
@@ -128,7 +159,7 @@ def cross_validated_auc(spec: Predictor, df: DataFrame, key: list[str], folds: i
     evaluator = BinaryClassificationEvaluator(labelCol=spec.target, rawPredictionCol="rawPrediction")
     runs = CrossValidator(
         estimator=_pipeline(spec), estimatorParamMaps=[{}], evaluator=evaluator, numFolds=folds, foldCol="fold",
-        parallelism=2,
+        parallelism=folds,
     ).fit(folded)
     return {"cv_roc_auc_mean": round(runs.avgMetrics[0], 4), "cv_roc_auc_std": round(runs.stdMetrics[0], 4)}
 
@@ -152,8 +183,11 @@ def train_score_predictor(features: DataFrame, trees: int | None = None) -> tupl
 
 
 def train_win_probability(features: DataFrame, trees: int | None = None) -> tuple[PipelineModel, Metrics]:
-    """Held out: the last fifth of the matches."""
-    return train(_sized(WIN_PROBABILITY, trees), temporal_split(features, "match_id"))
+    """Held out: the last fifth of the matches, or a stratified fifth of the rows where they name no match."""
+    spec = _sized(WIN_PROBABILITY, trees)
+    if "match_id" in features.columns:
+        return train(spec, temporal_split(features, "match_id"))
+    return train(spec, stratified_split(features, [*spec.features, spec.target], spec.target))
 
 
 def train_potm_classifier(features: DataFrame, trees: int | None = None) -> tuple[PipelineModel, Metrics]:
@@ -186,12 +220,36 @@ def save_model(model: PipelineModel, name: str, out_dir: str, measured: Metrics
 
 def load_model(name: str, in_dir: str) -> PipelineModel:
     path = f"{in_dir.rstrip('/')}/{name}"
-    try:
-        return PipelineModel.load(path)
-    except Exception as error:
-        if "does not exist" in str(error) or "PATH_NOT_FOUND" in str(error):
-            raise FileNotFoundError(f"No saved model at {path}. Train it first.") from error
-        raise
+    if name not in stored_models(SparkSession.active(), in_dir):
+        raise FileNotFoundError(f"No saved model at {path}. Train it first.")
+    return PipelineModel.load(path)
+
+
+def save_encoder(fitted_on: DataFrame, columns: list[str], name: str, out_dir: str) -> None:
+    """The label codes and the range of seasons that a model was trained with, beside it: one row a label."""
+    path = f"{out_dir.rstrip('/')}/{name}"
+    parts = [label_codes(fitted_on, c).select(F.lit(c).alias("column"), "label", "code") for c in columns]
+    seasons = fitted_on.agg(F.min("season").alias("lo"), F.max("season").alias("hi"))
+    parts += [seasons.select(F.lit(f"season_{end}").alias("column"), F.lit(None).cast("string").alias("label"), F.col(end).cast("int").alias("code")) for end in ("lo", "hi")]
+    reduce(DataFrame.unionByName, parts).write.mode("overwrite").partitionBy("column").parquet(f"{path}.encoder")
+
+
+def encoded_as_trained(df: DataFrame, columns: dict[str, str], name: str, in_dir: str, unknown: str = "zero") -> DataFrame:
+    """Codes and scaled season by what is stored with the model: new labels in today's tables change nothing."""
+    stored = df.sparkSession.read.schema("label string, code int, column string").parquet(f"{in_dir.rstrip('/')}/{name}.encoder")
+    for column, out in columns.items():
+        df = with_codes(df, stored.where(F.col("column") == column).select("label", "code"), column, out, unknown)
+    seasons = {r["column"]: r["code"] for r in stored.where(F.col("column").isin("season_lo", "season_hi")).collect()}  # two rows
+    lo, hi = seasons["season_lo"], seasons["season_hi"]
+    return df.withColumn("season_norm", (F.col("season") - F.lit(lo)) / F.lit(max(hi - lo, 1)))
+
+
+def stored_models(spark: SparkSession, in_dir: str) -> list[str]:
+    """Names of the models in a folder: which predictions a service can give."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(in_dir)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
+    return sorted(n for n in names if "." not in n)
 
 
 def load_metrics(spark: SparkSession, name: str, in_dir: str) -> Metrics:

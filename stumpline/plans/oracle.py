@@ -289,6 +289,8 @@ _QUERIES: dict[str, tuple[list[str], str]] = {
         (SELECT count(DISTINCT t) FROM (SELECT team1 AS t FROM matches UNION ALL SELECT team2 FROM matches)) AS teams,
         (SELECT count(DISTINCT venue) FROM matches) AS venues, (SELECT count(DISTINCT season) FROM matches) AS seasons,
         (SELECT count(DISTINCT batsman) FROM deliveries) AS batsmen, (SELECT count(DISTINCT bowler) FROM deliveries) AS bowlers"""),
+    "health_listing": ([], """SELECT DISTINCT kind, name FROM (SELECT 'team' AS kind, unnest([team1, team2]) AS name FROM matches
+        UNION ALL SELECT 'venue', venue FROM matches) WHERE name IS NOT NULL"""),
     "batting_career": ([BAT_CAREER], "SELECT * FROM bat_career"),
     "batting_phase": ([BAT_PHASE], "SELECT * FROM bat_phase"),
     "bowling_career": ([BOWL_CAREER], "SELECT * FROM bowl_career"),
@@ -454,6 +456,39 @@ _QUERIES["stream_state"] = ([], f"""SELECT match_id, inning, batting_team, over,
         JOIN (SELECT match_id, sum(total_runs) + 1 AS target FROM deliveries WHERE inning = 1 GROUP BY 1) USING (match_id)""")
 
 
+def _names(*metrics: str) -> tuple[list[str], str]:
+    rows = ", ".join(f"('{m}')" for m in metrics)
+    return [], f"SELECT metric, true AS plausible FROM (VALUES {rows}) AS t(metric)"
+
+
+BINARY = ("accuracy", "log_loss", "precision_pos", "recall_pos", "f1_pos", "roc_auc")
+
+# What holds for any trees: the rows of the model queries, their keys and what follows from the requests.
+_QUERIES |= {
+    "match_winner_model": _names(*BINARY, "cv_roc_auc_mean", "cv_roc_auc_std"),
+    "score_model": _names("mae", "r2"),
+    "win_prob_model": _names(*BINARY),
+    "potm_model": _names(*BINARY, "avg_precision"),
+    "prefix_score_model": _names("mae", "r2"),
+    "feature_importance": ([], "SELECT (range + 1)::INT AS position, true AS plausible FROM range(10)"),
+    "model_roundtrip": ([SCORE], "SELECT match_id, true AS same FROM score"),
+    "model_summary": ([], """SELECT *, true AS plausible FROM (VALUES ('match_winner', 'Classifier', 'roc_auc'), ('potm_classifier', 'Classifier', 'roc_auc'),
+        ('prefix_score_predictor', 'Regressor', 'mae'), ('score_predictor', 'Regressor', 'mae'), ('win_probability', 'Classifier', 'roc_auc')) AS t(model, type, key_metric)"""),
+    "win_curve": ([WIN], f"""SELECT match_id, over, batting_team, bowling_team, winner AS actual_winner, {PHASE} AS phase, true AS plausible
+        FROM (SELECT match_id, over FROM win) JOIN (SELECT match_id, min(batting_team) AS batting_team, min(bowling_team) AS bowling_team FROM deliveries
+              WHERE inning = 2 GROUP BY 1) USING (match_id) JOIN matches m ON m.id = match_id"""),
+    "calibration_by_over": ([WIN], "SELECT DISTINCT over, CASE WHEN batting_team_won = 1 THEN 'Won' ELSE 'Lost' END AS outcome, true AS plausible FROM win"),
+    "prematch_scored": ([], "SELECT id AS request_id, team1, team2, true AS plausible FROM matches"),
+    "score_requests": ([HALF], f"""SELECT match_id AS request_id, rr AS current_rr, {_r('rr * 20', 1)} AS projected_naive, true AS plausible
+        FROM (SELECT match_id, {_r('runs_10 / 10.0::DOUBLE', 3)} AS rr FROM half)"""),
+    "score_interval": ([HALF], "SELECT match_id AS request_id, true AS plausible FROM half"),
+    "over_scored": ([SEQ], "SELECT match_id AS request_id, count(*)::INT AS overs_seen, true AS plausible FROM seq GROUP BY match_id"),
+    "potm_rank": ([AWARD], """SELECT match_id AS request_id, rank, (rank = 1)::INT AS predicted_potm, true AS plausible
+        FROM (SELECT match_id, (row_number() OVER (PARTITION BY match_id ORDER BY player))::INT AS rank FROM lines)"""),
+    "live_score": ([SEQ], "SELECT match_id, 1 AS inning, over, cum_runs, true AS plausible FROM seq"),
+}
+
+
 def statements() -> dict[str, str]:
     out = {}
     for name, (steps, select) in _QUERIES.items():

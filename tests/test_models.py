@@ -76,3 +76,32 @@ def test_probabilities_of_both_teams_add_up(spark, tables):
     assert out.where(F.abs(F.col("team1_win_probability") + F.col("team2_win_probability") - 100) > 0.11).count() == 0
     summary = models.model_summary(spark, {"match_winner": measured})
     assert summary.first().key_metric == "roc_auc"
+
+
+def test_early_stopping_waits():
+    errors = [5.0, 4.0, 4.5, 4.4, 3.9, *[4.0] * 60, 1.0]
+    assert models.best_length(errors, 2) == (2, True)
+    assert models.best_length(errors, 50) == (5, True)
+    assert models.best_length(errors, 100) == (len(errors), False)
+
+
+def test_early_stopped_model_keeps_its_best_trees(tables):
+    df = features.build_score_features(*tables, keep_id=True)
+    model, _ = models.train_score_predictor(df, trees=60)
+    assert 1 < model.stages[-1].getNumTrees <= 60
+
+
+def test_win_probability_without_match_ids(win_features):
+    _, measured = models.train_win_probability(win_features.drop("match_id"), trees=3)
+    assert measured["roc_auc"] > 0.5
+
+
+def test_stored_codes_outlive_new_labels(spark, tmp_path):
+    schema = "batting_team string, venue string, season int"
+    old = spark.createDataFrame([("B", "m", 2010), ("A", "k", 2012), (None, None, 2011)], schema)
+    columns = {"batting_team": "team_enc", "venue": "venue_enc"}
+    models.save_encoder(old, list(columns), "w", str(tmp_path))
+    today = old.unionByName(spark.createDataFrame([("0 new", "a new", 2030)], schema))
+    got = models.encoded_as_trained(today, columns, "w", str(tmp_path))
+    assert rows(got, "batting_team", "team_enc", "venue_enc", "season_norm") == sorted(
+        [("B", 1, 1, 0.0), ("A", 0, 0, 1.0), (None, 0, 0, 0.5), ("0 new", 0, 0, 10.0)], key=repr)
