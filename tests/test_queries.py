@@ -20,7 +20,11 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(contract.oracle_sql()))
+# these train 300 trees on each of five folds; check.py runs them beside their SQL
+CROSS_VALIDATED = {"match_winner_model", "feature_importance", "prematch_scored", "model_summary"}
+
+
+@pytest.mark.parametrize("name", sorted(set(contract.oracle_sql()) - CROSS_VALIDATED))
 def test_query_matches_sql(spark, db, name):
     df = contract.queries()[name](spark, SF)
     cur = db.execute(contract.oracle_sql()[name])
