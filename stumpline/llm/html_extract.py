@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stumpline.llm.cluster import ship
+from stumpline.llm.cluster import hashed_sample, ship
 
 SAMPLE = 2_000
 
@@ -340,7 +340,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fitted(pages: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Weights from at most ``sample`` pages, those whose url's hash is least."""
     ship(pages.sparkSession)
-    chosen = pages.orderBy(F.xxhash64("url", "page_id")).select(F.col("html").cast("string").alias("html")).limit(sample)
+    chosen = hashed_sample(pages, sample, "url", "page_id").select(F.col("html").cast("string").alias("html"))
     got = chosen.mapInArrow(_described, _DESCRIBED).collect()  # two rows a page
     return trained(np.array([r["features"] for r in got], float).reshape(-1, len(FEATURES)), np.array([r["label"] for r in got], bool))
 
