@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stumpline.llm.arrays import binary, flat
-from stumpline.llm.cluster import ship, staged
+from stumpline.llm.cluster import hashed_sample, ship, staged
 from stumpline.llm.components import components, local_roots, streamed_groups, tiled
 from stumpline.llm.jaccard_join import compared
 
@@ -209,7 +209,7 @@ def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     sizes = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
     dim, quantiser = (sizes["dim"], None) if sizes else (0, None)
     if sizes:
-        sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("cls"), "cls").select("vector").limit(SAMPLE).collect()  # bounded
+        sample = hashed_sample(classes.where(F.col("dim") == dim), SAMPLE, "cls").select("vector").collect()  # bounded
         quantiser = Quantiser(unit(np.stack([np.frombuffer(r["vector"], np.float64) for r in sample])).astype(np.float32), _list_count(sizes["n"]))
     dealt = staged(
         classes.select("cls", "dim", "rep", "copies", "vector").mapInArrow(
