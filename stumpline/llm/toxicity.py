@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stumpline.llm.arrays import distinct, pieces, span_hashes, words
-from stumpline.llm.cluster import bounded_text, ship
+from stumpline.llm.cluster import bounded_text, hashed_sample, ship
 
 SAMPLE = 20_000
 PREFIXES = (3, 4, 5, 6)
@@ -234,7 +234,7 @@ def _described(names: list[str]):
 def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, text, toxic): at most ``sample`` ids, none of the held-out fold. The bound allows the broadcast."""
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)")
-    chosen = ids.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = hashed_sample(ids.where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic")), sample, "doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), bounded_text(docs, "text").alias("text"))
     return texts.join(F.broadcast(chosen), "doc_id")
 
