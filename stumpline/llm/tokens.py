@@ -110,14 +110,17 @@ class Vocabulary:
         self.ids = np.concatenate([self.ids, *kinds])
         self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(lengths)])
 
+    def _whole_rows(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of the rows as they are."""
+        ids = self._one_by_one([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)])
+        return np.concatenate([np.asarray(x, self.dtype) for x in ids]), np.array([len(x) for x in ids], np.int64)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a piece and the number of ids of each row, without an end id."""
         rows = len(offsets) - 1
         raw = data.tobytes()
         if any(s in raw for s in self.special):
-            texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            ids = self._one_by_one(texts)
-            return np.concatenate([np.asarray(x, self.dtype) for x in ids]), np.array([len(x) for x in ids], np.int64)
+            return self._whole_rows(raw, offsets)
         if not len(data):
             return np.zeros(0, self.dtype), np.zeros(rows, np.int64)
         starts, ends, first = _units(data, offsets)
@@ -126,7 +129,7 @@ class Vocabulary:
         data = _folded(data, starts, ends)
         unique, at, inverse = distinct(span_hashes(data, starts, ends))
         if not (((ends - starts) == (ends - starts)[at][inverse]).all()):
-            raise ValueError("two units share a hash")
+            return self._whole_rows(raw, offsets)  # two units share a hash
         if len(self.keys) > KEPT:
             self.forget()
         place = np.searchsorted(self.keys, unique)
