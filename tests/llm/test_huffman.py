@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from llm_tables import docs  # noqa: F401
 from stumpline.llm import huffman as H
 from stumpline.llm.tokens import WORD_BPE, id_type, tokenised
 

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 
+from llm_tables import docs  # noqa: F401
 from stumpline.llm import secrets as S
 
 SCHEMA = "doc_id long, text string, base string, n_chars long, spans string"

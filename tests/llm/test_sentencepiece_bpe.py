@@ -5,6 +5,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
+from llm_tables import docs  # noqa: F401
 from stumpline.llm import sentencepiece_bpe as B
 from stumpline.llm.arrays import distinct, keyed, mixed, span_hashes
 

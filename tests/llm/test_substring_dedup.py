@@ -5,6 +5,7 @@ from collections import Counter
 
 import pytest
 
+from llm_tables import docs  # noqa: F401
 from stumpline.llm.substring_dedup import repeats_removed
 
 SCHEMA = "doc_id long, text string, key long, part string, blocks string"

@@ -5,6 +5,7 @@ import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
 
+from llm_tables import docs  # noqa: F401
 from stumpline.llm import tokens as T
 from stumpline.llm.arrays import distinct, flat, pieces, span_hashes, window_hashes, words
 
