@@ -3,14 +3,14 @@
 The model file is one of merge type with byte fallback: a text becomes one symbol a character, the best-scored
 neighbours that form a piece merge first (the leftmost of equals), and what is no piece in the end becomes bytes. Here
 each candidate merge, a pair of neighbouring symbols at their places, is skipped with probability ``dropout``, by a hash
-keyed by seed, word, variant and the pair's places: the same for every run and machine, different for every seed. All
-segmentations decode to the same text.
+keyed by seed, word, the word's draw and the pair's places: the same for every run and machine, different for every
+seed. All segmentations decode to the same text.
 
 Pieces never join a word's last character to the space of the next word (checked when the model is read), so the words
-of a text, each with the spaces before it, are segmented by themselves. A batch of documents is one table of symbols:
-equal words of one variant are segmented once, and each round of the agenda merges the best pair of every word at once.
-A word's variant is one of ``VARIANTS`` by a hash of document and place, so a word is segmented differently from place
-to place.
+of a text, each with the spaces before it, are segmented by themselves. The words of some documents are one table of
+symbols, and each round of the agenda merges the best pair of every word at once. With dropout every occurrence of a word
+is segmented by itself: its draw is one of ``VARIANTS``, all values of a hash, by document and place, so the variety of a
+word grows with its occurrences. Only without dropout are equal words segmented once.
 
 Defined results: a null or empty text has no ids; with dropout 0 ids are those of the sentencepiece library, but for the
 model's own space sign in a text, which becomes bytes here so that it comes back; repeated rows have equal ids; null ids are kept; an empty table gives an empty result; other columns are ignored.
@@ -34,10 +34,11 @@ from stumpline.llm.tokens import WIDE_ID, expanded
 
 MODEL = "piece_bpe_32k.model"
 DROPOUT = 0.1
-VARIANTS = 4
+VARIANTS = 2**64 - 1
 SPACE = "▁"
 LITERAL = 0x110000  # stands for a space sign that a text itself has
 PIECE_BYTES = 1 << 20
+TABLE = 1 << 18  # symbols merged at a time
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -182,9 +183,8 @@ def _code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Coder:
     """Encodes and decodes pieces of a table."""
 
-    def __init__(self, model: Pieces, dropout: float, seed: int, variants: int):
+    def __init__(self, model: Pieces, dropout: float, seed: int):
         self.model, self.dropout, self.seed = model, dropout, keyed(seed)
-        self.variants = variants if dropout else 1
 
     def encode(self, data: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows and where each row's begin. ``rows`` are numbers that stand for the rows in the hashes."""
@@ -207,17 +207,19 @@ class Coder:
         stop = np.append(unit[1:], len(code))
         lead = np.append(lead, len(data))
         hashes = span_hashes(data, lead[unit], lead[stop])
-        row = np.searchsorted(row_first, unit, "right") - 1
-        place = unit - row_first[row]
-        if self.variants > 1:
-            variant = mixed(rows[full[row]] ^ mixed(place.astype(np.uint64) + self.seed)) % np.uint64(self.variants)
-            hashes = mixed(hashes + variant * _GOLD)
-        unique, at, which = distinct(hashes)
-        if not ((stop - unit)[at][which] == stop - unit).all():
-            raise ValueError("two words share a hash")
-        symbols, _ = expanded(self.model.of_character[code], np.append(unit, len(code)), at)
-        begins = np.concatenate([[0], np.cumsum((stop - unit)[at])])
-        symbols, begins = segmented(self.model, symbols, begins, unique ^ self.seed, self.dropout)
+        if self.dropout:
+            row = np.searchsorted(row_first, unit, "right") - 1
+            place = unit - row_first[row]
+            draw = mixed(rows[full[row]] ^ mixed(place.astype(np.uint64) + self.seed)) % np.uint64(VARIANTS)
+            keys, which = mixed(hashes + draw * _GOLD), np.arange(len(unit))
+            symbols, begins = self.model.of_character[code], np.append(unit, len(code))
+        else:
+            keys, at, which = distinct(hashes)
+            if not ((stop - unit)[at][which] == stop - unit).all():
+                raise ValueError("two words share a hash")
+            symbols, _ = expanded(self.model.of_character[code], np.append(unit, len(code)), at)
+            begins = np.concatenate([[0], np.cumsum((stop - unit)[at])])
+        symbols, begins = self._merged(symbols, begins, keys ^ self.seed)
         ids, begins = self._with_bytes(symbols, begins)
         ids, lengths = expanded(ids, begins, which)
         total = np.concatenate([[0], np.cumsum(lengths)])
@@ -226,6 +228,13 @@ class Coder:
         ends[full + 1] = total[np.append(first_unit[1:], len(unit))]
         return ids, np.maximum.accumulate(ends)
 
+    def _merged(self, symbols: np.ndarray, begins: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``segmented`` for runs of about ``TABLE`` symbols."""
+        cuts = np.unique(np.append(np.searchsorted(begins, np.arange(0, begins[-1], TABLE)), len(keys)))
+        out = [segmented(self.model, symbols[begins[a] : begins[b]].copy(), begins[a : b + 1] - begins[a], keys[a:b], self.dropout) for a, b in itertools.pairwise(cuts.tolist())]
+        ends = np.cumsum([0, *(len(x) for x, _ in out)])
+        return np.concatenate([x for x, _ in out]), np.concatenate([*(e[:-1] + at for (_, e), at in zip(out, ends[:-1], strict=True)), ends[-1:]])
+
     def _with_bytes(self, symbols: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Characters that are no piece become the ids of their bytes."""
         odd = np.flatnonzero(symbols >= self.model.size)
@@ -268,13 +277,13 @@ def _keys_of(rows: pa.RecordBatch) -> np.ndarray:
     return mixed(rows.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.uint64) + _GOLD)
 
 
-def encoded(docs: DataFrame, seed: int = 0, dropout: float = DROPOUT, path: str | None = None, variants: int = VARIANTS) -> DataFrame:
+def encoded(docs: DataFrame, seed: int = 0, dropout: float = DROPOUT, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids): ids of every whole text as little-endian 32-bit integers."""
     ship(docs.sparkSession)
     path = path or public_tokenizers.path(MODEL)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(pieces_of(path), dropout, seed, variants)
+        coder = Coder(pieces_of(path), dropout, seed)
         for rows, data, offsets in pieces(batches, "text", PIECE_BYTES):
             ids, begins = coder.encode(data, offsets, _keys_of(rows))
             raw = ids.astype(WIDE_ID).tobytes()
@@ -292,7 +301,7 @@ def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:
     path = path or public_tokenizers.path(MODEL)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(pieces_of(path), 0.0, 0, 1)
+        coder = Coder(pieces_of(path), 0.0, 0)
         for rows, data, offsets in pieces(batches, "ids", 4 * PIECE_BYTES):
             out, ends = coder.decode(np.frombuffer(data.tobytes(), WIDE_ID).astype(np.int64), offsets // 4)
             raw = out.tobytes()
@@ -301,7 +310,7 @@ def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(decode, "doc_id long, text string")
 
 
-def summarised(docs: DataFrame, seed: int = 0, dropout: float = DROPOUT, path: str | None = None, variants: int = VARIANTS) -> DataFrame:
+def summarised(docs: DataFrame, seed: int = 0, dropout: float = DROPOUT, path: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_crc32, decoded_crc32 and lossless (is the decoded text the text?) of every document.
 
     Encodes and decodes a run of documents in one go, so ids needn't leave the task.
@@ -310,7 +319,7 @@ def summarised(docs: DataFrame, seed: int = 0, dropout: float = DROPOUT, path: s
     path = path or public_tokenizers.path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(pieces_of(path), dropout, seed, variants)
+        coder = Coder(pieces_of(path), dropout, seed)
         for rows, data, offsets in pieces(batches, "text", PIECE_BYTES):
             ids, begins = coder.encode(data, offsets, _keys_of(rows))
             out, ends = coder.decode(ids, begins)

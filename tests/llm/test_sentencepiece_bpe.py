@@ -81,6 +81,24 @@ def test_seeds_differ_and_repeat(spark, docs):
     assert sum(map(len, first.values())) > sum(map(len, ids_of(docs, dropout=0.0).values()))
 
 
+def test_every_occurrence_has_a_draw_of_its_own():
+    coder = B.Coder(B.pieces_of(public_tokenizers.path(B.MODEL)), 0.1, 3)
+    for n in (200, 4000):
+        raw = np.frombuffer(b"unbelievably " * n, np.uint8)
+        ids, begins = coder.encode(raw, np.arange(0, len(raw) + 1, 13), mixed(np.arange(n, dtype=np.uint64)))
+        seen = {tuple(ids[a:b].tolist()) for a, b in zip(begins[:-1], begins[1:], strict=True)}
+        assert len(seen) > n**0.5
+        ids, _ = coder.encode(raw, np.array([0, len(raw)]), np.array([1], np.uint64))
+        words, word = set(), b""
+        for i in ids.tolist():
+            piece = coder.model.raw[i]
+            if piece.startswith(b" "):
+                words.add(word)
+                word = b""
+            word += piece + b"|"
+        assert len(words) > n**0.5
+
+
 def test_summary_of_odd_rows(spark):
     df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(ODD)] + [(None, "two", None, None), (1, "", None, None)], SCHEMA)
     got = B.summarised(df, dropout=0.3, seed=3).collect()
