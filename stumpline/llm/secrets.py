@@ -9,12 +9,13 @@ One pass over whole texts finds the patterns' spans, the few runs long enough to
 (one table of fixed size a task, summed by Spark); a second step scores the runs. Nothing else is kept of the texts.
 
 Defined results: a null or empty text has no spans; spans are code points, end exclusive; spans of the models never
-overlap those of the patterns, which always stay; repeated rows are scanned each; an empty table gives an empty result.
+overlap those of the patterns, which always stay; what a pattern leaves of a run is scored part by part; repeated rows are scanned each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 from collections.abc import Iterator
@@ -64,12 +65,28 @@ def parsed(spans: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, str]]) -> list[tuple[int, str]]:
-    """Runs long and varied enough that lie beside the spans already found."""
-    return [
-        (m.start(), m[0])
-        for m in RUN.finditer(text)
-        if len(set(m[0])) >= DISTINCT and not any(a < m.end() and m.start() < b for a, b, _ in taken)
-    ]
+    """What the spans already found (by start) leave of the runs long and varied enough.
+
+    Length and variety are those of the whole run, so that a short rest of a key is judged too; a single character has no
+    transition.
+    """
+    out, first = [], 0
+    ends = list(itertools.accumulate((b for _, b, _ in taken), max))
+    for m in RUN.finditer(text):
+        if len(set(m[0])) < DISTINCT:
+            continue
+        at, stop = m.span()
+        while first < len(taken) and ends[first] <= at:
+            first += 1
+        k = first
+        while k < len(taken) and taken[k][0] < stop:
+            if taken[k][0] - at > 1:
+                out.append((at, text[at : taken[k][0]]))
+            at = max(at, taken[k][1])
+            k += 1
+        if stop - at > 1:
+            out.append((at, text[at:stop]))
+    return out
 
 
 def transitions(data: np.ndarray) -> np.ndarray:
