@@ -4,8 +4,8 @@ The features of a text are which words and word beginnings (of ``PREFIXES`` code
 ``LEVELS`` times or more. They are counted over a bounded sample of labelled rows, ``SAMPLE`` (those whose id's hash is least), in Spark; the
 ``MOST_FEATURES`` that part the labels best, by the likelihood-ratio statistic, are kept if it reaches ``LEAST_GAIN``.
 A logistic model over them is fitted on the driver. Besides the usual penalty, every labelled text that names a group
-(``IDENTITY_TERMS``) is paired with the same text in which the name is swapped for others of its set, and with neutral
-insertions of every name; the squared difference of the two scores (their log-odds) is added to the loss. So a name by
+(``IDENTITY_TERMS``) is paired with the same text in which all mentions of the name are swapped for others of its set,
+and every name is inserted once and as often as each of ``LEVELS``; the squared difference of the two scores (their log-odds) is added to the loss. So a name by
 itself moves no score, even where it is frequent in texts labelled as toxic.
 
 Scoring reads every whole text once. Nothing but the text is an input of a score.
@@ -123,7 +123,7 @@ def fitted(rows: list[np.ndarray], labels: np.ndarray, differences: list[dict[in
     d_value = np.array([v for d in differences for v in d.values()], float)
     n, pull = len(labels), COUNTERFACTUAL / max(1, len(differences))
     widest = max(len(r) for r in rows) + 1
-    swing = max((sum(v * v for v in d.values()) for d in differences), default=0)
+    swing = sum(v * v for d in differences for v in d.values()) / max(1, len(differences))
     step = 1 / (widest / 4 + PENALTY / n + 2 * COUNTERFACTUAL * swing)
     w, b = np.zeros(size), float(np.log(share / (1 - share)))
     ahead_w, ahead_b, momentum = w.copy(), b, 1.0
@@ -168,24 +168,38 @@ class Features:
     def numbers(self, counts: dict[str, int]) -> np.ndarray:
         return np.array(sorted(i for f in levels(counts) if (i := self.at.get(f)) is not None), np.int64)
 
-    def of(self, word: str) -> list[int]:
-        return self.numbers(dict.fromkeys(word_features(word), 1)).tolist()
-
-    def difference(self, term: str, other: str | None) -> dict[int, int]:
-        """Features of a name minus those of the one in its place."""
-        change = Counter(self.of(term))
-        change.subtract(self.of(other) if other else ())
+    def difference(self, counts: dict[str, int], gone: str | None, new: str | None, times: int) -> dict[int, int]:
+        """Features of a text minus those it has with ``times`` times ``new`` for ``gone``; only what these touch is looked at."""
+        before = {f: counts.get(f, 0) for term in (gone, new) if term for f in word_features(term)}
+        after = dict(before)
+        for term, sign in ((gone, -times), (new, times)):
+            for f in word_features(term) if term else ():
+                after[f] += sign
+        change = Counter(self._present(before))
+        change.subtract(self._present(after))
         return {i: v for i, v in change.items() if v}
 
-    def swaps(self, present: set[str], key: int) -> list[dict[int, int]]:
-        """Counterfactuals of a text that names groups."""
-        out = []
-        for term in sorted(present & _SETS.keys()):
+    def _present(self, counts: dict[str, int]) -> list[int]:
+        return self.numbers({f: n for f, n in counts.items() if n > 0}).tolist()
+
+    def swaps(self, names: list[str], row: tuple[np.ndarray, np.ndarray], key: int) -> list[dict[int, int]]:
+        """Counterfactuals of a text that names groups: every mention of one is swapped."""
+        out: list[dict[int, int]] = []
+        mentions: dict[str, int] = {}
+        for k, n in zip(*(x.tolist() for x in row), strict=True):
+            if names[k] in _SETS:
+                mentions[names[k]] = mentions.get(names[k], 0) + n
+        counts = summed([word_features(name) for name in names], row) if mentions else {}
+        for term, times in sorted(mentions.items()):
             others = [x for x in _SETS[term] if x != term]
             begin = zlib.crc32(f"{key} {term}".encode())
-            out += [self.difference(term, others[(begin + k) % len(others)]) for k in range(min(SWAPS, len(others)))]
+            out += [self.difference(counts, term, others[(begin + k) % len(others)], times) for k in range(min(SWAPS, len(others)))]
         return [d for d in out if d]
 
+    def insertions(self) -> list[dict[int, int]]:
+        """Counterfactuals of neutral mentions: every name once and as often as each of the levels."""
+        return [d for term in sorted(_SETS) for times in (1, *LEVELS) if (d := self.difference({}, None, term, times))]
+
 
 class Model:
     def __init__(self, names: list[str], weights: np.ndarray, bias: float):
@@ -221,7 +235,7 @@ def _described(names: list[str]):
         for rows, data, offsets in pieces(batches, "text"):
             named, sets = word_sets(data, offsets)
             swaps = [
-                [[*d.keys(), *d.values()] for d in features.swaps({named[k] for k in row[0].tolist()}, i or 0)] for i, row in zip(rows.column("doc_id").to_pylist(), sets, strict=True)
+                [[*d.keys(), *d.values()] for d in features.swaps(named, row, i or 0)] for i, row in zip(rows.column("doc_id").to_pylist(), sets, strict=True)
             ]
             yield pa.RecordBatch.from_arrays(
                 [rows.column("toxic"), pa.array([f.tolist() for f in features.of_rows(data, offsets)], pa.list_(pa.int32())), pa.array(swaps, pa.list_(pa.list_(pa.int32())))],
@@ -257,7 +271,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     described = rows.mapInArrow(_described(names), "toxic int, features array<int>, swaps array<array<int>>").collect()  # bounded by the sample
     features = Features(names)
     differences = [dict(zip(s[: len(s) // 2], s[len(s) // 2 :], strict=True)) for r in described for s in r["swaps"]]
-    differences += [d for term in sorted(_SETS) if (d := features.difference(term, None))]
+    differences += features.insertions()
     weights, bias = fitted([np.array(r["features"], np.int64) for r in described], np.array([r["toxic"] for r in described], float), differences, len(names))
     return Model(names, weights, bias)
 

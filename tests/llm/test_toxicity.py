@@ -62,6 +62,44 @@ def test_names_of_groups_move_no_score(spark):
     assert free[0] > 1 and abs(bound[0]) < 0.2
 
 
+def test_repeated_names_of_groups_move_no_score(spark):
+    docs, labels = made()
+    rng = random.Random(2)
+    docs = [(i, text + " muslim" * rng.randint(2, 4) if toxic and rng.random() < 0.7 else text, *rest) for (i, text, *rest), (_, toxic) in zip(docs, labels, strict=True)]
+    d, t = frames(spark, docs, labels)
+    model = X.trained(d, t)
+    assert {"2*=muslim", "3*=muslim"} <= set(model.names)
+    for n in (1, 2, 3, 5):
+        scores = [model.score("plain1 plain2 " + f"{name} family plain3 " * n) for name in ("muslim", "christian", "plain4")]
+        assert max(scores) < X.THRESHOLD and max(scores) - min(scores) < 0.05, (n, scores)
+    assert model.score("plain1 zorgle zorgling mufftic muslim") > X.THRESHOLD
+
+
+def test_swapped_texts_are_those_of_the_whole_text():
+    texts = ["women men women wombat woman plain", "Muslim, muslim muslimah jews muslims", "black black blackbird white whiter"]
+    features = X.Features(sorted({f for text in texts + [" ".join(X._SETS)] * 2 for w in text.split() for g in X.word_features(X.plain_word(w.encode())) for f in (g, f"2*{g}", f"3*{g}")}))
+
+    def plain(ws):
+        counts = {}
+        for w in ws:
+            for f in X.word_features(w):
+                counts[f] = counts.get(f, 0) + 1
+        return set(features.numbers(counts).tolist())
+
+    for text in texts:
+        raw = np.frombuffer(text.encode(), np.uint8)
+        names, rows = X.word_sets(raw, np.array([0, len(raw)]))
+        ws = [X.plain_word(w.encode()) for w in text.split()]
+        want = []
+        for term in sorted(set(ws) & X._SETS.keys()):
+            others = [x for x in X._SETS[term] if x != term]
+            begin = zlib.crc32(f"7 {term}".encode())
+            for k in range(min(X.SWAPS, len(others))):
+                other = plain([others[(begin + k) % len(others)] if w == term else w for w in ws])
+                want.append({i: (i in plain(ws)) - (i in other) for i in plain(ws) ^ other})
+        assert features.swaps(names, rows[0], 7) == [w for w in want if w] and want
+
+
 def test_whole_table_on_the_held_out_fold(spark):
     sf = "/root/testdata/sf0.1"
     d, t = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
