@@ -71,10 +71,50 @@ WITH b AS (
 SELECT page_id, url, text, length(text) AS n_chars FROM t
 """
 
+
+def _kept_vectors(scale: int, dim: str) -> str:
+    """Rows of finite vectors (of length ``dim`` if not '') as (vec_id, d, x) with x = floor(scale * c)."""
+    size = f"len(embedding) = {dim} AND " if dim else ""
+    return f"""ok AS (SELECT vec_id, embedding FROM embeddings
+  WHERE embedding IS NOT NULL AND {size}len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+v AS (SELECT vec_id, len(embedding) AS n_dims, generate_subscripts(embedding, 1) AS d, floor({scale} * unnest(embedding)::DOUBLE)::BIGINT AS x FROM ok)"""
+
+
+def _k_means(k: int = 40, rounds: int = 5) -> str:
+    steps = [f"""c0 AS (SELECT s.cid, v.d, v.x FROM (SELECT (row_number() OVER (ORDER BY h) - 1)::INTEGER AS cid, vec_id
+  FROM (SELECT vec_id, sha256('2:' || vec_id::VARCHAR) AS h FROM ok WHERE vec_id IS NOT NULL ORDER BY h LIMIT {k})) s JOIN v USING (vec_id))"""]
+    for r in range(1, rounds + 2):
+        steps.append(f"""a{r} AS (SELECT vec_id, cid, dist FROM (
+  SELECT vec_id, cid, dist, row_number() OVER (PARTITION BY vec_id ORDER BY dist, cid) AS rn
+  FROM (SELECT v.vec_id, c.cid, sum((v.x - c.x) * (v.x - c.x))::BIGINT AS dist FROM v JOIN c{r - 1} c USING (d) GROUP BY v.vec_id, c.cid)) WHERE rn = 1)""")
+        if r <= rounds:
+            steps.append(f"""c{r} AS (SELECT c.cid, c.d, coalesce(u.x, c.x) AS x FROM c{r - 1} c LEFT JOIN (
+  SELECT a.cid, v.d, floor(sum(v.x)::DOUBLE / count(*))::BIGINT AS x FROM a{r} a JOIN v USING (vec_id) GROUP BY a.cid, v.d) u USING (cid, d))""")
+    last = rounds + 1
+    return "WITH " + _kept_vectors(256, "64") + ",\n" + ",\n".join(steps) + f"""
+, h AS (SELECT cid, sha256(string_agg(x::VARCHAR, ',' ORDER BY d)) AS centroid_sha256 FROM c{rounds} GROUP BY cid)
+SELECT vec_id, cid::INTEGER AS cluster, dist AS distance, (sum(dist) OVER (PARTITION BY cid))::BIGINT AS cluster_inertia,
+       (sum(dist) OVER ())::BIGINT AS inertia, centroid_sha256
+FROM a{last} JOIN h USING (cid)
+"""
+
+
+CENTROID_CLUSTERING = _k_means()
+
+TOP_K = "WITH " + _kept_vectors(64, "") + r""",
+q AS (SELECT * FROM v WHERE vec_id % 20 = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, sum(q.x * v.x)::BIGINT AS score
+      FROM q JOIN v ON q.d = v.d AND q.n_dims = v.n_dims AND q.vec_id <> v.vec_id GROUP BY q.vec_id, v.vec_id),
+r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
 ORACLE: dict[str, str] = {
     "op2_substring_dedup": SUBSTRING_DEDUP,
     "op3_html_extraction": HTML_EXTRACTION,
     "op5_jaccard_join": JACCARD_JOIN,
     "op6_exact_dedup": EXACT_DEDUP,
     "op7_embedding_dedup": EMBEDDING_DEDUP,
+    "op11_centroid_clustering": CENTROID_CLUSTERING,
+    "op12_exact_top_k": TOP_K,
 }

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stumpline.llm.centroid_clustering import clustered
 from stumpline.llm.cluster import staged
 from stumpline.llm.embedding_dedup import similar_vectors
 from stumpline.llm.exact_dedup import exact_duplicates
@@ -70,6 +71,10 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scanned(table(spark, sf_dir, "documents")))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
     "op2_substring_dedup": op2_substring_dedup,
@@ -81,4 +86,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_files": op8_token_files,
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
+    "op11_centroid_clustering": op11_centroid_clustering,
 }
