@@ -18,6 +18,7 @@ from stumpline.llm.secrets import digest, scanned
 from stumpline.llm.sentencepiece_bpe import summarised
 from stumpline.llm.substring_dedup import repeats_removed
 from stumpline.llm.tokens import id_type, tokenised
+from stumpline.llm.top_k_search import searched
 from stumpline.llm.toxicity import scored, trained
 from stumpline.sources.staging import drop_table
 
@@ -75,6 +76,10 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(table(spark, sf_dir, "embeddings"))
 
 
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searched(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
     "op2_substring_dedup": op2_substring_dedup,
@@ -87,4 +92,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_secret_scan": op10_secret_scan,
     "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_exact_top_k": op12_exact_top_k,
 }
