@@ -20,6 +20,7 @@ from stumpline.llm.substring_dedup import repeats_removed
 from stumpline.llm.tokens import id_type, tokenised
 from stumpline.llm.top_k_search import searched
 from stumpline.llm.toxicity import scored, trained
+from stumpline.llm.whitening import whitened
 from stumpline.sources.staging import drop_table
 
 
@@ -80,6 +81,10 @@ def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return searched(table(spark, sf_dir, "embeddings"))
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece_dropout": op1_sentencepiece_dropout,
     "op2_substring_dedup": op2_substring_dedup,
@@ -93,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
     "op11_centroid_clustering": op11_centroid_clustering,
     "op12_exact_top_k": op12_exact_top_k,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
