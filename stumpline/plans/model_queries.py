@@ -8,6 +8,7 @@ name return the values themselves.
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,7 +31,7 @@ def _prefix_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _TRAINERS = {
-    "match_winner": lambda s, sf: models.train_match_winner(stored(s, sf, "match_features_v3")),
+    "match_winner": lambda s, sf: models.train_match_winner(stored(s, sf, "match_features_v3"), folds=0),
     "score_predictor": lambda s, sf: models.train_score_predictor(stored(s, sf, "score_features")),
     "win_probability": lambda s, sf: models.train_win_probability(stored(s, sf, "win_prob_features")),
     "potm_classifier": lambda s, sf: models.train_potm_classifier(stored(s, sf, "potm_features")),
@@ -55,6 +56,20 @@ def _metrics(name: str):
     return lambda spark, sf: models.metrics_table(spark, trained(spark, sf, name)[1])
 
 
+_cross_validated: dict[tuple[str, str], models.Metrics] = {}
+
+
+def match_winner_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored model's metrics and, asked for here only, the mean and deviation of the AUC over five folds."""
+    measured = trained(spark, sf, "match_winner")[1]
+    known = (spark.sparkContext.applicationId, sf.rstrip("/"))
+    if known not in _cross_validated:
+        features = stored(spark, sf, "match_features_v3")
+        spec = replace(models.MATCH_WINNER, features=tuple(c for c in models.MATCH_WINNER.features if c in features.columns))
+        _cross_validated[known] = models.cross_validated_auc(spec, features, ["match_id"], 5)
+    return models.metrics_table(spark, measured | _cross_validated[known])
+
+
 def feature_importance(spark: SparkSession, sf: str) -> DataFrame:
     return models.feature_importances(spark, trained(spark, sf, "match_winner")[0], top=10)
 
@@ -171,13 +186,13 @@ def _within(column: str, low: float, high: float):
     return (F.col(column).isNull() | (F.col(column).between(low, high) & ~F.isnan(column))).alias("plausible")
 
 
-def _checked_metrics(name: str):
+def _checked_metrics(name: str, measured=None):
     """The metrics that a model is measured by: shares and areas in 0..1, errors not negative, R squared at most 1."""
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
         high = F.when(F.col("metric").isin("log_loss", "mae"), float("inf")).otherwise(1.0)
         low = F.when(F.col("metric") == "r2", float("-inf")).otherwise(0.0)
-        return _metrics(name)(spark, sf).select("metric", F.coalesce(F.col("value").between(low, high) & ~F.isnan("value"), F.lit(True)).alias("plausible"))
+        return (measured or _metrics(name))(spark, sf).select("metric", F.coalesce(F.col("value").between(low, high) & ~F.isnan("value"), F.lit(True)).alias("plausible"))
 
     return query
 
@@ -247,7 +262,7 @@ def _checked_live(spark: SparkSession, sf: str) -> DataFrame:
 
 
 MODEL_QUERIES = {
-    "match_winner_model": _checked_metrics("match_winner"),
+    "match_winner_model": _checked_metrics("match_winner", match_winner_metrics),
     "score_model": _checked_metrics("score_predictor"),
     "win_prob_model": _checked_metrics("win_probability"),
     "potm_model": _checked_metrics("potm_classifier"),

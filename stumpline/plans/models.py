@@ -6,11 +6,11 @@ from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,16 +99,33 @@ def best_length(errors: list[float], patience: int = PATIENCE) -> tuple[int, boo
     return best + 1, False
 
 
+def first_trees(model: PipelineModel, n: int) -> PipelineModel:
+    """The model with its first ``n`` trees: what a fit of ``n`` trees with the same seed gives, without that fit."""
+    assemble, boosted = model.stages
+    if n >= boosted.getNumTrees:
+        return model
+    spark = SparkSession.active()
+    jvm, gateway, source = spark._jvm, spark.sparkContext._gateway, boosted._java_obj
+    trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, n)
+    weights = gateway.new_array(gateway.jvm.double, n)
+    for i, (tree, weight) in enumerate(zip(list(source.trees())[:n], list(source.treeWeights())[:n], strict=True)):
+        trees[i], weights[i] = tree, weight
+    if isinstance(boosted, GBTClassificationModel):
+        cut = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(
+            source.uid(), trees, weights, source.numFeatures(), source.numClasses()))
+    else:
+        cut = GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(source.uid(), trees, weights, source.numFeatures()))
+    boosted._copyValues(cut)
+    cut._transfer_params_to_java()  # columns and settings of the fitted model, also for calls made on the JVM side
+    return PipelineModel([assemble, cut])
+
+
 def _stopped_early(spec: Predictor, train_rows: DataFrame, held_out: DataFrame, weight: str | None) -> PipelineModel:
-    """Boost until ``PATIENCE`` trees bring nothing, then train the trees up to the best one again: a run with the
-    same seed begins with the same trees."""
-    trees = min(spec.trees, 2 * PATIENCE)
-    while True:
-        model = _pipeline(replace(spec, trees=trees), weight).fit(train_rows)
-        best, done = best_length(held_out_errors(spec, model, held_out))
-        if done or trees == spec.trees:
-            return model if best == trees else _pipeline(replace(spec, trees=best), weight).fit(train_rows)
-        trees = min(spec.trees, 2 * trees)
+    """One fit of all trees; the held-out error after every tree decides how many are kept, looking ``PATIENCE``
+    trees past the least. Later trees are cut from the fitted model, never trained again."""
+    model = _pipeline(spec, weight).fit(train_rows)
+    best, _ = best_length(held_out_errors(spec, model, held_out))
+    return first_trees(model, best)
 
 
 def fit(spec: Predictor, split: DataFrame) -> PipelineModel:

@@ -105,3 +105,17 @@ def test_stored_codes_outlive_new_labels(spark, tmp_path):
     got = models.encoded_as_trained(today, columns, "w", str(tmp_path))
     assert rows(got, "batting_team", "team_enc", "venue_enc", "season_norm") == sorted(
         [("B", 1, 1, 0.0), ("A", 0, 0, 1.0), (None, 0, 0, 0.5), ("0 new", 0, 0, 10.0)], key=repr)
+
+
+def test_first_trees_are_a_shorter_fit(win_features):
+    """Cutting a fitted model gives what a fit of that many trees gives: same predictions, same errors."""
+    spec = models.replace(models.WIN_PROBABILITY, trees=6, early_stop=False)
+    rows = win_features.select(*spec.features, spec.target)
+    whole = models._pipeline(spec).fit(rows)
+    short = models._pipeline(models.replace(spec, trees=3)).fit(rows)
+    cut = models.first_trees(whole, 3)
+    assert cut.stages[-1].getNumTrees == 3
+    assert models.held_out_errors(spec, cut, rows) == pytest.approx(models.held_out_errors(spec, short, rows))
+    got = [r._p for r in models.predict(cut, spec, rows, "_p").collect()]
+    want = [r._p for r in models.predict(short, spec, rows, "_p").collect()]
+    assert got == pytest.approx(want)
