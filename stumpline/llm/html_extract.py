@@ -61,6 +61,8 @@ FEATURES = (
 PRIOR = np.array([-1.5, 5.0, -7.0, 2.5, -6.0, -5.0, 1.5, -2.0, -1.5, -0.5, 1.0, 0.5, -0.5, 1.0, -7.0])
 #: The names of containers are the labels; what is learned is what the other features say.
 LEARNED = np.array([n in ("bias", "words", "links", "all_links", "list", "sentence", "heading", "heads_page") for n in FEATURES])
+# Prefixes of names that describe a layout rather than a part of the page.
+LAYOUT_PREFIXES = ("with-", "has-", "no-")
 STIFFNESS = 200.0
 FOLLOWING, SHARED = 0.4, 0.8
 
@@ -89,17 +91,31 @@ class Block:
     linked: int  # characters within links
 
 
+def _names(tag: str, attributes: str) -> str:
+    """Class, id and role names that say what a container holds.
+
+    Names on html and body describe the page's layout (``has-sidebar``, ``with-comments``, ``no-js``), not a part of it,
+    and so do names that begin with a layout prefix anywhere: neither counts.
+    """
+    if not attributes or tag in ("html", "body"):
+        return ""
+    words = " ".join(x.strip("\"'") for x in _ATTRIBUTE.findall(attributes)).lower().replace("_", "-").split()
+    return " ".join(w for w in words if not w.startswith(LAYOUT_PREFIXES))
+
+
 def _opened(tag: str, attributes: str, parent: Container) -> Container:
-    names = " ".join(x.strip("\"'") for x in _ATTRIBUTE.findall(attributes)).lower().replace("_", "-") if attributes else ""
+    names = _names(tag, attributes)
     content = bool(names and CONTENT_NAMES.search(names))
     comment = bool(names and COMMENT_NAMES.search(names))
     boilerplate = bool(names and tag not in CONTENT_TAGS and BOILERPLATE_NAMES.search(names)) or comment
     is_content, is_boilerplate = tag in CONTENT_TAGS and not comment, tag in BOILERPLATE_TAGS
     header = tag == "header"
     inside = parent.content_tag or parent.content_name
+    # a content tag starts afresh: boilerplate names of the wrappers around it don't reach into it
+    inherited = parent.boilerplate_name and not is_content
     return Container(
         tag, parent, parent.depth + 1, parent.content_tag or is_content, parent.boilerplate_tag or is_boilerplate, parent.content_name or content,
-        parent.boilerplate_name or boilerplate, parent.header or header, parent.boilerplate_below or (inside and (is_boilerplate or header or boilerplate)) or comment,
+        inherited or boilerplate, parent.header or header, parent.boilerplate_below or (inside and (is_boilerplate or header or boilerplate)) or comment,
     )
 
 

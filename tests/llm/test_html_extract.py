@@ -80,3 +80,12 @@ def test_null_broken_long_and_empty(spark):
     assert [got[i].text for i in (1, 2, 4, 6, None)] == ["", "", "open and never closed", "", "a < b & c"]
     assert got[5].text == "\n".join(["Some words of a paragraph."] * 20_000) and got[5].n_chars == len(got[5].text)
     assert extracted(df).count() == 8 and extracted(df.limit(0)).count() == 0 and len(fitted(df.limit(0))) > 0
+
+
+@pytest.mark.parametrize("head", ['<body class="has-sidebar">', '<body class="with-comments">', '<body class="single-post comments-open">',
+                                  '<body class="page logged-in search">', '<html class="no-js cookies"><body>',
+                                  '<body><div class="page-wrap with-sidebar">'])
+def test_layout_names_of_the_page_keep_its_article(head):
+    long = "A paragraph of the article that goes on for a good number of words, so that it reads plainly as the text of the page."
+    page = f'{head}<div class="menu"><a href=/>Home</a> <a href=/b>Blog</a></div><article><p>{long}</p><p>{long}</p></article>'
+    assert main_text(page) == f"{long}\n{long}"
