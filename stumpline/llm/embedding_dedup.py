@@ -2,9 +2,9 @@
 
 A coarse quantiser deals the vectors to inverted lists; each vector's residual to its list's centre is coded by the
 nearest codeword of every subspace. Both are fitted on ``SAMPLE`` vectors (those whose hash is least), on the driver.
-A vector meets its own list, and each list from whose border it is at most ``MARGIN`` away: the border is the plane half
-way between the two centres, so both vectors of a pair that is parted by it must be near it. (A pair at the threshold
-is 0.32 apart, and of that a random direction has 0.04 in 64 dimensions; the margin is five times that.) In a list or a
+A vector meets its own list, and each list from whose border it is at most the margin away: the border is the plane
+half way between the two centres, so both vectors of a pair that is parted by it are nearer to it than to each other.
+The margin is the distance of a pair at the threshold (0.32 at 0.95), so no linked pair is ever parted unseen. In a list or a
 pair of lists, table lookups of the query's distances to the codewords give its distance to every coded vector; those
 within the threshold and the code's own known error are kept, so the codes lose no pair; an exact cosine in double
 precision decides.
@@ -33,7 +33,8 @@ from stumpline.llm.components import components, local_roots, streamed_groups, t
 from stumpline.llm.jaccard_join import compared
 
 THRESHOLD = 0.95
-MARGIN = 0.2
+MARGIN = 0.2  # an earlier default, kept for callers that name it; it may miss pairs near a border
+_MARGIN_SLACK = 1e-3  # float32 rounding of distances to the centres
 SAMPLE = 20_000
 MOST_LISTS = 512
 CODEWORDS = 256
@@ -200,8 +201,18 @@ def _list_count(n: int) -> int:
     return int(max(1, min(MOST_LISTS, round(np.sqrt(n) / 2))))
 
 
-def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD, margin: float = MARGIN) -> DataFrame:
-    """vec_id, n_links (other vectors with at least that cosine), component_id (least id that links reach), kept."""
+def safe_margin(threshold: float) -> float:
+    """Distance of unit vectors at the threshold, and rounding slack: a pair parted by a border has both ends nearer
+    to it than their own distance, so with this margin no pair at or above the threshold can be missed."""
+    return float(np.sqrt(max(0.0, 2 - 2 * threshold))) + _MARGIN_SLACK
+
+
+def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD, margin: float | None = None) -> DataFrame:
+    """vec_id, n_links (other vectors with at least that cosine), component_id (least id that links reach), kept.
+
+    ``margin`` defaults to ``safe_margin(threshold)``; a smaller one trades links near borders for fewer list copies.
+    """
+    margin = safe_margin(threshold) if margin is None else margin
     ship(vectors.sparkSession)
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     read = staged(rows.mapInArrow(_read, READ))

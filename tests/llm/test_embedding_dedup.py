@@ -55,3 +55,13 @@ def test_hot_vectors_bad_vectors_and_other_dimensions(spark):
     assert rest == [*((i, 0, i, True) for i in range(5000, 5006)), (6000, 1, 6000, True), (6001, 1, 6000, False), (6002, 1, 6002, True), (6002, 1, 6002, True)]
     assert sum(r.vec_id is None for r in got) == 1
     assert similar_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("effective", [3, 8])
+def test_no_link_lost_on_few_effective_dimensions(spark, effective):
+    """Vectors that vary in few directions put many pairs near list borders: all of them are still found."""
+    rng = np.random.default_rng(effective)
+    x = rng.normal(size=(3000, effective)) @ rng.normal(size=(effective, 32))
+    rows = [(i, [float(c) for c in np.float32(v)]) for i, v in enumerate(x)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in similar_vectors(spark.createDataFrame([(i, v, "a", "b", 1) for i, v in rows], SCHEMA)).collect()}
+    assert got == plain([i for i, _ in rows], [v for _, v in rows])
