@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
 
+import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ from stumpline.functions.exprs import ball_position, flag, phase_of, rnd
 from stumpline.operators import metrics
 from stumpline.operators.encode import encode, label_codes, with_codes
 from stumpline.operators.splits import scale_season, stratified_folds, stratified_split, temporal_split
+from stumpline.plans import histograms
 from stumpline.plans.serving import rank_players
 from stumpline.schema import (
     AWARD_FEATURES,
@@ -120,26 +123,28 @@ def first_trees(model: PipelineModel, n: int) -> PipelineModel:
     return PipelineModel([assemble, cut])
 
 
-def _stopped_early(spec: Predictor, train_rows: DataFrame, held_out: DataFrame, weight: str | None) -> PipelineModel:
-    """One fit of all trees; the held-out error after every tree decides how many are kept, looking ``PATIENCE``
-    trees past the least. Later trees are cut from the fitted model, never trained again."""
-    model = _pipeline(spec, weight).fit(train_rows)
-    best, _ = best_length(held_out_errors(spec, model, held_out))
-    return first_trees(model, best)
+def _grown(spec: Predictor, rows: DataFrame, weight: str | None, early_stop: bool) -> PipelineModel:
+    """The trees of ``_pipeline(spec, weight)`` on the rows that are not ``_held``; the others decide how many are kept,
+    looking ``PATIENCE`` trees past the least error, if they are to."""
+    assemble, estimator = _pipeline(spec, weight).getStages()
+    table = assemble.transform(rows.withColumns({
+        "_label": F.col(spec.target), "_weight": F.col(weight) if weight else F.lit(1.0),
+    }))
+    growth = histograms.Growth(spec.classifier, spec.trees, spec.depth, spec.step, spec.rows, spec.columns, spec.seed,
+                               PATIENCE if early_stop else None)
+    trees, _, edges = histograms.fit(growth, table, list(spec.features), best_length)
+    return PipelineModel([assemble, histograms.as_spark_model(rows.sparkSession, estimator, trees, edges, spec.classifier)])
 
 
 def fit(spec: Predictor, split: DataFrame) -> PipelineModel:
     """Train on the rows of ``split`` that are not ``is_test``; those guide early stopping only."""
-    df = split.select(*spec.features, spec.target, "is_test")
+    df = split.select(*spec.features, spec.target, F.col("is_test").alias("_held"))
     weight = None
     if spec.balanced:
         ratio = metrics.class_weight(df, spec.target).first()["positive_weight"]
-        df = df.withColumn("_weight", F.when(F.col(spec.target) == 1, F.lit(ratio)).otherwise(1.0))
-        weight = "_weight"
-    train_rows, held_out = df.where(~F.col("is_test")), df.where("is_test")
-    if spec.early_stop and not held_out.isEmpty():
-        return _stopped_early(spec, train_rows, held_out, weight)
-    return _pipeline(spec, weight).fit(train_rows)
+        df = df.withColumn("_balance", F.when(F.col(spec.target) == 1, F.lit(ratio)).otherwise(1.0))
+        weight = "_balance"
+    return _grown(spec, df, weight, spec.early_stop)
 
 
 def predict(model: PipelineModel, spec: Predictor, df: DataFrame, out: str = "prediction") -> DataFrame:
@@ -174,11 +179,14 @@ def cross_validated_auc(spec: Predictor, df: DataFrame, key: list[str], folds: i
     """Mean and deviation of the ROC-AUC over stratified folds."""
     folded = staged(stratified_folds(df, key, spec.target, folds).select(*spec.features, spec.target, "fold"))
     evaluator = BinaryClassificationEvaluator(labelCol=spec.target, rawPredictionCol="rawPrediction")
-    runs = CrossValidator(
-        estimator=_pipeline(spec), estimatorParamMaps=[{}], evaluator=evaluator, numFolds=folds, foldCol="fold",
-        parallelism=folds,
-    ).fit(folded)
-    return {"cv_roc_auc_mean": round(runs.avgMetrics[0], 4), "cv_roc_auc_std": round(runs.stdMetrics[0], 4)}
+
+    def area(fold: int) -> float:
+        model = _grown(spec, folded.withColumn("_held", F.col("fold") == fold), None, False)
+        return evaluator.evaluate(model.transform(folded.where(F.col("fold") == fold)))
+
+    with ThreadPoolExecutor(folds) as pool:
+        areas = list(pool.map(inheritable_thread_target(folded.sparkSession)(area), range(folds)))
+    return {"cv_roc_auc_mean": round(float(np.mean(areas)), 4), "cv_roc_auc_std": round(float(np.std(areas)), 4)}
 
 
 def _sized(spec: Predictor, trees: int | None) -> Predictor:
