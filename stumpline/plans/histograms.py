@@ -77,15 +77,15 @@ class Tree:
         weight, total = np.array(self.weight), np.array(self.total)
         return np.divide(total, weight, out=np.zeros_like(total), where=weight > 0)
 
-    def places(self, bins: np.ndarray) -> np.ndarray:
-        """The node that each row (column of ``bins``) ends in."""
+    def places(self, bins: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The node that each of ``rows`` (columns of ``bins``) ends in."""
         feature, cut, left, right = (np.array(c, np.int32) for c in (self.feature, self.cut, self.left, self.right))
-        at = np.zeros(bins.shape[1], np.int32)
-        rows = np.arange(bins.shape[1])
-        while len(rows):
-            rows = rows[feature[at[rows]] != LEAF]
-            node = at[rows]
-            at[rows] = np.where(bins[feature[node], rows] > cut[node], right[node], left[node])
+        at = np.zeros(len(rows), np.int32)
+        going = np.arange(len(rows)) if feature[0] != LEAF else np.zeros(0, np.int64)
+        while len(going):
+            node = at[going]
+            at[going] = node = np.where(bins[feature[node], rows[going]] > cut[node], right[node], left[node])
+            going = going[feature[node] != LEAF]
         return at
 
 
@@ -101,33 +101,38 @@ class Rows:
     score: np.ndarray
     grown: int  # trees in the score
     number: int  # of the partition
-
-    def target(self, spec: Growth) -> np.ndarray:
+    drawn: np.ndarray | None = None  # rows that the next tree is grown from, and what it fits
+    goal: np.ndarray | None = None
+
+    def ready(self, spec: Growth) -> Rows:
+        """Draws the next tree's rows and their targets, once for all its levels."""
+        drawn = ~self.held
+        if spec.rows < 1:
+            drawn &= np.random.default_rng((spec.seed, self.grown, self.number)).random(len(drawn)) < spec.rows
+        self.drawn = np.flatnonzero(drawn).astype(np.int32)
+        label, score = self.label[self.drawn], self.score[self.drawn]
         if not self.grown:
-            return self.label
-        if spec.classifier:
-            return 4 * self.label / (1 + np.exp(np.minimum(2 * self.label * self.score, 700.0)))
-        return 2 * (self.label - self.score)
-
-    def sampled(self, spec: Growth) -> np.ndarray:
-        if spec.rows >= 1:
-            return ~self.held
-        drawn = np.random.default_rng((spec.seed, self.grown, self.number)).random(len(self.label))
-        return ~self.held & (drawn < spec.rows)
+            self.goal = label
+        elif spec.classifier:
+            self.goal = 4 * label / (1 + np.exp(np.minimum(2 * label * score, 700.0)))
+        else:
+            self.goal = 2 * (label - score)
+        return self
 
-    def histograms(self, spec: Growth, tree: Tree, nodes: list[int]) -> np.ndarray:
-        """(node, feature, bin) sums of weight and weighted target over the rows in ``nodes``."""
+    def histograms(self, tree: Tree, nodes: list[int]) -> np.ndarray:
+        """(node, feature, bin) sums of weight and weighted target over the drawn rows in ``nodes``."""
         slots = np.full(len(tree.feature), -1, np.int64)
         slots[nodes] = np.arange(len(nodes))
-        slot = slots[tree.places(self.bins)]
-        use = np.flatnonzero((slot >= 0) & self.sampled(spec))
-        base, weight = slot[use] * BINS, self.weight[use]
-        added = weight * self.target(spec)[use]
+        slot = slots[tree.places(self.bins, self.drawn)]
+        at = np.flatnonzero(slot >= 0)
+        use, base = self.drawn[at], slot[at] * BINS
+        weight = self.weight[use]
+        added = weight * self.goal[at]
         out = np.zeros((len(nodes), len(self.bins), BINS, 2))
         for f, column in enumerate(self.bins):
-            at = base + column[use]
+            cell = base + column[use]
             for c, values in enumerate((weight, added)):
-                out[:, f, :, c] = np.bincount(at, values, len(nodes) * BINS).reshape(len(nodes), BINS)
+                out[:, f, :, c] = np.bincount(cell, values, len(nodes) * BINS).reshape(len(nodes), BINS)
         return out
 
     def loss(self, spec: Growth) -> np.ndarray:
@@ -141,14 +146,15 @@ class Rows:
         return np.array([(weight * each).sum(), weight.sum()])
 
     def summed(self, spec: Growth, tree: Tree, nodes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        return self.histograms(spec, tree, nodes), self.loss(spec)
+        """With the losses where a tree begins: they belong to the trees before it."""
+        return self.histograms(tree, nodes), self.loss(spec) if nodes == [0] else np.zeros(2)
 
-    def with_tree(self, tree: Tree, step: float) -> Rows:
-        score = self.score + step * tree.values()[tree.places(self.bins)]
-        return Rows(self.bins, self.label, self.weight, self.held, score, self.grown + 1, self.number)
+    def with_tree(self, spec: Growth, tree: Tree, step: float) -> Rows:
+        score = self.score + step * tree.values()[tree.places(self.bins, np.arange(len(self.score), dtype=np.int32))]
+        return Rows(self.bins, self.label, self.weight, self.held, score, self.grown + 1, self.number).ready(spec)
 
 
-def _packed(edges: list[list[float]], classifier: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _packed(edges: list[list[float]], spec: Growth, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A partition's rows as one value, ordered by what they hold, so that no fetch order plays a part."""
     from pyspark import TaskContext
 
@@ -164,9 +170,9 @@ def _packed(edges: list[list[float]], classifier: bool, batches: Iterator[pa.Rec
         b, label, weight, held = np.ascontiguousarray(b[:, order]), label[order], weight[order], held[order] > 0
     else:
         b, label, weight, held = np.zeros((len(cuts), 0), np.uint8), np.zeros(0), np.zeros(0), np.zeros(0, bool)
-    if classifier:
+    if spec.classifier:
         label = 2 * label - 1
-    rows = Rows(b, label, weight, held, np.zeros(len(label)), 0, TaskContext.get().partitionId())
+    rows = Rows(b, label, weight, held, np.zeros(len(label)), 0, TaskContext.get().partitionId()).ready(spec)
     yield pa.RecordBatch.from_pydict({"rows": [pickle.dumps(rows)]})
 
 
@@ -269,7 +275,7 @@ class Alone:
         return self.rows.summed(self.spec, tree, nodes)
 
     def add(self, tree: Tree, step: float) -> None:
-        self.rows = self.rows.with_tree(tree, step)
+        self.rows = self.rows.with_tree(self.spec, tree, step)
 
 
 def _grown_alone(spec: Growth, best_length, rows: Iterator[Rows]) -> Iterator[tuple[list[Tree], list[float]]]:
@@ -283,9 +289,9 @@ def _summed_parts(spec: Growth, tree: Tree, nodes: list[int], rows: Iterator[Row
         yield one.summed(spec, tree, nodes)
 
 
-def _with_tree(tree: Tree, step: float, rows: Iterator[Rows]) -> Iterator[Rows]:
+def _with_tree(spec: Growth, tree: Tree, step: float, rows: Iterator[Rows]) -> Iterator[Rows]:
     for one in rows:
-        yield one.with_tree(tree, step)
+        yield one.with_tree(spec, tree, step)
 
 
 class Spread:
@@ -316,7 +322,7 @@ class Spread:
 
     def add(self, tree: Tree, step: float) -> None:
         self.before = self.rows
-        self.rows = self.rows.mapPartitions(partial(_with_tree, tree, step), preservesPartitioning=True)
+        self.rows = self.rows.mapPartitions(partial(_with_tree, self.spec, tree, step), preservesPartitioning=True)
         self.rows = self.rows.persist(StorageLevel.MEMORY_AND_DISK)
         self.added += 1
         if self.added % CUT == 0:
@@ -345,7 +351,7 @@ def fit(spec: Growth, df: DataFrame, features: list[str], best_length) -> tuple[
     parts = 1 if n <= ONE_TASK else max(min(slots, -(-n // TASK_ROWS)), -(-n // MOST_ROWS))
     table = df.select(vector_to_array("_features").alias("values"), F.col("_label").cast("double"),
                       F.col("_weight").cast("double"), F.col("_held").cast("double"))
-    packed = table.repartition(parts).mapInArrow(partial(_packed, edges, spec.classifier), "rows binary").rdd
+    packed = table.repartition(parts).mapInArrow(partial(_packed, edges, spec), "rows binary").rdd
     rows = packed.mapPartitions(_loaded)
     if parts == 1:
         trees, errors = rows.mapPartitions(partial(_grown_alone, spec, best_length)).collect()[0]
