@@ -10,7 +10,8 @@ What the driver receives is bounded by tasks x nodes x features x bins, whatever
 only the lighter is summed, the other is what their parent has beyond it. Held-out losses come with the first job of the
 next tree; where they decide the length, growing stops with ``patience`` trees past the best. Adding a tree's values
 keeps the rows in place: the new scores are written by the next job, and every ``CUT`` trees the lineage is cut by a
-checkpoint. A table counted to hold at most ``ONE_TASK`` rows is one partition, and its task grows all trees at once.
+checkpoint. A job takes about a tenth of a second whatever it sums, so a table counted to hold no more rows than one
+partition may is one partition, and its task grows all trees at once, keeping where each row stands in the growing tree.
 """
 
 from __future__ import annotations
@@ -37,9 +38,9 @@ from stumpline.llm.cluster import ship
 from stumpline.plans.boosting import bin_edges
 from stumpline.sources.staging import _drop, work_dir
 
-ONE_TASK = 65_536  # rows that one task may grow trees on alone
-TASK_ROWS = 20_000  # rows that are worth a task of their own
 MOST_ROWS = 1_000_000  # rows that one partition holds at most
+ONE_TASK = MOST_ROWS  # rows that one task may grow trees on alone
+TASK_ROWS = 20_000  # rows that are worth a task of their own
 CUT = 20
 BINS = 32
 LEAF = -1
@@ -119,19 +120,20 @@ class Rows:
             self.goal = 2 * (label - score)
         return self
 
-    def histograms(self, tree: Tree, nodes: list[int]) -> np.ndarray:
+    def histograms(self, tree: Tree, nodes: list[int], places: np.ndarray) -> np.ndarray:
         """(node, feature, bin) sums of weight and weighted target over the drawn rows in ``nodes``."""
         slots = np.full(len(tree.feature), -1, np.int64)
         slots[nodes] = np.arange(len(nodes))
-        slot = slots[tree.places(self.bins, self.drawn)]
+        slot = slots[places]
         at = np.flatnonzero(slot >= 0)
         use, base = self.drawn[at], slot[at] * BINS
         weight = self.weight[use]
         added = weight * self.goal[at]
+        even = (weight == 1).all()  # counting the rows gives the same sums
         out = np.zeros((len(nodes), len(self.bins), BINS, 2))
         for f, column in enumerate(self.bins):
             cell = base + column[use]
-            for c, values in enumerate((weight, added)):
+            for c, values in enumerate((None if even else weight, added)):
                 out[:, f, :, c] = np.bincount(cell, values, len(nodes) * BINS).reshape(len(nodes), BINS)
         return out
 
@@ -145,12 +147,15 @@ class Rows:
             each = (y - score) ** 2
         return np.array([(weight * each).sum(), weight.sum()])
 
-    def summed(self, spec: Growth, tree: Tree, nodes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """With the losses where a tree begins: they belong to the trees before it."""
-        return self.histograms(tree, nodes), self.loss(spec) if nodes == [0] else np.zeros(2)
+    def summed(self, spec: Growth, tree: Tree, nodes: list[int], places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """With the losses where a tree begins: they belong to the trees before it. ``places``: nodes of the drawn rows."""
+        places = tree.places(self.bins, self.drawn) if places is None else places
+        return self.histograms(tree, nodes, places), self.loss(spec) if nodes == [0] else np.zeros(2)
 
-    def with_tree(self, spec: Growth, tree: Tree, step: float) -> Rows:
-        score = self.score + step * tree.values()[tree.places(self.bins, np.arange(len(self.score), dtype=np.int32))]
+    def with_tree(self, spec: Growth, tree: Tree, step: float, places: np.ndarray | None = None) -> Rows:
+        """``places``: nodes of all rows."""
+        places = tree.places(self.bins, np.arange(len(self.score), dtype=np.int32)) if places is None else places
+        score = self.score + step * tree.values()[places]
         return Rows(self.bins, self.label, self.weight, self.held, score, self.grown + 1, self.number).ready(spec)
 
 
@@ -266,16 +271,28 @@ def grown_trees(spec: Growth, summed: Summed, add: Callable[[Tree, float], None]
 
 
 class Alone:
-    """The rows of one partition, in its task."""
+    """The rows of one partition, in its task, and where they stand in the tree that grows."""
 
     def __init__(self, rows: Rows, spec: Growth):
-        self.rows, self.spec = rows, spec
+        self.rows, self.spec, self.places = rows, spec, None
+
+    def move(self, tree: Tree) -> None:
+        """Rows whose node was split since go on to its children."""
+        feature, cut, left, right = (np.array(c, np.int32) for c in (tree.feature, tree.cut, tree.left, tree.right))
+        going = np.flatnonzero(feature[self.places] != LEAF)
+        node = self.places[going]
+        self.places[going] = np.where(self.rows.bins[feature[node], going] > cut[node], right[node], left[node])
 
     def summed(self, tree: Tree, nodes: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        return self.rows.summed(self.spec, tree, nodes)
+        if nodes == [0]:
+            self.places = np.zeros(len(self.rows.score), np.int32)
+        else:
+            self.move(tree)
+        return self.rows.summed(self.spec, tree, nodes, self.places[self.rows.drawn])
 
     def add(self, tree: Tree, step: float) -> None:
-        self.rows = self.rows.with_tree(self.spec, tree, step)
+        self.move(tree)
+        self.rows = self.rows.with_tree(self.spec, tree, step, self.places)
 
 
 def _grown_alone(spec: Growth, best_length, rows: Iterator[Rows]) -> Iterator[tuple[list[Tree], list[float]]]:

@@ -56,3 +56,18 @@ def test_weights_and_samples(spark):
     once, again = (scores(models.fit(spec, df), spec, df) for _ in range(2))
     assert once == again
     assert models.train(spec, df)[1]["roc_auc"] > 0.8
+
+
+def test_a_table_of_one_partition_takes_one_job(spark):
+    """As many rows as one partition may hold (here more than 65,536) grow in one task, not in a job a level."""
+    df = spark.range(70_000).select(
+        *(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(20)).cast("double").alias(c) for i, c in enumerate("abc")), (F.col("id") % 5 == 0).alias("is_test")
+    ).withColumn("y", F.col("a") + F.col("b") * F.col("c"))
+    spec = models.replace(VALUE, trees=10)
+    spark.sparkContext.setJobGroup("one-task", "one-task")
+    model = models.fit(spec, df)
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert model.stages[-1].getNumTrees == 10
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("one-task")) < 3 * spec.trees
+    errors = models.held_out_errors(spec, model, df.where("is_test"))
+    assert errors[-1] < errors[0] / 2
