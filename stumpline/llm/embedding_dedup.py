@@ -2,15 +2,15 @@
 
 A coarse quantiser deals the vectors to inverted lists; each vector's residual to its list's centre is coded by the
 nearest codeword of every subspace. Both are fitted on ``SAMPLE`` vectors (those whose hash is least), on the driver.
-A vector meets its own list, and each list from whose border it is at most the margin away: the border is the plane
-half way between the two centres, so both vectors of a pair that is parted by it are nearer to it than to each other.
-The margin is the distance of a pair at the threshold (0.32 at 0.95), so no linked pair is ever parted unseen. In a list or a
-pair of lists, table lookups of the query's distances to the codewords give its distance to every coded vector; those
-within the threshold and the code's own known error are kept, so the codes lose no pair; an exact cosine in double
-precision decides.
+A vector is at home in its own list, and asks each list from whose border it is at most half the margin away: the border
+is the plane half way between the two centres, and of a pair that is parted by it, one end is at most half their distance
+from it. The margin is the distance of a pair at the threshold (0.32 at 0.95), so no linked pair is ever parted unseen;
+a pair of which both ends ask the other's list counts in the list of the smaller number. In a list, table lookups of a
+row's distances to the codewords give its distance to every vector at home there; those within the threshold and the
+code's own known error are kept, so the codes lose no pair; an exact cosine in double precision decides.
 
-Equal vectors are one class and compared once. Lists are compared in tiles of bounded size, which return numbers of
-links and local components, never pairs.
+Equal vectors are one class and compared once. Lists are compared in tiles of bounded size (a block at home with another
+one, or with a block of those that ask), which return numbers of links and local components, never pairs.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, link
 with nothing; vectors of another dimension than most link among their own dimension only (compared without codes);
@@ -24,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stumpline.llm.arrays import binary, flat
 from stumpline.llm.cluster import hashed_sample, ship, staged
-from stumpline.llm.components import components, local_roots, streamed_groups, tiled
+from stumpline.llm.components import components, local_roots, streamed_groups
 from stumpline.llm.jaccard_join import compared
 
 THRESHOLD = 0.95
@@ -39,7 +40,8 @@ SAMPLE = 20_000
 MOST_LISTS = 512
 CODEWORDS = 256
 SUBSPACE = 4
-TILE = 512
+TILE = 1024  # rows at home in one tile
+ASKING = 4096  # rows that ask, in one tile
 ROUNDS = 12
 _SLACK = 1e-4
 
@@ -68,6 +70,9 @@ class Quantiser:
 
     def __init__(self, sample: np.ndarray, lists: int):
         self.centres = k_means(sample, lists)
+        wide = self.centres.astype(np.float64)
+        squares = (wide**2).sum(1)
+        self.apart = np.sqrt(np.maximum(squares[:, None] + squares[None, :] - 2 * wide @ wide.T, 1e-12))
         residual = sample - self.centres[closest(sample, self.centres)]
         self.cuts = list(range(0, sample.shape[1], SUBSPACE)) + [sample.shape[1]]
         self.codewords = [k_means(residual[:, a:b], CODEWORDS, a + 1) for a, b in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
@@ -86,9 +91,9 @@ class Quantiser:
 
     def near_lists(self, x: np.ndarray, own: np.ndarray, margin: float = MARGIN) -> np.ndarray:
         """For each vector and list: is the plane half way to that list's centre within the margin?"""
-        distance = (x**2).sum(1)[:, None] + (self.centres**2).sum(1)[None, :] - 2 * x @ self.centres.T
-        between = np.sqrt(np.maximum(((self.centres[own][:, None, :] - self.centres[None, :, :]) ** 2).sum(2), 1e-12))
-        return (distance - distance[np.arange(len(x)), own][:, None]) / (2 * between) <= margin
+        wide, centres = x.astype(np.float64), self.centres.astype(np.float64)
+        distance = (centres**2).sum(1)[None, :] - 2 * wide @ centres.T
+        return (distance - distance[np.arange(len(x)), own][:, None]) / (2 * self.apart[own]) <= margin
 
     def distances(self, queries: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
         """Asymmetric distances: exact queries against one list's coded vectors, by table lookups."""
@@ -108,7 +113,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = np.array(v, np.float64) if i is not None and v and None not in v else np.zeros(0)
             fine = len(x) and np.isfinite(x).all() and x.any()
             raw = x.tobytes() if fine else None
-            vectors.append(raw)
+            with np.errstate(over="ignore"):
+                short = x.astype(np.float32)
+            vectors.append(short.tobytes() if fine and (short == x).all() else raw)
             dims.append(len(x) if fine else None)
             digests.append(hashlib.blake2b(raw, digest_size=16).digest() if fine else None)
         yield pa.RecordBatch.from_arrays([ids, binary(digests), pa.array(dims, pa.int32()), binary(vectors)], ["vec_id", "cls", "dim", "vector"])
@@ -124,11 +131,20 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(flat(column)[0].tobytes(), np.float64).reshape(-1, dim)
+    """Vectors are kept in single precision where that is exact."""
+    short = pc.binary_length(column).to_numpy(zero_copy_only=False) == 4 * dim
+    out = np.empty((len(column), dim))
+    for kind, at in ((np.float32, np.flatnonzero(short)), (np.float64, np.flatnonzero(~short))):
+        if len(at):
+            out[at] = np.frombuffer(flat(column.take(pa.array(at)))[0].tobytes(), kind).reshape(-1, dim)
+    return out
+
+
+DEALT = "cls binary, dim int, rep long, copies long, vector binary, list long, codes binary, error double, asked array<long>, bits binary"
 
 
 def _dealt(quantiser: Quantiser | None, dim: int, margin: float):
-    """Each class's list, codes and error, and the units it takes part in: low list * 2 ** 32 + high list."""
+    """Each class's list, codes and error, and the lists that it asks, by number and as bits."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,66 +153,112 @@ def _dealt(quantiser: Quantiser | None, dim: int, margin: float):
                 dims = rows.column("dim").to_numpy()
                 n = len(dims)
                 lists, codes, errors = -dims.astype(np.int64), [b""] * n, np.zeros(n)
-                units = [[int(-d)] for d in dims]
+                asked, bits = [[] for _ in range(n)], [b""] * n
                 main = np.flatnonzero(dims == dim)
                 if len(main):
                     x = unit(_matrix(rows.column("vector").take(pa.array(main)), dim)).astype(np.float32)
                     own, code, error = quantiser.encode(x)
-                    near = quantiser.near_lists(x, own, margin)
+                    near = quantiser.near_lists(x, own, margin / 2)
+                    near[np.arange(len(x)), own] = False
+                    packed = np.packbits(near, axis=1)
                     for k, i in enumerate(main):
                         lists[i], codes[i], errors[i] = own[k], code[k].tobytes(), error[k]
-                        other = np.flatnonzero(near[k])
-                        units[i] = ((np.minimum(other, own[k]) << 32) + np.maximum(other, own[k])).tolist()
+                        asked[i], bits[i] = np.flatnonzero(near[k]).tolist(), packed[k].tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array(lists), binary(codes), pa.array(errors), pa.array(units, pa.list_(pa.int64()))],
-                    [*rows.schema.names, "list", "codes", "error", "units"],
+                    [*rows.columns, pa.array(lists), binary(codes), pa.array(errors), pa.array(asked, pa.list_(pa.int64())), binary(bits)],
+                    [*rows.schema.names, "list", "codes", "error", "asked", "bits"],
                 )
 
     return deal
 
 
+def _met(dealt: DataFrame) -> DataFrame:
+    """Rows of the tiles: a list's rows at home in blocks, each with every other one and with each block of those that ask."""
+    units = F.concat(F.array(F.struct(F.col("list").alias("unit"), F.lit(True).alias("home"))),
+                     F.transform("asked", lambda u: F.struct(u.alias("unit"), F.lit(False).alias("home"))))
+    sizes = dealt.select(F.explode(units).alias("u")).groupBy("u.unit").agg(
+        F.count_if("u.home").alias("homes"), F.count_if(~F.col("u.home")).alias("asking")
+    )
+    sizes = staged(sizes.where("homes > 0 and homes + asking > 1"))  # a row for each list
+    blocks, others = F.ceil(F.col("homes") / TILE).cast("int"), F.ceil(F.col("asking") / ASKING).cast("int")
+    home = F.col("home")
+    rows = dealt.select("dim", "rep", "copies", "vector", "list", "codes", "error", "bits", F.explode(units).alias("u")).select("*", "u.*").drop("u")
+    rows = rows.join(F.broadcast(sizes), "unit").withColumn("block", F.when(home, F.pmod(F.xxhash64("rep"), blocks)).otherwise(
+        blocks + F.pmod(F.xxhash64("rep"), others)).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(home, blocks + others).otherwise(blocks) - 1)))
+    return rows.select(
+        "unit", (F.least("block", "other") * F.lit(1 << 20) + F.greatest("block", "other")).alias("tile"), "block", "home", "rep", "copies", "list", "dim", "vector",
+        *(F.when(home, F.col(c)).alias(c) for c in ("codes", "error", "bits")),  # those that ask need none
+    )
+
+
 LINKS = "rep long, links long, root long"
 
 
+def _roots(linked: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For both sides of a matrix of links, the least name of each row's component."""
+    far = np.iinfo(np.int64).max
+    while True:
+        new_right = np.minimum(right, np.where(linked, left[:, None], far).min(0))
+        new_left = np.minimum(left, np.where(linked, new_right[None, :], far).min(1))
+        if (new_left == left).all() and (new_right == right).all():
+            return left, right
+        left, right = new_left, new_right
+
+
 def _linked(quantiser: Quantiser | None, threshold: float):
-    reach = np.sqrt(2 - 2 * threshold) + _SLACK
+    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + _SLACK
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in streamed_groups(batches, ["unit", "tile"]):
             if rows.num_rows < 2:
                 continue
             rows = rows.take(pa.array(np.argsort(rows.column("rep").to_numpy(), kind="stable")))
-            left, right = compared(rows)
+            left, right = compared(rows)  # the left side is at home
             if not len(left) or not len(right):
                 continue
+            unit_, dim = rows.column("unit")[0].as_py(), rows.column("dim")[0].as_py()
             rep, size, lists = (rows.column(c).to_numpy() for c in ("rep", "copies", "list"))
-            exact = unit(_matrix(rows.column("vector"), rows.column("dim")[0].as_py()))
+            exact = unit(_matrix(rows.column("vector"), dim))
             maybe = left[:, None] != right[None, :]
-            if rows.column("unit")[0].as_py() >= 0:
-                x, error = exact.astype(np.float32), rows.column("error").to_numpy()
-                codes = np.frombuffer(flat(rows.column("codes"))[0].tobytes(), np.uint8).reshape(rows.num_rows, -1)
-                for a in np.unique(lists[right]):
-                    at = np.flatnonzero(lists[right] == a)
-                    maybe[:, at] &= quantiser.distances(x[left], int(a), codes[right[at]]) <= reach + error[right[at]][None, :]
-                if (lists != lists[0]).any():  # two lists: their own pairs belong to their own units
-                    maybe &= lists[left][:, None] != lists[right][None, :]
+            if unit_ >= 0:
+                at_home = rows.take(pa.array(left))
+                codes = np.frombuffer(flat(at_home.column("codes"))[0].tobytes(), np.uint8).reshape(len(left), -1)
+                distance = quantiser.distances(exact[right].astype(np.float32), unit_, codes)
+                maybe &= (distance <= reach + at_home.column("error").to_numpy()[None, :]).T
             some, others = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
             if not len(some):
                 continue
-            linked = np.zeros(maybe.shape, bool)
-            linked[np.ix_(some, others)] = exact[left[some]] @ exact[right[others]].T >= threshold
-            linked &= maybe
+            low, high = divmod(rows.column("tile")[0].as_py(), 1 << 20)
+            if low == high:  # one block twice: every pair is there in both orders
+                some = others = np.union1d(some, others)
+            maybe = maybe[np.ix_(some, others)]
+            linked = (exact[left[some]] @ exact[right[others]].T >= threshold) & maybe
+            left, right = left[some], right[others]
+            if unit_ >= 0 and (lists[right] != unit_).any():  # asked from both sides: in the list of the smaller number
+                bits = np.frombuffer(flat(at_home.take(pa.array(some)).column("bits"))[0].tobytes(), np.uint8).reshape(len(left), -1)
+                asks = np.unpackbits(bits, axis=1)[:, lists[right]] > 0
+                linked &= ~(asks & (lists[right] < unit_)[None, :])
+            if low == high:
+                linked |= linked.T
             if not linked.any():
                 continue
-            whole = np.zeros((len(rep), len(rep)), bool)
-            whole[np.ix_(left, right)] = linked
-            whole |= whole.T
-            hit = whole.any(1)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array((whole @ size)[hit]), pa.array(local_roots(whole, rep)[hit])], ["rep", "links", "root"])
+            rows_hit, columns_hit = linked.any(1), linked.any(0)
+            linked, left, right = linked[np.ix_(rows_hit, columns_hit)], left[rows_hit], right[columns_hit]
+            if low == high:
+                yield _counted(rep[left], linked @ size[right], local_roots(linked, rep[left]))
+            else:
+                roots = _roots(linked, rep[left], rep[right])
+                yield _counted(rep[left], linked @ size[right], roots[0])
+                yield _counted(rep[right], linked.T @ size[left], roots[1])
 
     return link
 
 
+def _counted(rep: np.ndarray, links: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rep), pa.array(links), pa.array(root)], ["rep", "links", "root"])
+
+
 def _list_count(n: int) -> int:
     return int(max(1, min(MOST_LISTS, round(np.sqrt(n) / 2))))
 
@@ -221,19 +283,10 @@ def similar_vectors(vectors: DataFrame, threshold: float = THRESHOLD, margin: fl
     dim, quantiser = (sizes["dim"], None) if sizes else (0, None)
     if sizes:
         sample = hashed_sample(classes.where(F.col("dim") == dim), SAMPLE, "cls").select("vector").collect()  # bounded
-        quantiser = Quantiser(unit(np.stack([np.frombuffer(r["vector"], np.float64) for r in sample])).astype(np.float32), _list_count(sizes["n"]))
-    dealt = staged(
-        classes.select("cls", "dim", "rep", "copies", "vector").mapInArrow(
-            _dealt(quantiser, dim, margin), "cls binary, dim int, rep long, copies long, vector binary, list long, codes binary, error double, units array<long>"
-        )
-    )
-    members = dealt.select(F.explode("units").alias("unit"), "list", "rep")
-    whole = members.groupBy("unit").agg(F.count(F.lit(1)).alias("members"), F.min("list").alias("low"), F.max("list").alias("high"))
-    own = (F.shiftright("unit", 32) == F.col("unit").bitwiseAND(F.lit((1 << 32) - 1))) | (F.col("unit") < 0)
-    whole = whole.where((F.col("members") > 1) & (own | (F.col("low") < F.col("high")))).select("unit", "members")
-    met = tiled(members.select("unit", "rep").join(whole, "unit"), "members", TILE, "rep")
-    full = met.join(dealt.drop("units", "cls"), "rep").repartition("unit", "tile").sortWithinPartitions("unit", "tile")
-    links = staged(full.select("unit", "tile", "block", "rep", "copies", "list", "dim", "codes", "error", "vector").mapInArrow(_linked(quantiser, threshold), LINKS))
+        quantiser = Quantiser(unit(_matrix(pa.array([r["vector"] for r in sample], pa.binary()), dim)).astype(np.float32), _list_count(sizes["n"]))
+    dealt = staged(classes.select("cls", "dim", "rep", "copies", "vector").mapInArrow(_dealt(quantiser, dim, margin), DEALT))
+    full = _met(dealt).repartition("unit", "tile").sortWithinPartitions("unit", "tile")
+    links = staged(full.mapInArrow(_linked(quantiser, threshold), LINKS))
 
     counts = links.groupBy("rep").agg(F.sum("links").alias("links"))
     reached = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))

@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from stumpline.llm.embedding_dedup import Quantiser, similar_vectors, unit
+from stumpline.llm import embedding_dedup
+from stumpline.llm.embedding_dedup import Quantiser, safe_margin, similar_vectors, unit
 
 SCHEMA = "vec_id long, embedding array<float>, cls string, rep string, label int"
 
@@ -65,3 +66,37 @@ def test_no_link_lost_on_few_effective_dimensions(spark, effective):
     rows = [(i, [float(c) for c in np.float32(v)]) for i, v in enumerate(x)]
     got = {r.vec_id: (r.n_links, r.component_id) for r in similar_vectors(spark.createDataFrame([(i, v, "a", "b", 1) for i, v in rows], SCHEMA)).collect()}
     assert got == plain([i for i, _ in rows], [v for _, v in rows])
+
+
+def test_one_end_of_every_pair_asks_and_copies_are_few(spark):
+    """Of a pair parted by a border one end asks the other's list at half the margin: fewer than half the copies of the whole."""
+    rng = np.random.default_rng(7)
+    x = unit(rng.normal(size=(3000, 64)))
+    y = x + 0.3 * unit(rng.normal(size=x.shape))
+    y = unit(y)[(unit(y) * x).sum(1) >= 0.95]
+    x = x[: len(y)] if len(y) == len(x) else unit(y + 0.3 * unit(rng.normal(size=y.shape)))
+    near = (x * y).sum(1) >= 0.95
+    x, y = x[near].astype(np.float32), y[near].astype(np.float32)
+    assert len(x) > 500
+    q = Quantiser(np.concatenate((x, y)), 40)
+    (own_x, *_), (own_y, *_) = q.encode(x), q.encode(y)
+    half = [q.near_lists(v, own, safe_margin(0.95) / 2) for v, own in ((x, own_x), (y, own_y))]
+    i = np.arange(len(x))
+    assert (own_x != own_y).any()
+    assert ((own_x == own_y) | half[0][i, own_y] | half[1][i, own_x]).all()
+    assert half[0].sum() < 0.5 * q.near_lists(x, own_x, safe_margin(0.95)).sum()
+    rows = [(int(k), [float(c) for c in v]) for k, v in enumerate(np.concatenate((x, y))[:1500])]
+    dealt = spark.createDataFrame([(bytes([0]), 64, k, 1, np.float32(v).tobytes()) for k, v in rows], "cls binary, dim int, rep long, copies long, vector binary")
+    dealt = dealt.mapInArrow(embedding_dedup._dealt(q, 64, safe_margin(0.95)), embedding_dedup.DEALT).cache()
+    copies = embedding_dedup._met(dealt)
+    asked = sum(len(r.asked) for r in dealt.select("asked").collect())
+    assert copies.count() <= 1500 * 2 + asked  # one block of those at home in each list, one of those that ask
+
+
+def test_components_in_double_precision(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 12))
+    x = np.concatenate([base, base + 0.07 * rng.normal(size=base.shape), 1e-300 * base, 1e300 * base])
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in similar_vectors(df).collect()}
+    assert got == plain(list(range(len(x))), x)
