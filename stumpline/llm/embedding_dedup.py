@@ -6,8 +6,8 @@ A vector is at home in its own list, and asks each list from whose border it is
 is the plane half way between the two centres, and of a pair that is parted by it, one end is at most half their distance
 from it. The margin is the distance of a pair at the threshold (0.32 at 0.95), so no linked pair is ever parted unseen;
 a pair of which both ends ask the other's list counts in the list of the smaller number. In a list, table lookups of a
-row's distances to the codewords give its distance to every vector at home there; those within the threshold and the
-code's own known error are kept, so the codes lose no pair; an exact cosine in double precision decides.
+row's distances to the codewords give its distance to every vector at home there (a pair is left out as soon as some
+subspaces alone exceed the limit); those within the threshold and the code's own known error are kept, so the codes lose no pair; an exact cosine in double precision decides.
 
 Equal vectors are one class and compared once. Lists are compared in tiles of bounded size (a block at home with another
 one, or with a block of those that ask), which return numbers of links and local components, never pairs.
@@ -43,7 +43,9 @@ SUBSPACE = 4
 TILE = 1024  # rows at home in one tile
 ASKING = 4096  # rows that ask, in one tile
 ROUNDS = 12
+FIRST = 4  # subspaces looked up before pairs are left out, and at once later on
 _SLACK = 1e-4
+_ROUNDED = 1e-5  # more than float32 sums of squares are off by
 
 
 def k_means(x: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
@@ -105,6 +107,35 @@ class Quantiser:
             total += table[:, codes[:, m]]
         return np.sqrt(np.maximum(total, 0))
 
+    def _table(self, residual: np.ndarray, m: int) -> np.ndarray:
+        """Squared distances to the codewords of a subspace, but for the residual's own square."""
+        part, words = residual[:, self.cuts[m] : self.cuts[m + 1]], self.codewords[m]
+        return np.column_stack((part, np.ones(len(part), np.float32))) @ np.column_stack((-2 * words, (words**2).sum(1))).T
+
+    def within(self, queries: np.ndarray, centre: int, codes: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """``distances(...) <= limit`` (one limit a coded vector). A distance is at least what a few subspaces add up to,
+        so the others are looked up only for pairs, and their tables made only for queries, that those leave."""
+        residual = queries - self.centres[centre]
+        order = np.argsort([-words.var(0).sum() for words in self.codewords], kind="stable")
+        squares = np.stack([(residual[:, self.cuts[m] : self.cuts[m + 1]] ** 2).sum(1) for m in order], 1)
+        most = (limit**2).astype(np.float32) + np.float32(_ROUNDED)
+        total = np.repeat(squares[:, :FIRST].sum(1)[:, None], len(codes), 1)
+        for m in order[:FIRST]:
+            total += self._table(residual, m).take(codes[:, m], 1)
+        query, coded = np.nonzero(total <= most[None, :])
+        total = total[query, coded]
+        for low in range(FIRST, len(order), FIRST):
+            left, query_left = np.unique(query, return_inverse=True)
+            total += squares[query, low : low + FIRST].sum(1)
+            for m in order[low : low + FIRST]:
+                total += self._table(residual[left], m)[query_left, codes[coded, m]]
+            near = total <= most[coded]
+            query, coded, total = query[near], coded[near], total[near]
+        near = np.sqrt(np.maximum(total, 0)) <= limit[coded]
+        out = np.zeros((len(queries), len(codes)), bool)
+        out[query[near], coded[near]] = True
+        return out
+
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
@@ -224,8 +255,7 @@ def _linked(quantiser: Quantiser | None, threshold: float):
             if unit_ >= 0:
                 at_home = rows.take(pa.array(left))
                 codes = np.frombuffer(flat(at_home.column("codes"))[0].tobytes(), np.uint8).reshape(len(left), -1)
-                distance = quantiser.distances(exact[right].astype(np.float32), unit_, codes)
-                maybe &= (distance <= reach + at_home.column("error").to_numpy()[None, :]).T
+                maybe &= quantiser.within(exact[right].astype(np.float32), unit_, codes, reach + at_home.column("error").to_numpy()).T
             some, others = np.flatnonzero(maybe.any(1)), np.flatnonzero(maybe.any(0))
             if not len(some):
                 continue

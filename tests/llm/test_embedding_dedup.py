@@ -100,3 +100,23 @@ def test_components_in_double_precision(spark):
     df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
     got = {r.vec_id: (r.n_links, r.component_id) for r in similar_vectors(df).collect()}
     assert got == plain(list(range(len(x))), x)
+
+
+def test_few_subspaces_leave_out_most_pairs(monkeypatch):
+    """The same pairs as by all lookups, with tables of the later subspaces made for few of the queries."""
+    rng = np.random.default_rng(3)
+    x = embedding_dedup.unit(rng.normal(size=(600, 64)))
+    x[300:] = embedding_dedup.unit(x[:300] + 0.01 * rng.normal(size=(300, 64)))
+    x = x.astype(np.float32)
+    quantiser = embedding_dedup.Quantiser(x, 2)
+    own, codes, error = quantiser.encode(x)
+    home = np.flatnonzero(own == 0)
+    made = []
+    table = embedding_dedup.Quantiser._table
+    monkeypatch.setattr(embedding_dedup.Quantiser, "_table", lambda self, rows, m: made.append(len(rows)) or table(self, rows, m))
+    for limit in (0.1 + error[home], np.full(len(home), 0.9), np.full(len(home), 3.0), np.zeros(len(home))):
+        made.clear()
+        want = quantiser.distances(x, 0, codes[home]) <= limit[None, :]
+        assert (quantiser.within(x, 0, codes[home], limit) == want).all()
+        assert made[: embedding_dedup.FIRST] == [len(x)] * embedding_dedup.FIRST and len(made) == 16
+    assert not any(made[embedding_dedup.FIRST :])  # no pair is left after the first ones
