@@ -10,7 +10,8 @@ What the driver receives is bounded by tasks x nodes x features x bins, whatever
 only the lighter is summed, the other is what their parent has beyond it. Held-out losses come with the first job of the
 next tree; where they decide the length, growing stops with ``patience`` trees past the best. Adding a tree's values
 keeps the rows in place: the new scores are written by the next job, and every ``CUT`` trees the lineage is cut by a
-checkpoint. A job takes about a tenth of a second whatever it sums, so a table counted to hold no more rows than one
+checkpoint. Every job sends a partition's rows to Python, so they hold little: three features' bins in two bytes, labels
+and weights by number, the score; a count by three bins at once gives the counts by each. A job takes about a tenth of a second whatever it sums, so a table counted to hold no more rows than one
 partition may is one partition, and its task grows all trees at once, keeping where each row stands in the growing tree.
 """
 
@@ -44,6 +45,8 @@ TASK_ROWS = 20_000  # rows that are worth a task of their own
 CUT = 20
 BINS = 32
 LEAF = -1
+PACKED = 3  # features in one code, five bits each
+CELLS = 1 << 17  # sums that are counted at once
 
 
 @dataclass(frozen=True)
@@ -78,68 +81,123 @@ class Tree:
         weight, total = np.array(self.weight), np.array(self.total)
         return np.divide(total, weight, out=np.zeros_like(total), where=weight > 0)
 
-    def places(self, bins: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """The node that each of ``rows`` (columns of ``bins``) ends in."""
-        feature, cut, left, right = (np.array(c, np.int32) for c in (self.feature, self.cut, self.left, self.right))
+    def places(self, codes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The node that each of ``rows`` (columns of ``codes``) ends in."""
         at = np.zeros(len(rows), np.int32)
-        going = np.arange(len(rows)) if feature[0] != LEAF else np.zeros(0, np.int64)
-        while len(going):
-            node = at[going]
-            at[going] = node = np.where(bins[feature[node], rows[going]] > cut[node], right[node], left[node])
-            going = going[feature[node] != LEAF]
+        split = np.array(self.feature) != LEAF
+        level = np.zeros(1, np.int64)
+        while split[level].any():
+            at = self.children(codes, rows, at)
+            level = np.array([c for n in level for c in ((self.left[n], self.right[n]) if split[n] else ())])
         return at
 
+    def children(self, codes: np.ndarray, rows: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Where rows go from the nodes ``at``: the right child's number follows the left one's; a leaf's rows stay."""
+        feature = np.array(self.feature, np.int32)
+        leaf = feature == LEAF
+        feature[leaf] = 0
+        cut = np.where(leaf, BINS, np.array(self.cut)).astype(np.uint16)
+        left = np.where(leaf, np.arange(len(leaf)), np.array(self.left)).astype(np.int32)
+        start, shift = (feature // PACKED).astype(np.int64) * codes.shape[1], (5 * (feature % PACKED)).astype(np.uint16)
+        if len(leaf) == 1 or (at == at[:1]).all() and len(at):  # all in one node
+            n = int(at[0]) if len(at) else 0
+            bins = (codes[feature[n] // PACKED, rows] >> shift[n]) & np.uint16(BINS - 1)
+            return left[n] + (bins > cut[n]).astype(np.int32)
+        bins = (codes.reshape(-1).take(start.take(at) + rows) >> shift.take(at)) & np.uint16(BINS - 1)
+        return left.take(at) + (bins > cut.take(at))
+
 
 # ---- one partition's rows ----
 
 
+def _few(values: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """The values by number where there are few different ones, else as they are."""
+    known, number = np.unique(values, return_inverse=True)
+    if len(known) > 1 << 16:
+        return values, None
+    return number.astype(np.uint8 if len(known) <= 1 << 8 else np.uint16), known
+
+
 @dataclass
 class Rows:
-    bins: np.ndarray  # (features, rows)
-    label: np.ndarray
-    weight: np.ndarray
-    held: np.ndarray
+    codes: np.ndarray  # (features / PACKED, rows) bins
+    features: int
+    label: tuple[np.ndarray, np.ndarray | None]
+    weight: tuple[np.ndarray, np.ndarray | None] | None  # None: all 1
+    train: int  # so many rows train, those after them are held out
     score: np.ndarray
     grown: int  # trees in the score
     number: int  # of the partition
-    drawn: np.ndarray | None = None  # rows that the next tree is grown from, and what it fits
-    goal: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, bins: np.ndarray, label: np.ndarray, weight: np.ndarray, held: np.ndarray, number: int) -> Rows:
+        """Ordered by what the rows hold, so that no fetch order plays a part."""
+        groups = range(0, len(bins), PACKED)
+        codes = np.array([sum(b.astype(np.uint16) << np.uint16(5 * i) for i, b in enumerate(bins[g : g + PACKED])) for g in groups], np.uint16)
+        order = np.lexsort((*codes, label, weight, held))
+        weights = None if (weight == 1).all() else _few(weight[order])
+        return cls(np.ascontiguousarray(codes[:, order]), len(bins), _few(label[order]), weights, int((~held).sum()),
+                   np.zeros(len(label)), 0, number)
+
+    def labels(self, rows) -> np.ndarray:
+        return self.label[0][rows] if self.label[1] is None else self.label[1][self.label[0][rows]]
+
+    def weights(self, rows) -> np.ndarray | None:
+        if self.weight is None:
+            return None
+        return self.weight[0][rows] if self.weight[1] is None else self.weight[1][self.weight[0][rows]]
 
     def ready(self, spec: Growth) -> Rows:
-        """Draws the next tree's rows and their targets, once for all its levels."""
-        drawn = ~self.held
+        """Draws the next tree's rows and their targets."""
         if spec.rows < 1:
-            drawn &= np.random.default_rng((spec.seed, self.grown, self.number)).random(len(drawn)) < spec.rows
-        self.drawn = np.flatnonzero(drawn).astype(np.int32)
-        label, score = self.label[self.drawn], self.score[self.drawn]
+            share = np.random.default_rng((spec.seed, self.grown, self.number)).random(len(self.score)) < spec.rows
+            self.drawn = np.flatnonzero(share[: self.train])
+        else:
+            self.drawn = np.arange(self.train)
+        label = self.labels(self.drawn)
         if not self.grown:
             self.goal = label
         elif spec.classifier:
-            self.goal = 4 * label / (1 + np.exp(np.minimum(2 * label * score, 700.0)))
+            self.goal = 4 * label / (1 + np.exp(np.minimum(2 * label * self.score[self.drawn], 700.0)))
         else:
-            self.goal = 2 * (label - score)
+            self.goal = 2 * (label - self.score[self.drawn])
         return self
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("drawn", "goal")}  # drawn anew where they are used
+
     def histograms(self, tree: Tree, nodes: list[int], places: np.ndarray) -> np.ndarray:
         """(node, feature, bin) sums of weight and weighted target over the drawn rows in ``nodes``."""
-        slots = np.full(len(tree.feature), -1, np.int64)
-        slots[nodes] = np.arange(len(nodes))
-        slot = slots[places]
-        at = np.flatnonzero(slot >= 0)
-        use, base = self.drawn[at], slot[at] * BINS
-        weight = self.weight[use]
-        added = weight * self.goal[at]
-        even = (weight == 1).all()  # counting the rows gives the same sums
-        out = np.zeros((len(nodes), len(self.bins), BINS, 2))
-        for f, column in enumerate(self.bins):
-            cell = base + column[use]
-            for c, values in enumerate((None if even else weight, added)):
-                out[:, f, :, c] = np.bincount(cell, values, len(nodes) * BINS).reshape(len(nodes), BINS)
+        use, added, slot = self.drawn, self.goal, places
+        if nodes != [0]:
+            slots = np.full(len(tree.feature), -1, np.int64)
+            slots[nodes] = np.arange(len(nodes))
+            slot = slots[places]
+            at = np.flatnonzero(slot >= 0)
+            use, added, slot = use[at], added[at], slot[at]
+        weight = self.weights(use)
+        added = added if weight is None else weight * added  # without weights, counting the rows gives their sums
+        out = np.zeros((len(nodes), self.features, BINS, 2))
+        together = PACKED if len(nodes) * BINS**PACKED <= CELLS else PACKED - 1
+        for f in range(0, self.features, PACKED):
+            code = self.codes[f // PACKED][use]
+            for first in range(0, min(PACKED, self.features - f), together):
+                n = min(together, PACKED - first, self.features - f - first)
+                size = BINS**n
+                cell = ((code >> np.uint16(5 * first)) & np.uint16(size - 1)).astype(np.int64)
+                if len(nodes) > 1:
+                    cell += slot * size
+                for c, values in enumerate((weight, added)):
+                    sums = np.bincount(cell, values, len(nodes) * size).reshape(len(nodes), *[BINS] * n)
+                    for k in range(n):  # the first feature is the last axis
+                        out[:, f + first + k, :, c] = sums.sum(tuple(a for a in range(1, n + 1) if a != n - k))
         return out
 
     def loss(self, spec: Growth) -> np.ndarray:
         """Sums of weighted loss and of weight over the held-out rows."""
-        y, score, weight = self.label[self.held], self.score[self.held], self.weight[self.held]
+        held = slice(self.train, None)
+        y, score, weight = self.labels(held), self.score[held], self.weights(held)
+        weight = np.ones(len(y)) if weight is None else weight
         if spec.classifier:
             margin = 2 * y * score
             each = 2 * (np.log1p(np.exp(-np.abs(margin))) + np.maximum(-margin, 0))
@@ -149,18 +207,18 @@ class Rows:
 
     def summed(self, spec: Growth, tree: Tree, nodes: list[int], places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """With the losses where a tree begins: they belong to the trees before it. ``places``: nodes of the drawn rows."""
-        places = tree.places(self.bins, self.drawn) if places is None else places
+        places = tree.places(self.codes, self.drawn) if places is None else places
         return self.histograms(tree, nodes, places), self.loss(spec) if nodes == [0] else np.zeros(2)
 
-    def with_tree(self, spec: Growth, tree: Tree, step: float, places: np.ndarray | None = None) -> Rows:
+    def with_tree(self, tree: Tree, step: float, places: np.ndarray | None = None) -> Rows:
         """``places``: nodes of all rows."""
-        places = tree.places(self.bins, np.arange(len(self.score), dtype=np.int32)) if places is None else places
-        score = self.score + step * tree.values()[places]
-        return Rows(self.bins, self.label, self.weight, self.held, score, self.grown + 1, self.number).ready(spec)
+        places = tree.places(self.codes, np.arange(len(self.score))) if places is None else places
+        score = self.score + (step * tree.values())[places]
+        return Rows(self.codes, self.features, self.label, self.weight, self.train, score, self.grown + 1, self.number)
 
 
 def _packed(edges: list[list[float]], spec: Growth, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A partition's rows as one value, ordered by what they hold, so that no fetch order plays a part."""
+    """A partition's rows as one value."""
     from pyspark import TaskContext
 
     cuts = [np.array(e) for e in edges]
@@ -171,13 +229,11 @@ def _packed(edges: list[list[float]], spec: Growth, batches: Iterator[pa.RecordB
         plain.append(np.array([batch.column(i).cast(pa.float64()).to_numpy(zero_copy_only=False) for i in (1, 2, 3)]))
     if bins:
         b, (label, weight, held) = np.concatenate(bins, 1), np.concatenate(plain, 1)
-        order = np.lexsort((*b, label, weight, held))
-        b, label, weight, held = np.ascontiguousarray(b[:, order]), label[order], weight[order], held[order] > 0
     else:
-        b, label, weight, held = np.zeros((len(cuts), 0), np.uint8), np.zeros(0), np.zeros(0), np.zeros(0, bool)
+        b, (label, weight, held) = np.zeros((len(cuts), 0), np.uint8), np.zeros((3, 0))
     if spec.classifier:
         label = 2 * label - 1
-    rows = Rows(b, label, weight, held, np.zeros(len(label)), 0, TaskContext.get().partitionId()).ready(spec)
+    rows = Rows.of(b, label, weight, held > 0, TaskContext.get().partitionId())
     yield pa.RecordBatch.from_pydict({"rows": [pickle.dumps(rows)]})
 
 
@@ -213,7 +269,8 @@ def _split_all(spec: Growth, tree: Tree, number: int, nodes: list[int], sums: np
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = np.where(ok, (sl**2 / wl + sr**2 / wr - s**2 / w) / w, -np.inf)
     flat = gain.reshape(len(nodes), -1)
-    best = flat.argmax(1)  # first of equal gains: least feature, then bin
+    top = flat.max(1, keepdims=True)
+    best = (flat >= top - 1e-9 * np.abs(top)).argmax(1)  # first of equal gains, but for rounding: least feature, then bin
     for i, node in enumerate(nodes):
         weight, total = tree.weight[node], tree.total[node]
         if weight <= 0 or not flat[i, best[i]] > 1e-12 * (1 + (total / weight) ** 2):
@@ -274,25 +331,23 @@ class Alone:
     """The rows of one partition, in its task, and where they stand in the tree that grows."""
 
     def __init__(self, rows: Rows, spec: Growth):
-        self.rows, self.spec, self.places = rows, spec, None
+        self.rows, self.spec, self.places = rows.ready(spec), spec, None
 
     def move(self, tree: Tree) -> None:
         """Rows whose node was split since go on to its children."""
-        feature, cut, left, right = (np.array(c, np.int32) for c in (tree.feature, tree.cut, tree.left, tree.right))
-        going = np.flatnonzero(feature[self.places] != LEAF)
-        node = self.places[going]
-        self.places[going] = np.where(self.rows.bins[feature[node], going] > cut[node], right[node], left[node])
+        self.places = tree.children(self.rows.codes, self.every, self.places)
 
     def summed(self, tree: Tree, nodes: list[int]) -> tuple[np.ndarray, np.ndarray]:
         if nodes == [0]:
-            self.places = np.zeros(len(self.rows.score), np.int32)
+            self.every = np.arange(len(self.rows.score))
+            self.places = np.zeros(len(self.every), np.int32)
         else:
             self.move(tree)
         return self.rows.summed(self.spec, tree, nodes, self.places[self.rows.drawn])
 
     def add(self, tree: Tree, step: float) -> None:
         self.move(tree)
-        self.rows = self.rows.with_tree(self.spec, tree, step, self.places)
+        self.rows = self.rows.with_tree(tree, step, self.places).ready(self.spec)
 
 
 def _grown_alone(spec: Growth, best_length, rows: Iterator[Rows]) -> Iterator[tuple[list[Tree], list[float]]]:
@@ -303,12 +358,12 @@ def _grown_alone(spec: Growth, best_length, rows: Iterator[Rows]) -> Iterator[tu
 
 def _summed_parts(spec: Growth, tree: Tree, nodes: list[int], rows: Iterator[Rows]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for one in rows:
-        yield one.summed(spec, tree, nodes)
+        yield one.ready(spec).summed(spec, tree, nodes)
 
 
-def _with_tree(spec: Growth, tree: Tree, step: float, rows: Iterator[Rows]) -> Iterator[Rows]:
+def _with_tree(tree: Tree, step: float, rows: Iterator[Rows]) -> Iterator[Rows]:
     for one in rows:
-        yield one.with_tree(spec, tree, step)
+        yield one.with_tree(tree, step)
 
 
 class Spread:
@@ -339,7 +394,7 @@ class Spread:
 
     def add(self, tree: Tree, step: float) -> None:
         self.before = self.rows
-        self.rows = self.rows.mapPartitions(partial(_with_tree, self.spec, tree, step), preservesPartitioning=True)
+        self.rows = self.rows.mapPartitions(partial(_with_tree, tree, step), preservesPartitioning=True)
         self.rows = self.rows.persist(StorageLevel.MEMORY_AND_DISK)
         self.added += 1
         if self.added % CUT == 0:
@@ -365,7 +420,7 @@ def fit(spec: Growth, df: DataFrame, features: list[str], best_length) -> tuple[
     edges = cut_points(df.where(~F.col("_held")), features)
     n = df.count()
     slots = max(1, spark.sparkContext.defaultParallelism)
-    parts = 1 if n <= ONE_TASK else max(min(slots, -(-n // TASK_ROWS)), -(-n // MOST_ROWS))
+    parts = 1 if n <= ONE_TASK else min(slots * -(-n // (slots * MOST_ROWS)), -(-n // TASK_ROWS))  # whole rounds of tasks
     table = df.select(vector_to_array("_features").alias("values"), F.col("_label").cast("double"),
                       F.col("_weight").cast("double"), F.col("_held").cast("double"))
     packed = table.repartition(parts).mapInArrow(partial(_packed, edges, spec), "rows binary").rdd

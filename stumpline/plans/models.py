@@ -157,6 +157,7 @@ def predict(model: PipelineModel, spec: Predictor, df: DataFrame, out: str = "pr
 def evaluate(spec: Predictor, scored: DataFrame, score: str = "prediction") -> Metrics:
     if not spec.classifier:
         return metrics.regression_metrics(scored, score, spec.target).drop("n").first().asDict()
+    scored = staged(scored.select(score, spec.target))  # the metrics read it several times: the trees are applied once
     out = metrics.binary_metrics(scored, score, spec.target).drop("n").first().asDict()
     out |= metrics.roc_auc(scored, score, spec.target).first().asDict()
     if spec.balanced:
