@@ -1,3 +1,5 @@
+import pickle
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -71,3 +73,33 @@ def test_a_table_of_one_partition_takes_one_job(spark):
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("one-task")) < 3 * spec.trees
     errors = models.held_out_errors(spec, model, df.where("is_test"))
     assert errors[-1] < errors[0] / 2
+
+
+def test_rows_sent_are_small_and_sums_are_by_bin():
+    """A job sends a partition's rows: 16 bytes each for seven features. Sums by three bins at once give those by each."""
+    rng = np.random.default_rng(7)
+    n, spec = 5000, histograms.Growth(True, 5, 5, 0.1, 0.8)
+    bins, label, held = rng.integers(0, 32, (7, n)).astype(np.uint8), rng.integers(0, 2, n) * 2.0 - 1, rng.random(n) < 0.2
+    rows = histograms.Rows.of(bins, label, np.where(label > 0, 3.5, 1.0), held, 0).ready(spec)
+    assert len(pickle.dumps(rows)) < 17 * n
+    again = pickle.loads(pickle.dumps(rows)).ready(spec)
+    assert (again.drawn == rows.drawn).all() and rows.train == (~held).sum() and (rows.drawn < rows.train).all()
+    root = rows.histograms(histograms.Tree.of_root(), [0], np.zeros(len(rows.drawn), np.int32))
+    tree = histograms.grown_tree(spec, 0, histograms.Tree.of_root(), root, lambda t, nodes: rows.summed(spec, t, nodes))
+    value = np.array([(rows.codes[f // 3] >> 5 * (f % 3)) & 31 for f in range(7)])
+    places = tree.places(rows.codes, np.arange(n))
+    for row in range(0, n, 97):
+        at = 0
+        while tree.feature[at] != histograms.LEAF:
+            at = tree.right[at] if value[tree.feature[at], row] > tree.cut[at] else tree.left[at]
+        assert places[row] == at
+    leaves = [i for i, f in enumerate(tree.feature) if f == histograms.LEAF]
+    assert len(leaves) > 4  # more than are counted by three bins at once
+    weight, here = rows.weights(rows.drawn), places[rows.drawn]
+    for nodes in (leaves, leaves[:3]):
+        sums = rows.histograms(tree, nodes, here)
+        for i, node in enumerate(nodes):
+            for f in range(7):
+                cell = value[f, rows.drawn][here == node]
+                assert sums[i, f, :, 0] == pytest.approx(np.bincount(cell, weight[here == node], 32))
+                assert sums[i, f, :, 1] == pytest.approx(np.bincount(cell, (weight * rows.goal)[here == node], 32), abs=1e-9)
