@@ -11,24 +11,34 @@ only the lighter is summed, the other is what their parent has beyond it. Held-o
 next tree; where they decide the length, growing stops with ``patience`` trees past the best. Adding a tree's values
 keeps the rows in place: the new scores are written by the next job, and every ``CUT`` trees the lineage is cut by a
 checkpoint. Every job sends a partition's rows to Python, so they hold little: three features' bins in two bytes, labels
-and weights by number, the score; a count by three bins at once gives the counts by each. A job takes about a tenth of a second whatever it sums, so a table counted to hold no more rows than one
-partition may is one partition, and its task grows all trees at once, keeping where each row stands in the growing tree.
+and weights by number, the score; a count by three bins at once gives the counts by each.
+
+A job takes about a tenth of a second whatever it sums, and tasks that end forget where their rows stand in the growing
+tree. So where they can, all tasks of a table stay in one barrier stage till all trees are grown (``Gathering``): the
+first one picks the splits, orders and sums go through files in the session's shared folder. A table of at most ``ALONE``
+rows is one task. A job a level is left for tables of more than ``HELD_ROWS`` rows a slot, and for sessions whose shared
+folder tasks can't open as a local path, or whose executors come and go; there up to ``ONE_TASK`` rows are one task.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import os
 import pickle
+import shutil
 import time
 import uuid
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import partial
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark import RDD, StorageLevel
+from py4j.protocol import Py4JJavaError
+from pyspark import RDD, BarrierTaskContext, StorageLevel
 from pyspark.ml.classification import GBTClassificationModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel
@@ -41,12 +51,16 @@ from stumpline.sources.staging import _drop, work_dir
 
 MOST_ROWS = 1_000_000  # rows that one partition holds at most
 ONE_TASK = MOST_ROWS  # rows that one task may grow trees on alone
+ALONE = 250_000  # rows that are grown on sooner by one task than by several
+HELD_ROWS = 3_000_000  # rows that one task of several holds at most
+LOOK = 0.0001  # seconds between two looks for a file
 TASK_ROWS = 20_000  # rows that are worth a task of their own
 CUT = 20
 BINS = 32
 LEAF = -1
 PACKED = 3  # features in one code, five bits each
-CELLS = 1 << 17  # sums that are counted at once
+CELLS = 1 << 15  # sums that are counted at once
+BLOCK = 1 << 16  # rows that are worked on at once: what is computed of them stays in the processor's cache
 
 
 @dataclass(frozen=True)
@@ -110,6 +124,10 @@ class Tree:
 # ---- one partition's rows ----
 
 
+def _blocks(stop: int, start: int = 0) -> Iterator[slice]:
+    return (slice(i, min(i + BLOCK, stop)) for i in range(start, stop, BLOCK))
+
+
 def _few(values: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     """The values by number where there are few different ones, else as they are."""
     known, number = np.unique(values, return_inverse=True)
@@ -148,62 +166,82 @@ class Rows:
         return self.weight[0][rows] if self.weight[1] is None else self.weight[1][self.weight[0][rows]]
 
     def ready(self, spec: Growth) -> Rows:
-        """Draws the next tree's rows and their targets."""
+        """Draws the next tree's rows, their bins and their targets."""
         if spec.rows < 1:
-            share = np.random.default_rng((spec.seed, self.grown, self.number)).random(len(self.score)) < spec.rows
-            self.drawn = np.flatnonzero(share[: self.train])
+            draws = np.random.default_rng((spec.seed, self.grown, self.number))
+            share = np.zeros(len(self.score), bool)
+            for b in _blocks(self.train):
+                share[b] = draws.random(b.stop - b.start) < spec.rows
+            self.drawn, self.others = np.flatnonzero(share), np.flatnonzero(~share)
+            self.picked = np.empty((len(self.codes), len(self.drawn)), self.codes.dtype)
+            for group, code in zip(self.picked, self.codes, strict=True):
+                np.take(code, self.drawn, out=group, mode="clip")  # unbuffered
         else:
-            self.drawn = np.arange(self.train)
-        label = self.labels(self.drawn)
-        if not self.grown:
-            self.goal = label
-        elif spec.classifier:
-            self.goal = 4 * label / (1 + np.exp(np.minimum(2 * label * self.score[self.drawn], 700.0)))
-        else:
-            self.goal = 2 * (label - self.score[self.drawn])
+            self.drawn, self.others = np.arange(self.train), np.arange(self.train, len(self.score))
+            self.picked = np.ascontiguousarray(self.codes[:, : self.train])
+        self.goal = np.empty(len(self.drawn))
+        for b in _blocks(len(self.drawn)):
+            rows = self.drawn[b]
+            label = self.labels(rows)
+            if not self.grown:
+                self.goal[b] = label
+            elif spec.classifier:
+                self.goal[b] = 4 * label / (1 + np.exp(np.minimum(2 * label * self.score[rows], 700.0)))
+            else:
+                self.goal[b] = 2 * (label - self.score[rows])
         return self
 
-    def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("drawn", "goal")}  # drawn anew where they are used
+    def __getstate__(self) -> dict:  # what ready() made is made anew where it is used
+        return {k: v for k, v in self.__dict__.items() if k not in ("drawn", "others", "picked", "goal")}
 
     def histograms(self, tree: Tree, nodes: list[int], places: np.ndarray) -> np.ndarray:
         """(node, feature, bin) sums of weight and weighted target over the drawn rows in ``nodes``."""
-        use, added, slot = self.drawn, self.goal, places
-        if nodes != [0]:
-            slots = np.full(len(tree.feature), -1, np.int64)
-            slots[nodes] = np.arange(len(nodes))
-            slot = slots[places]
-            at = np.flatnonzero(slot >= 0)
-            use, added, slot = use[at], added[at], slot[at]
-        weight = self.weights(use)
-        added = added if weight is None else weight * added  # without weights, counting the rows gives their sums
+        slots = np.full(len(tree.feature), -1, np.int64)
+        slots[nodes] = np.arange(len(nodes))
         out = np.zeros((len(nodes), self.features, BINS, 2))
         together = PACKED if len(nodes) * BINS**PACKED <= CELLS else PACKED - 1
-        for f in range(0, self.features, PACKED):
-            code = self.codes[f // PACKED][use]
-            for first in range(0, min(PACKED, self.features - f), together):
-                n = min(together, PACKED - first, self.features - f - first)
-                size = BINS**n
-                cell = ((code >> np.uint16(5 * first)) & np.uint16(size - 1)).astype(np.int64)
-                if len(nodes) > 1:
-                    cell += slot * size
-                for c, values in enumerate((weight, added)):
-                    sums = np.bincount(cell, values, len(nodes) * size).reshape(len(nodes), *[BINS] * n)
-                    for k in range(n):  # the first feature is the last axis
-                        out[:, f + first + k, :, c] = sums.sum(tuple(a for a in range(1, n + 1) if a != n - k))
+        counted = {}  # the sums by several features' bins at once
+        for b in _blocks(len(self.drawn)):
+            use, added, slot, codes = self.drawn[b], self.goal[b], None, self.picked[:, b]
+            if nodes != [0]:
+                slot = slots.take(places[b])
+                at = np.flatnonzero(slot >= 0)
+                use, added, slot, codes = use.take(at), added.take(at), slot.take(at), codes.take(at, 1)
+            weight = self.weights(use)
+            added = added if weight is None else weight * added  # without weights, counting the rows gives their sums
+            for f in range(0, self.features, PACKED):
+                code = codes[f // PACKED].astype(np.int64)
+                for first in range(0, min(PACKED, self.features - f), together):
+                    n = min(together, PACKED - first, self.features - f - first)
+                    size = BINS**n
+                    cell = (code >> 5 * first) & (size - 1)
+                    if len(nodes) > 1:
+                        cell += slot * size
+                    for c, values in enumerate((weight, added)):
+                        sums = np.bincount(cell, values, len(nodes) * size)
+                        if (f + first, n, c) in counted:
+                            counted[f + first, n, c] += sums
+                        else:
+                            counted[f + first, n, c] = sums.astype(float, copy=False)  # counts, and sums of no rows, are whole numbers
+        for (f, n, c), sums in counted.items():
+            sums = sums.reshape(len(nodes), *[BINS] * n)
+            for k in range(n):  # the first feature is the last axis
+                out[:, f + k, :, c] = sums.sum(tuple(a for a in range(1, n + 1) if a != n - k))
         return out
 
     def loss(self, spec: Growth) -> np.ndarray:
         """Sums of weighted loss and of weight over the held-out rows."""
-        held = slice(self.train, None)
-        y, score, weight = self.labels(held), self.score[held], self.weights(held)
-        weight = np.ones(len(y)) if weight is None else weight
-        if spec.classifier:
-            margin = 2 * y * score
-            each = 2 * (np.log1p(np.exp(-np.abs(margin))) + np.maximum(-margin, 0))
-        else:
-            each = (y - score) ** 2
-        return np.array([(weight * each).sum(), weight.sum()])
+        out = np.zeros(2)
+        for b in _blocks(len(self.score), self.train):
+            y, score, weight = self.labels(b), self.score[b], self.weights(b)
+            weight = np.ones(len(y)) if weight is None else weight
+            if spec.classifier:
+                margin = 2 * y * score
+                each = 2 * (np.log1p(np.exp(-np.abs(margin))) + np.maximum(-margin, 0))
+            else:
+                each = (y - score) ** 2
+            out += (weight * each).sum(), weight.sum()
+        return out
 
     def summed(self, spec: Growth, tree: Tree, nodes: list[int], places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """With the losses where a tree begins: they belong to the trees before it. ``places``: nodes of the drawn rows."""
@@ -211,9 +249,17 @@ class Rows:
         return self.histograms(tree, nodes, places), self.loss(spec) if nodes == [0] else np.zeros(2)
 
     def with_tree(self, tree: Tree, step: float, places: np.ndarray | None = None) -> Rows:
-        """``places``: nodes of all rows."""
-        places = tree.places(self.codes, np.arange(len(self.score))) if places is None else places
-        score = self.score + (step * tree.values())[places]
+        """``places``: nodes of the drawn rows."""
+        values, score = step * tree.values(), self.score.copy()
+        if places is None:
+            for b in _blocks(len(score)):
+                score[b] += values.take(tree.places(self.codes, np.arange(b.start, b.stop)))
+        else:
+            for b in _blocks(len(self.drawn)):
+                score[self.drawn[b]] += values.take(places[b])
+            for b in _blocks(len(self.others)):
+                rows = self.others[b]
+                score[rows] += values.take(tree.places(self.codes, rows))
         return Rows(self.codes, self.features, self.label, self.weight, self.train, score, self.grown + 1, self.number)
 
 
@@ -328,22 +374,22 @@ def grown_trees(spec: Growth, summed: Summed, add: Callable[[Tree, float], None]
 
 
 class Alone:
-    """The rows of one partition, in its task, and where they stand in the tree that grows."""
+    """The rows of one partition, in its task, and where the drawn ones stand in the tree that grows."""
 
     def __init__(self, rows: Rows, spec: Growth):
         self.rows, self.spec, self.places = rows.ready(spec), spec, None
 
     def move(self, tree: Tree) -> None:
-        """Rows whose node was split since go on to its children."""
-        self.places = tree.children(self.rows.codes, self.every, self.places)
+        """Drawn rows whose node was split since go on to its children."""
+        for b in _blocks(len(self.places)):
+            self.places[b] = tree.children(self.rows.picked, np.arange(b.start, b.stop), self.places[b])
 
     def summed(self, tree: Tree, nodes: list[int]) -> tuple[np.ndarray, np.ndarray]:
         if nodes == [0]:
-            self.every = np.arange(len(self.rows.score))
-            self.places = np.zeros(len(self.every), np.int32)
+            self.places = np.zeros(len(self.rows.drawn), np.uint8 if self.spec.depth < 8 else np.int32)
         else:
             self.move(tree)
-        return self.rows.summed(self.spec, tree, nodes, self.places[self.rows.drawn])
+        return self.rows.summed(self.spec, tree, nodes, self.places)
 
     def add(self, tree: Tree, step: float) -> None:
         self.move(tree)
@@ -356,6 +402,122 @@ def _grown_alone(spec: Growth, best_length, rows: Iterator[Rows]) -> Iterator[tu
         yield grown_trees(spec, alone.summed, alone.add, best_length)
 
 
+class Gathering:
+    """The tasks of one barrier stage, which all run at once. The first one posts what to do next and adds up the others' sums."""
+
+    def __init__(self, folder: str, me: int, tasks: int):
+        self.folder, self.me, self.tasks = Path(folder), me, tasks
+        self.number = self.read_by_all = 0  # of orders
+
+    def write(self, name: str, value) -> None:
+        part = self.folder / f"{name}.part"
+        part.write_bytes(pickle.dumps(value))
+        os.replace(part, self.folder / name)  # whole when it gets its name
+
+    def read(self, name: str):
+        """Waits for it. The driver removes the folder when the job has ended."""
+        looks = 0
+        while True:
+            try:
+                return pickle.loads((self.folder / name).read_bytes())
+            except FileNotFoundError:
+                looks += 1
+                if looks % 10_000 == 0 and not self.folder.exists():
+                    raise RuntimeError("the other tasks are gone") from None
+                time.sleep(LOOK)
+
+    def post(self, order) -> None:
+        self.number += 1
+        self.write(f"{self.number}", order)
+
+    def added_up(self, own: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        sums, loss = own
+        for task in range(1, self.tasks):
+            name = f"{self.number}-{task}"
+            more = self.read(name)
+            sums, loss = sums + more[0], loss + more[1]
+            (self.folder / name).unlink()
+        while self.read_by_all < self.number:  # who sent sums has read the orders up to here
+            self.read_by_all += 1
+            (self.folder / f"{self.read_by_all}").unlink()
+        return sums, loss
+
+    def orders(self) -> Iterator:
+        while (order := self.read(f"{self.number + 1}")) is not None:
+            self.number += 1
+            yield order
+
+    def send(self, sums: tuple[np.ndarray, np.ndarray]) -> None:
+        self.write(f"{self.number}-{self.me}", sums)
+
+
+class Leading:
+    """The first task's rows, and the orders to the others: nodes to sum, or a tree to add and its step."""
+
+    def __init__(self, alone: Alone, gathering: Gathering):
+        self.alone, self.gathering = alone, gathering
+
+    def summed(self, tree: Tree, nodes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        self.gathering.post((tree, nodes, None))
+        return self.gathering.added_up(self.alone.summed(tree, nodes))
+
+    def add(self, tree: Tree, step: float) -> None:
+        self.gathering.post((tree, None, step))
+        self.alone.add(tree, step)
+
+
+def _grown_together(spec: Growth, best_length, folder: str, rows: Iterator[Rows]) -> Iterator:
+    """The trees, from the first task; nothing where some task doesn't see the folder."""
+    task = BarrierTaskContext.get()
+    alone = Alone(next(rows), spec)
+    seen = task.allGather(uuid.uuid4().hex if os.path.isdir(folder) else "")
+    if not all(seen):
+        return
+    here = f"{folder}/{seen[0]}"  # no other attempt's files
+    os.makedirs(here, exist_ok=True)
+    gathering = Gathering(here, task.partitionId(), len(task.getTaskInfos()))
+    if not gathering.me:
+        leading = Leading(alone, gathering)
+        grown = grown_trees(spec, leading.summed, leading.add, best_length)
+        gathering.post(None)
+        yield grown
+        return
+    for tree, nodes, step in gathering.orders():
+        if nodes is None:
+            alone.add(tree, step)
+        else:
+            gathering.send(alone.summed(tree, nodes))
+
+
+def _slots(spark: SparkSession) -> int:
+    """Tasks that run at once now: what a barrier stage may have."""
+    context = spark.sparkContext._jsc.sc()
+    return context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile())
+
+
+def _shared_folder(spark: SparkSession) -> str | None:
+    """The shared folder as a path that tasks may open, if it is one and all tasks of a stage can run at once."""
+    if spark.sparkContext.getConf().get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return None
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(work_dir(spark))
+    uri = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return uri.getPath() if uri.getScheme() == "file" else None
+
+
+def _together(spec: Growth, rows: RDD, best_length, shared: str) -> tuple[list[Tree], list[float]] | None:
+    """None where it can't be done so. Spark doesn't try a barrier stage again: after a lost task, jobs do the work anew."""
+    folder = f"{shared}/trees-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    try:
+        found = rows.barrier().mapPartitions(partial(_grown_together, spec, best_length, folder)).collect()
+    except Py4JJavaError as error:
+        warnings.warn(f"trees are grown by a job a level, as tasks that ran together failed: {str(error)[:2000]}", stacklevel=2)
+        return None
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+    return found[0] if found else None
+
+
 def _summed_parts(spec: Growth, tree: Tree, nodes: list[int], rows: Iterator[Rows]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for one in rows:
         yield one.ready(spec).summed(spec, tree, nodes)
@@ -419,12 +581,20 @@ def fit(spec: Growth, df: DataFrame, features: list[str], best_length) -> tuple[
     ship(spark)
     edges = cut_points(df.where(~F.col("_held")), features)
     n = df.count()
-    slots = max(1, spark.sparkContext.defaultParallelism)
-    parts = 1 if n <= ONE_TASK else min(slots * -(-n // (slots * MOST_ROWS)), -(-n // TASK_ROWS))  # whole rounds of tasks
     table = df.select(vector_to_array("_features").alias("values"), F.col("_label").cast("double"),
                       F.col("_weight").cast("double"), F.col("_held").cast("double"))
-    packed = table.repartition(parts).mapInArrow(partial(_packed, edges, spec), "rows binary").rdd
-    rows = packed.mapPartitions(_loaded)
+
+    def dealt(parts: int) -> RDD:
+        return table.repartition(parts).mapInArrow(partial(_packed, edges, spec), "rows binary").rdd.mapPartitions(_loaded)
+
+    slots = _slots(spark)
+    tasks = min(slots, -(-n // TASK_ROWS))
+    if min(ALONE, ONE_TASK) < n <= tasks * HELD_ROWS and tasks > 1 and (shared := _shared_folder(spark)):
+        if grown := _together(spec, dealt(tasks), best_length, shared):
+            return *grown, edges
+    slots = max(1, spark.sparkContext.defaultParallelism)
+    parts = 1 if n <= ONE_TASK else min(slots * -(-n // (slots * MOST_ROWS)), -(-n // TASK_ROWS))  # whole rounds of tasks
+    rows = dealt(parts)
     if parts == 1:
         trees, errors = rows.mapPartitions(partial(_grown_alone, spec, best_length)).collect()[0]
         return trees, errors, edges

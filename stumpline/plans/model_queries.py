@@ -8,8 +8,10 @@ name return the values themselves.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import replace
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,11 +32,16 @@ def _prefix_rows(spark: SparkSession, sf: str) -> DataFrame:
     return models.prefix_rows(stored(spark, sf, "over_sequences"), fixtures.matches(spark, sf))
 
 
+_TABLES = {
+    "match_winner": "match_features_v3", "score_predictor": "score_features", "win_probability": "win_prob_features",
+    "potm_classifier": "potm_features", "prefix_score_predictor": "over_sequences",
+}
+
 _TRAINERS = {
-    "match_winner": lambda s, sf: models.train_match_winner(stored(s, sf, "match_features_v3"), folds=0),
-    "score_predictor": lambda s, sf: models.train_score_predictor(stored(s, sf, "score_features")),
-    "win_probability": lambda s, sf: models.train_win_probability(stored(s, sf, "win_prob_features")),
-    "potm_classifier": lambda s, sf: models.train_potm_classifier(stored(s, sf, "potm_features")),
+    "match_winner": lambda s, sf: models.train_match_winner(stored(s, sf, _TABLES["match_winner"]), folds=0),
+    "score_predictor": lambda s, sf: models.train_score_predictor(stored(s, sf, _TABLES["score_predictor"])),
+    "win_probability": lambda s, sf: models.train_win_probability(stored(s, sf, _TABLES["win_probability"])),
+    "potm_classifier": lambda s, sf: models.train_potm_classifier(stored(s, sf, _TABLES["potm_classifier"])),
     "prefix_score_predictor": lambda s, sf: models.train_prefix_score_predictor(_prefix_rows(s, sf)),
 }
 
@@ -86,7 +93,15 @@ def model_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def model_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return models.model_summary(spark, {name: trained(spark, sf, name)[1] for name in _TRAINERS})
+    """The tables are built one after the other, as they share what they are built from; every model begins to train when
+    its table is there, beside the tables and models after it."""
+    waiting = {}
+    with ThreadPoolExecutor(len(_TRAINERS)) as pool:
+        for name, table in _TABLES.items():
+            stored(spark, sf, table)
+            waiting[name] = pool.submit(inheritable_thread_target(spark)(trained), spark, sf, name)
+        measured = {name: model.result()[1] for name, model in waiting.items()}
+    return models.model_summary(spark, measured)
 
 
 def win_curve(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,10 +1,11 @@
 import pickle
+import threading
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stumpline.plans import histograms, models
+from stumpline.plans import histograms, model_queries, models
 
 CLASS = models.Predictor("c", ("a", "b", "c"), "y", True, 12, 3, 0.1)
 VALUE = models.Predictor("v", ("a", "b", "c"), "y", False, 12, 3, 0.1)
@@ -103,3 +104,78 @@ def test_rows_sent_are_small_and_sums_are_by_bin():
                 cell = value[f, rows.drawn][here == node]
                 assert sums[i, f, :, 0] == pytest.approx(np.bincount(cell, weight[here == node], 32))
                 assert sums[i, f, :, 1] == pytest.approx(np.bincount(cell, (weight * rows.goal)[here == node], 32), abs=1e-9)
+
+
+def many_tasks(monkeypatch):
+    monkeypatch.setattr(histograms, "ONE_TASK", 0)
+    monkeypatch.setattr(histograms, "TASK_ROWS", 150)
+    monkeypatch.setattr(histograms, "CUT", 5)
+
+
+def test_many_tasks_stay_in_one_job(spark, monkeypatch):
+    """Tasks that hold a table together grow all its trees in one job, the same as a job a level does."""
+    many_tasks(monkeypatch)
+    spec = models.replace(CLASS, rows=0.8, columns=0.6)
+    df = table(spark, True).coalesce(1).cache()
+    spark.sparkContext.setJobGroup("together", "together")
+    together = scores(models.fit(spec, df), spec, df)
+    spark.sparkContext.setJobGroup("rest", "rest")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("together")) < 3 * spec.trees
+    monkeypatch.setattr(histograms, "_shared_folder", lambda s: None)
+    assert together == pytest.approx(scores(models.fit(spec, df), spec, df), rel=1e-9)
+
+
+@pytest.mark.parametrize("spec", [CLASS, VALUE], ids=["classifier", "regressor"])
+@pytest.mark.parametrize("folder", [None, "not seen", "lost"])
+def test_a_job_a_level_where_tasks_cannot_gather(spark, spec, folder, monkeypatch):
+    """No shared folder, one that tasks don't see, or a task that fails: Spark's own trees all the same."""
+    many_tasks(monkeypatch)
+
+    def broken(*a):
+        raise OSError("a lost task")
+
+    if folder is None:
+        monkeypatch.setattr(histograms, "_shared_folder", lambda s: None)
+    elif folder == "lost":
+        monkeypatch.setattr(histograms, "_grown_together", broken)
+    else:
+        monkeypatch.setattr(histograms.os, "makedirs", lambda path, **k: None)
+    df = table(spark, spec.classifier).coalesce(1).cache()
+    train = df.where(~F.col("is_test"))
+    if folder == "lost":
+        with pytest.warns(UserWarning, match="a lost task"):
+            got = models.fit(spec, df)
+    else:
+        got = models.fit(spec, df)
+    assert scores(got, spec, train) == pytest.approx(scores(models._pipeline(spec).fit(train), spec, train), rel=1e-9)
+
+
+@pytest.mark.parametrize("spec", [histograms.Growth(True, 6, 4, 0.3, 0.7), histograms.Growth(False, 6, 4, 0.3, patience=3)])
+def test_blocks_change_nothing(spec, monkeypatch):
+    rng = np.random.default_rng(3)
+    n = 3000
+    bins, noise, held = rng.integers(0, 32, (7, n)).astype(np.uint8), rng.normal(size=n), rng.random(n) < 0.2
+    label = np.where(bins[0] + 9 * noise > 15, 1.0, -1.0) if spec.classifier else bins[0] + noise
+    grown = []
+    for block in (1 << 16, 77):
+        monkeypatch.setattr(histograms, "BLOCK", block)
+        alone = histograms.Alone(histograms.Rows.of(bins, label, np.where(label > 0, 3.5, 1.0), held, 0), spec)
+        grown.append((*histograms.grown_trees(spec, alone.summed, alone.add, models.best_length), alone.rows.score))
+    (trees, errors, score), (again, errors_again, score_again) = grown
+    assert [(t.feature, t.cut) for t in trees] == [(t.feature, t.cut) for t in again]
+    assert errors == pytest.approx(errors_again) and score == pytest.approx(score_again)
+
+
+def test_summary_trains_all_models_at_once(spark, monkeypatch):
+    """Each begins once its own table is built: all five meet here."""
+    built, meet = [], threading.Barrier(5, timeout=20)
+    monkeypatch.setattr(model_queries, "stored", lambda s, sf, name: built.append(name))
+
+    def trained(s, sf, name):
+        assert model_queries._TABLES[name] in built
+        meet.wait()
+        return None, {"roc_auc": 0.75, "accuracy": 0.5}
+
+    monkeypatch.setattr(model_queries, "trained", trained)
+    assert model_queries.model_summary(spark, "sf").count() == 5
+    assert len(built) == 5
